@@ -27,7 +27,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
     An item of fewer than ``n`` words, but at least one, is one window.
     """
-    words = benchmark.select("item_id", normalised_words(F.col("text")).alias("words")).where("size(words) > 0")
+    words = benchmark.select("item_id", F.explode(F.array(normalised_words(F.col("text")))).alias("words")).where("size(words) > 0")
     windows = words.withColumn("length", F.least(F.size("words"), F.lit(n))).select(
         "item_id", "length", F.explode(F.expr("transform(sequence(1, size(words) - length + 1), i -> slice(words, i, length))")).alias("window")
     )
@@ -44,15 +44,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit: int
     windows = benchmark_windows(benchmark, n)
     sizes = {row["length"]: row["n"] for row in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     passes = max(1, -(-sum(sizes.values()) // set_limit))
-    words = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), normalised_words(F.col("text")).alias("words")).where("size(words) > 0")
+    # explode(array(...)) keeps the optimizer from copying the split into the expressions over its words.
+    words = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.explode(F.array(normalised_words(F.col("text")))).alias("words"))
     hits = None
     for length in sorted(sizes) or [n]:
-        hashes = F.expr(f"transform(sequence(1, size(words) - {length - 1}), i -> xxhash64(slice(words, i, {length})))")
-        probes = words.where(f"size(words) >= {length}").select("doc_id", "text_md5", "words", F.posexplode(hashes).alias("at", "hash"))
+        hashes = F.expr(f"if(size(words) < {length}, null, transform(sequence(1, size(words) - {length - 1}), i -> xxhash64(slice(words, i, {length}))))")
+        # Hashed in a projection of its own, the windows explode and probe within generated code;
+        # "outer" so that no filter on the number of hashes is inferred, which would hash twice.
+        probes = words.withColumn("hashes", hashes).select("doc_id", "text_md5", "words", F.posexplode_outer("hashes").alias("at", "hash"))
         for k in range(passes):
             known = windows.where(f"length = {length}")
             known = known.where(f"pmod(hash, {passes}) = {k}") if passes > 1 else known
-            same = F.slice(F.col("words"), F.col("at") + 1, length) == F.col("window")
+            # Two comparisons, not one equality: that would become a join key, built for every window.
+            text_window = F.slice(F.col("words"), F.col("at") + 1, length)
+            same = (text_window >= F.col("window")) & (text_window <= F.col("window"))
             found = probes.join(F.broadcast(known), "hash").where(same).select("doc_id", "text_md5", (F.col("at") + 1).alias("start"), "length", "item_ids")
             hits = found if hits is None else hits.unionByName(found)
     return hits
