@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sharding, url_rules
+from . import decontamination, minhash, sharding, url_rules
 
 #: The rules of op1.
 URL_RULES = [
@@ -39,7 +39,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_minhash_dedup": op10_minhash_dedup}
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
