@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, sharding, url_rules
+from . import decontamination, minhash, mixing, quality, sharding, url_rules
 
 #: The rules of op1.
 URL_RULES = [
@@ -43,12 +43,16 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_minhash_dedup": op10_minhash_dedup,
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_minhash_dedup": op10_minhash_dedup,
            "op6_source_mixing": op6_source_mixing}
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
