@@ -65,8 +65,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch_bin(value: Column) -> Column:
     """The lower end of the bin: the value with all but its first seven binary digits cleared."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 7)
-    return F.shiftleft(F.shiftright(value, shift), shift)
+    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(value)) - 7)).cast("long")
+    return value - value % step
 
 
 def thresholds(measured: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, quality, sharding, url_rules
+from . import decontamination, minhash, mixing, quality, sharding, toxicity, url_rules
 
 #: The rules of op1.
 URL_RULES = [
@@ -52,8 +52,22 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op8_decontamination": op8_decontamination, "op9_sharding": op9_sharding, "op10_minhash_dedup": op10_minhash_dedup,
-           "op6_source_mixing": op6_source_mixing}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_quality_rules": op2_quality_rules,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_minhash_dedup": op10_minhash_dedup,
+}
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
