@@ -1,8 +1,57 @@
-"""A corpus pipeline; its stages are added one by one."""
+"""A training corpus from raw documents: toxic ones and copies go, benchmarks are kept out, sources are mixed and sharded."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from proofline.llm import decontamination, minhash, mixing, sharding, toxicity
+from proofline.llm.common import checkpointed
+
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go; the model is fitted on the labelled documents that are left in training."""
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item (or all of a shorter one) go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to the weights 5, 2, 1 takes it."""
+    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the shard (0 to 39) and slot that hold them."""
+    return sharding.shard_rows(docs).select(*docs.columns, "shard", "slot")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_dedup", remove_near_duplicates),
+    ("decontamination", remove_benchmark_passages),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Nearest neighbours, sketches and knapsacks have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage keeps is written to the shared checkpoint folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for place, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = checkpointed(docs)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, quality, sharding, toxicity, url_rules
+from . import decontamination, licences, minhash, mixing, quality, secrets, sharding, token_counts, toxicity, url_rules
 
 #: The rules of op1.
 URL_RULES = [
@@ -17,6 +17,10 @@ URL_RULES = [
 ]
 
 
+#: Where the vocabulary of op5 is; a parameter of the deployment, not part of this library.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,9 +63,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    found = secrets.scan_secrets(docs, secrets.train(secrets.made_findings(spark)))
+    return found.select("doc_id", "place", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_digests(spark))
+    return found.select("doc_id", "text_licence", "n_notices", F.array_join("licences", ",").alias("licences"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = token_counts.Automaton(token_counts.read_vocabulary(VOCABULARY))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_licence_scan": op4_licence_scan,
+    "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
@@ -71,7 +94,35 @@ QUERIES = {
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of licences.canonical as DuckDB SQL."""
+    quoted = lambda x: x.replace("'", "''")
+    form = f"lower(regexp_replace({text}, '{quoted(licences.COPYRIGHT_LINE)}', ' ', 'g'))"
+    for pattern, instead in licences.SPELLINGS:
+        form = f"regexp_replace({form}, '{quoted(pattern)}', '{quoted(instead)}', 'g')"
+    return f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+_LICENCE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.KNOWN_LICENCES)
+
 ORACLES = {
+    "op4_licence_scan": f"""
+WITH known AS (
+  SELECT {_canonical_sql("text")} AS form, min(licence) AS licence
+  FROM (VALUES {_LICENCE_ROWS}) AS k(licence, text) GROUP BY 1 HAVING form <> ''),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+units AS (
+  SELECT row, 0 AS place, {_canonical_sql("text")} AS form FROM docs
+  UNION ALL
+  SELECT row, 1 AS place, {_canonical_sql("line")} AS form FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)),
+found AS (
+  SELECT row, max(CASE WHEN place = 0 THEN licence END) AS text_licence, count(CASE WHEN place = 1 THEN 1 END) AS n_notices,
+         array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences
+  FROM units JOIN known USING (form) GROUP BY row)
+SELECT doc_id, text_licence, coalesce(n_notices, 0) AS n_notices, coalesce(licences, '') AS licences
+FROM docs LEFT JOIN found USING (row)""",
     "op1_url_filter": rf"""
 WITH parts AS (
   SELECT row_number() OVER () AS row, page_id,
