@@ -59,6 +59,7 @@ class Examples:
         """``terms``: (term, idf); ``postings``: (example's place in ``ids``, term's place in ``terms``, count)."""
         self.neighbours = neighbours
         self.term_ids = {term: k for k, (term, _) in enumerate(terms)}
+        self.beginnings = {term[: _PREFIXES[0]] for term, _ in terms}
         self.idf = np.array([idf for _, idf in terms], float)
         found = np.array(postings, np.int64).reshape(-1, 3)
         weight = (1 + np.log(found[:, 2])) * self.idf[found[:, 1]]
@@ -97,8 +98,10 @@ class Examples:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the text's terms and their weights, of length 1."""
         counts: dict[int, int] = {}
-        known, ids = self._known, self.term_ids
+        known, ids, beginnings = self._known, self.term_ids, self.beginnings
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if word[: _PREFIXES[0]] not in beginnings:
+                continue
             found = known.get(word)
             if found is None:
                 if len(known) >= _KNOWN_WORDS:
@@ -124,8 +127,10 @@ class Examples:
                 break
             a, b = self.starts[block], self.starts[block + 1]
             similar = np.bincount(self.slot[a:b], query[self.term[a:b]] * self.weight[a:b], _BLOCK)
-            best += [(-similar[k], block * _BLOCK + k) for k in np.flatnonzero(similar > 0).tolist()]
-            best = sorted(best)[: self.neighbours]
+            near = similar > 0 if len(best) < self.neighbours else similar >= -best[-1][0]
+            if near.any():
+                best += [(-float(similar[k]), block * _BLOCK + k) for k in np.flatnonzero(near).tolist()]
+                best = sorted(best)[: self.neighbours]
         return [(-s, k) for s, k in best]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
