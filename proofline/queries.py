@@ -1,6 +1,506 @@
-"""Registered queries over the shared tables, with their DuckDB counterparts."""
+"""Registered queries over the shared tables, with their DuckDB counterparts.
+
+How the citation pipeline's concepts lie on the tables: ``documents`` are the
+corpus and ``benchmark`` its questions; ``embeddings`` hold answer sentences
+(vec_id below 50) and candidates; ``events`` are replica runs (question: user_id
+% 20, run: event_type, cited id: k); ``labels`` are verdicts; ``lineitem`` orders
+are items with predicted (returned) and gold (fulfilled) parts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import replies, sets
+from .functions import text as T
+from .operators import chunking, citation, gates, metrics, retrieval
+from .sources import readers
+
+#: The stated answer sentences among the vectors, and the threshold that suits these vectors.
+ANSWER_VECTORS, TAU = 50, 0.3
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _answers_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _t(spark, sf_dir, "embeddings")
+    answers = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sentence_no"), "embedding")
+    candidates = v.where(F.col("vec_id") >= ANSWER_VECTORS).select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sid"), "embedding")
+    return F.broadcast(answers), candidates
+
+
+def align_topk_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citation.align(*_answers_and_candidates(spark, sf_dir), tau=TAU, top_k=3).select("sentence_no", "sid", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+
+
+def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = citation.similarities(*_answers_and_candidates(spark, sf_dir))
+    found = citation.sweep(pairs, ANSWER_VECTORS, [0.25, 0.3, 0.35, 0.4, 0.45], [1, 2, 3, 5])
+    return found.select("tau", F.col("top_k").cast("long").alias("top_k"), "n_citations", "cited", "uncited", "per_sentence")
+
+
+def retrieval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings")
+    q = v.where(F.col("vec_id") < ANSWER_VECTORS)
+    queries = q.select(F.col("vec_id").alias("query_id"), "embedding")
+    corpus = v.where(F.col("vec_id") >= ANSWER_VECTORS)
+    pool = retrieval.vector_search(F.broadcast(queries), corpus.select(F.col("vec_id").alias("doc_id"), "embedding"), 20).select("query_id", F.col("doc_id").alias("sid"))
+    gold = q.select(F.col("vec_id").alias("query_id"), "label").join(corpus.select("label", F.col("vec_id").alias("sid")), "label").select("query_id", "sid")
+    found = retrieval.recall_at_k(gold, pool, queries)
+    return found.select("query_id", F.col("n_gold").cast("long").alias("n_gold"), F.round("recall", 6).alias("recall"))
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings")
+    queries = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.vector_search(F.broadcast(queries), v.where(F.col("vec_id") >= ANSWER_VECTORS).select(F.col("vec_id").alias("doc_id"), "embedding"), 20)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda test: F.collect_set(F.when(test, F.col("l_partkey")))
+    return metrics.score_items(_t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(of(F.col("l_returnflag") == "R").alias("pred"), of(F.col("l_linestatus") == "F").alias("gold")))
+
+
+def prf_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_items(spark, sf_dir).select("l_orderkey", F.size("pred").cast("long").alias("n_pred"), F.size("gold").cast("long").alias("n_gold"), *(F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")))
+
+
+def _item_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    return joined.select(
+        F.col("doc_id").alias("question_id"), F.col("source").alias("strategy"), F.col("lang").alias("difficulty"),
+        F.col("quality").cast("double").alias("precision"), (1 - F.col("toxic")).cast("double").alias("recall"), (F.col("quality") * (1 - F.col("toxic"))).cast("double").alias("f1"),
+        F.when(F.col("n_chars") > 1000, 1.0).otherwise(0.0).alias("coverage"), F.when(F.col("n_chars") > 500, 1.0).otherwise(0.5).alias("retrieval_recall_at_k"),
+        F.when(F.col("toxic") == 0, F.col("n_chars") % 7 / 7).alias("stability"),
+    )
+
+
+_ITEM_EVAL = """
+SELECT l.doc_id AS question_id, source AS strategy, lang AS difficulty, CAST(quality AS DOUBLE) AS "precision", CAST(1 - toxic AS DOUBLE) AS recall,
+       CAST(quality * (1 - toxic) AS DOUBLE) AS f1, CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage,
+       CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.5 END::DOUBLE AS retrieval_recall_at_k, CASE WHEN toxic = 0 THEN (n_chars % 7) / 7.0::DOUBLE END AS stability
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+_MEANS = ", ".join(f'round(avg("{m}"), 6) AS "{m}"' for m in metrics.MACRO)
+
+
+def _means(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.select(*by, "n", *(F.round(c, 6).alias(c) for c in rows.columns if c not in (*by, "n")))
+
+
+def macro_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _means(metrics.summarize(_item_eval(spark, sf_dir), ["strategy"], optional=("stability",)), "strategy")
+
+
+def slice_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _means(metrics.summarize(_item_eval(spark, sf_dir), ["strategy", "difficulty"]), "strategy", "difficulty")
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = F.element_at(F.array(F.lit("high"), F.lit("medium")), (F.col("toxic") + 1).cast("int"))
+    flags = F.filter(F.array(F.when(F.col("quality") == 0, "unclear"), F.when(F.col("toxic") == 1, "wrong"), F.lit("seen")), lambda x: x.isNotNull())
+    return _t(spark, sf_dir, "labels").where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("question_id"), conf.alias("confidence"), flags.alias("flags"))
+
+
+def reviewer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = metrics.with_reviews(_item_eval(spark, sf_dir), _reviews(spark, sf_dir)).where("confidence is not null")
+    return _means(metrics.summarize(joined, ["strategy", "confidence"], metrics.MACRO[:4]), "strategy", "confidence")
+
+
+def review_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confidence_counts(_reviews(spark, sf_dir))
+
+
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.flag_counts(_reviews(spark, sf_dir))
+
+
+def _faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    judged = _t(spark, sf_dir, "labels").where("toxic = 0").join(docs, "doc_id").select("source", "lang", (F.col("quality") == 1).alias("entails"))
+    return metrics.faithfulness_by_sentence(docs.select("source", "lang").distinct(), judged, ["source", "lang"])
+
+
+def faithfulness_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _faithful(spark, sf_dir)
+
+
+def faithfulness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.faithfulness_report(_faithful(spark, sf_dir), ["source"])
+    return found.select("source", "n_citations", *(F.round(c, 6).alias(c) for c in ("percent_faithful", "percent_sentences_any_faithful", "coverage")))
+
+
+def faithfulness_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.faithfulness_report(_faithful(spark, sf_dir), [])
+    return found.select("n_citations", *(F.round(c, 6).alias(c) for c in ("percent_faithful", "percent_sentences_any_faithful", "coverage")))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = _t(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("question"), F.col("event_type").alias("run"), (F.col("event_id") % 3).alias("position"), F.get_json_object("props", "$.k").alias("sid"))
+    return events.select("question", "run").distinct(), events
+
+
+def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.stability(*_runs(spark, sf_dir))
+    return found.withColumn("stability", F.round("stability", 6))
+
+
+def citation_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.citation_frequency(_runs(spark, sf_dir)[1])
+
+
+def stable_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.stable_anchors(*_runs(spark, sf_dir), threshold=0.8).withColumn("rank", F.col("rank").cast("long"))
+
+
+def pairwise_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.pairwise_jaccard(metrics.run_sets(*_runs(spark, sf_dir)))
+    return found.select("question", F.round("mean_jaccard", 6).alias("mean_jaccard"), F.round("coverage_rate", 6).alias("coverage_rate"))
+
+
+def per_position_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _runs(spark, sf_dir)[1]
+    runs = events.groupBy("question", "run").agg(F.countDistinct("position").alias("n_sentences"))
+    positions = events.groupBy("question", "run", "position").agg(F.collect_set("sid").alias("sids"))
+    return metrics.position_jaccard(positions, runs).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
+
+
+def stability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.stability(*_runs(spark, sf_dir))
+    return found.groupBy(F.least(F.floor(F.col("stability") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def stability_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = "stability"
+    found = _item_eval(spark, sf_dir).groupBy("strategy").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.percentile(x, p / 100).alias(f"p{p}") for p in (25, 50, 75)), F.max(x).alias("max"))
+    return _means(found, "strategy")
+
+
+def worst_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _item_eval(spark, sf_dir).where("stability is not null").groupBy("strategy").agg(F.min(F.struct("stability", "question_id")).alias("w"))
+    return found.select("strategy", "w.question_id", F.round("w.stability", 6).alias("stability"))
+
+
+def markdown_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.markdown_table(_item_eval(spark, sf_dir).withColumn("strategy", F.col("difficulty")), ["en", "de", "fr", "es", "it"])
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_sentences(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("doc_id", F.col("sentence_no").cast("long").alias("sentence_no"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("text").alias("text_md5"))
+
+
+def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _sentences(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "doc_id")
+    same = F.substr("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")
+    return joined.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(same).alias("n_round_trips"))
+
+
+def _page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.regexp_extract_all("html", F.lit(r"<(?:h1|p|nav|footer)\b[^>]*>[^<]*"), F.lit(0))
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(tags).alias("para_no", "tag"))
+    name = F.regexp_extract("tag", "^<([a-z0-9]+)", 1)
+    role = F.when(name == "h1", "title").when(name == "nav", "pageHeader").when(name == "footer", "pageFooter")
+    return rows.select("doc_id", "para_no", role.alias("role"), F.trim(F.regexp_replace("tag", "^<[^>]*>", "")).alias("content"))
+
+
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.breadcrumbs(_page_paragraphs(spark, sf_dir)).select("doc_id", F.col("para_no").cast("long").alias("para_no"), "content", T.section_label(F.col("section_path")).alias("section"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sentences(spark, sf_dir)
+    sectioned = s.withColumn("section", F.floor(F.col("sentence_no") / 40).cast("string"))
+    return chunking.chunk_sentences(s, chunking.pack_chunks(sectioned, 100, 10))
+
+
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.build_chunks(_members(spark, sf_dir)).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), "n_sentences", "token_count")
+
+
+def unique_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.unique_sentences(_members(spark, sf_dir)).select("sentence_id", "chunk_id", "char_start", "char_end")
+
+
+def adjacent_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.adjacent_overlap(_members(spark, sf_dir))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.build_chunks(_members(spark, sf_dir))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_sentences").alias("n_sentences"), F.sum("token_count").alias("tokens"), F.avg("token_count").alias("mean_tokens"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _sentences(spark, sf_dir).withColumn("chunk_no", F.floor(F.col("sentence_no") / 10).cast("int"))
+    return chunking.spans(runs).withColumn("difficulty", T.difficulty(F.col("n"), F.col("text")))
+
+
+def span_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).groupBy("doc_id", "difficulty").agg(F.count("*").alias("n_spans"), F.sum(F.length("text")).alias("chars"))
+
+
+def span_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sample_spans(_spans(spark, sf_dir).drop("text"), {"easy": 40, "medium": 35, "hard": 25})
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.bm25(_questions(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text"), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector neighbours of a query by cosine, fused with those of its own label in order of id."""
+    v = _t(spark, sf_dir, "embeddings")
+    ranked = vector_topk(spark, sf_dir)
+    q = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.col("vec_id").alias("query_id"), "label")
+    same = q.join(v.where(F.col("vec_id") >= ANSWER_VECTORS).select("label", F.col("vec_id").alias("doc_id")), "label")
+    by_label = retrieval.top_k(same.select("query_id", "doc_id", F.lit(0.0).alias("score")), 20)
+    return retrieval.fuse([ranked, by_label], 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ranked = vector_topk(spark, sf_dir)
+    chunk_hits = ranked.where("rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
+    sentence_hits = ranked.where("rank > 3").select("query_id", (F.col("doc_id") - F.col("doc_id") % 2).alias("chunk_id"), F.col("doc_id").alias("sid"), "rank")
+    return chunk_hits, sentence_hits
+
+
+def dual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.dual_context(*_hits(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+def layout_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.layout_agreement(*_hits(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns with a tag of their turn behind each sentence; ids of even turns are known."""
+    turns = _t(spark, sf_dir, "conversations").where("role = 'assistant'")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    text = F.regexp_replace("text", r"([.!?])", F.concat(F.lit("$1[s:"), F.col("turn").cast("string"), F.lit("]")))
+    known = turns.where(F.col("turn") % 4 == 1).select(key.alias("answer_id"), F.col("turn").cast("string").alias("sid"))
+    return turns.select(key.alias("answer_id"), text.alias("text")), known
+
+
+def inline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, known = _tagged(spark, sf_dir)
+    return citation.inline_citations(answers, known).select("answer_id", F.col("tag_no").cast("long").alias("tag_no"), "sid", F.col("at").cast("long").alias("at"), "valid")
+
+
+def inline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, known = _tagged(spark, sf_dir)
+    found = citation.inline_report(citation.inline_citations(answers, known))
+    return found.select("answer_id", "n_tags", "n_valid", F.array_join("hallucinated", ",").alias("hallucinated"))
+
+
+def source_lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's owner: the first labelled document that has it, else the first of all."""
+    docs = _t(spark, sf_dir, "documents").select(F.md5("text").alias("sid"), "doc_id", F.col("doc_id").alias("place"))
+    nested = docs.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return citation.first_by_priority(nested, docs)
+
+
+def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items, their parts' names as sentences, in line order."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("span_ids"))
+    return gates.span_text(lines, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid"), F.col("p_name").alias("text")))
+
+
+def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("sid"), "rank")
+    seeds = hits.where("rank in (1, 4) or sid % 5 = 0")
+    return gates.union_candidates(hits, seeds, 10)
+
+
+def union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = vector_topk(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("doc_id").cast("string").alias("sid"), F.col("rank").alias("at"))
+    gold = ids.where("at <= 4").groupBy("question_id").agg(F.array_sort(F.collect_list("sid")).alias("g"))
+    items = gold.select("question_id", F.array(F.slice("g", 1, 2), F.slice("g", 3, 2)).alias("gold_citations"))
+    merged = gates.merge_additions(items, ids.where("at between 3 and 6"))
+    return merged.select("question_id", F.array_join(F.get("gold_citations", F.lit(0)), ",").alias("first"), F.array_join(F.get("gold_citations", F.lit(1)), ",").alias("second"))
+
+
+def judge_array_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of several wrappings made from events; two judgments are expected of each."""
+    e = _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    one = F.concat(F.lit('{"entails": '), F.when(F.col("k") % 2 == 0, "true").otherwise("false"), F.lit(', "reason": "r'), F.col("k").cast("string"), F.lit('"}'))
+    kind = F.col("event_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("["), one, F.lit("]"))).when(kind == 1, F.concat(F.lit('{"judgments": ['), one, F.lit(", "), one, F.lit(", "), one, F.lit("]}"))).when(kind == 2, one).otherwise(F.lit("no json"))
+    found = replies.judge_array(reply, F.lit(2))
+    return e.select("event_id", F.get(found, F.lit(0))["entails"].alias("first"), F.get(found, F.lit(1))["entails"].alias("second"), F.size(found).cast("long").alias("n"))
+
+
+def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels")
+    return gates.gate_counts(labels.select((F.col("quality") == 1).alias("well_formed"), (F.col("toxic") == 0).alias("supported")))
+
+
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.last_wins(_t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of 100 documents, which is the operator's own limit."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("turn"))
+    return docs.orderBy("turn", "doc_id").limit(100)
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"), T.words(F.col("text")).cast("long").alias("words"))
+
+
+def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the public benchmark's form made from lineitem: quotes are parts, gold the returned ones."""
+    quotes = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"), F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey")))).alias("gold"))
+    passages = F.transform("parts", lambda p: F.struct(F.concat(F.lit("p"), p.cast("string")).alias("id"), F.concat(F.lit("text "), p.cast("string")).alias("text")))
+    lists = F.array(F.struct(F.lit("yes").alias("answer"), F.transform("gold", lambda p: F.concat(F.lit("p"), p.cast("string"))).alias("attributable")))
+    line = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("query_id"), F.lit("which?").alias("query"), passages.alias("quotes"), lists.alias("answers")))
+    items = readers.hagrid_items(quotes.select(line.alias("value")))
+    ids = F.transform("passages", lambda p: p["passage_id"])
+    return items.select("item_id", "answer", F.size("passages").cast("long").alias("n_passages"), F.size("gold").cast("long").alias("n_gold"), F.round(sets.precision(ids, F.col("gold")), 6).alias("precision"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        align_topk_tau, parameter_sweep, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
+        faithfulness_sentence, faithfulness_report, faithfulness_micro, stability, citation_frequency, stable_anchors, pairwise_jaccard, per_position_jaccard, stability_histogram,
+        stability_describe, worst_item, markdown_pivot, sentence_split, sentence_offsets, breadcrumbs, chunk_pack, unique_sentences, adjacent_overlap, corpus_stats, span_difficulty, span_sample,
+        bm25_topk, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
+        last_write_wins, seeded_sample, token_estimates, passage_scores,
+    )
+}
+
+_COSINES = f"""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+sims AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS score
+         FROM v q, v c WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims),
+top AS (SELECT * FROM ranked WHERE rank <= 20)"""
+_RUNS = """
+WITH e AS (SELECT user_id % 20 AS question, event_type AS run, event_id % 3 AS position, json_extract_string(props, '$.k') AS sid FROM events),
+runs AS (SELECT DISTINCT question, run FROM e),
+n AS (SELECT question, count(*) AS n_runs FROM runs GROUP BY 1),
+freq AS (SELECT question, sid, count(DISTINCT run) AS freq FROM e WHERE sid IS NOT NULL GROUP BY 1, 2),
+stable AS (SELECT question, n_runs, count(*) FILTER (freq = n_runs) AS n_all, count(sid) AS n_any FROM n LEFT JOIN freq USING (question) GROUP BY 1, 2),
+scored AS (SELECT *, CASE WHEN n_any = 0 THEN 1.0 ELSE n_all / n_any END AS stability FROM stable)"""
+_RAW_SENTENCES = r"""
+WITH raw AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS pos
+             FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+\z') AS p FROM documents)),
+placed AS (
+  SELECT doc_id, pos, regexp_replace(raw, '^[\s]+|[\s]+\z', '', 'g') AS text,
+         coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         + length(raw) - length(regexp_replace(raw, '^[\s]+', '')) AS char_start FROM raw),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS sentence_no, text, CAST(char_start AS BIGINT) AS char_start,
+             CAST(char_start + length(text) AS BIGINT) AS char_end FROM placed WHERE text <> '')"""
+_REVIEWS = """
+reviews AS (SELECT doc_id AS question_id, CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END AS confidence,
+  list_filter([CASE WHEN quality = 0 THEN 'unclear' END, CASE WHEN toxic = 1 THEN 'wrong' END, 'seen'], lambda x: x IS NOT NULL) AS flags FROM labels WHERE doc_id % 3 <> 0)"""
+_FAITHFUL = """
+WITH spine AS (SELECT DISTINCT source, lang FROM documents),
+judged AS (SELECT source, lang, quality = 1 AS entails FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 0),
+found AS (SELECT source, lang, count(*) AS n, count(*) FILTER (entails) AS f FROM judged GROUP BY 1, 2),
+s AS (SELECT source, lang, coalesce(n, 0) AS n_citations, coalesce(f, 0) AS n_faithful, coalesce(f, 0) > 0 AS any_faithful,
+      coalesce(n, 0) > 0 AND f = n AS all_faithful FROM spine LEFT JOIN found USING (source, lang))"""
+_REPORT = """CAST(sum(n_citations) AS BIGINT) AS n_citations, round(coalesce(100.0 * sum(n_faithful) / nullif(sum(n_citations), 0), 0), 6) AS percent_faithful,
+  round(coalesce(100.0 * count(*) FILTER (any_faithful) / nullif(count(*) FILTER (n_citations > 0), 0), 0), 6) AS percent_sentences_any_faithful,
+  round(100.0 * count(*) FILTER (n_citations > 0) / count(*), 6) AS coverage"""
+_TAGS = r"""
+WITH turns AS (SELECT conv_id || '-' || turn AS answer_id, turn, CAST(turn AS VARCHAR) AS sid, text FROM conversations WHERE role = 'assistant'),
+pieces AS (SELECT answer_id, turn, sid, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS tag_no
+           FROM (SELECT answer_id, turn, sid, regexp_extract_all(text, '[^.!?]*[.!?]') AS p FROM turns)),
+tags AS (SELECT answer_id, tag_no, sid, CAST(sum(length(piece)) OVER (PARTITION BY answer_id ORDER BY tag_no) AS BIGINT) AS "at", turn % 4 = 1 AS valid FROM pieces)"""
+_PRF = """
+WITH o AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R'), []) AS p, coalesce(list(DISTINCT l_partkey) FILTER (l_linestatus = 'F'), []) AS g FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, len(p) AS n_pred, len(g) AS n_gold, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(p) END AS pr,
+      CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(g) END AS re FROM o)"""
+
+ORACLES: dict[str, str] = {
+    "align_topk_tau": f"{_COSINES}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sims WHERE score >= {TAU}) SELECT query_id AS sentence_no, doc_id AS sid, greatest(0, least(1, score))::DOUBLE AS confidence, r AS rank FROM kept WHERE r <= 3",
+    "parameter_sweep": f"""{_COSINES}, params AS (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS tau), ks AS (SELECT unnest([1, 2, 3, 5])::BIGINT AS top_k),
+hit AS (SELECT tau, top_k, query_id FROM params, ks, ranked WHERE score >= tau AND rank <= top_k),
+c AS (SELECT tau, top_k, count(*) AS n, count(DISTINCT query_id) AS q FROM hit GROUP BY 1, 2)
+SELECT tau, top_k, coalesce(n, 0) AS n_citations, coalesce(q, 0) AS cited, {ANSWER_VECTORS} - coalesce(q, 0) AS uncited, round(coalesce(n, 0) / {ANSWER_VECTORS}, 2)::DOUBLE AS per_sentence
+FROM params CROSS JOIN ks LEFT JOIN c USING (tau, top_k)""",
+    "retrieval_recall_at_k": f"""{_COSINES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS})
+SELECT q.vec_id AS query_id, count(g.doc_id) AS n_gold, CASE WHEN count(g.doc_id) = 0 THEN 1.0 ELSE round(count(t.doc_id) / count(g.doc_id), 6) END::DOUBLE AS recall
+FROM v q LEFT JOIN gold g ON g.query_id = q.vec_id LEFT JOIN top t ON t.query_id = g.query_id AND t.doc_id = g.doc_id WHERE q.vec_id < {ANSWER_VECTORS} GROUP BY 1""",
+    "vector_topk": f"{_COSINES} SELECT query_id, doc_id, score, rank FROM top",
+    "prf_by_order": f'{_PRF} SELECT l_orderkey, n_pred, n_gold, round(pr, 6)::DOUBLE AS "precision", round(re, 6)::DOUBLE AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6)::DOUBLE AS f1 FROM s',
+    "macro_by_strategy": f"SELECT strategy, count(*) AS n, {_MEANS}, round(avg(stability), 6) AS stability FROM ({_ITEM_EVAL}) GROUP BY 1",
+    "slice_by_difficulty": f"SELECT strategy, difficulty, count(*) AS n, {_MEANS} FROM ({_ITEM_EVAL}) GROUP BY 1, 2",
+    "reviewer_slice": f"""WITH {_REVIEWS} SELECT strategy, confidence, count(*) AS n, {", ".join(f'round(avg("{m}"), 6) AS "{m}"' for m in metrics.MACRO[:4])} FROM ({_ITEM_EVAL}) JOIN reviews USING (question_id) GROUP BY 1, 2""",
+    "review_confidences": f"WITH {_REVIEWS} SELECT c AS confidence, count(question_id) AS n FROM (SELECT unnest(['high', 'medium', 'low']) AS c) LEFT JOIN reviews ON confidence = c GROUP BY 1",
+    "review_flags": f"WITH {_REVIEWS} SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM reviews) GROUP BY 1",
+    "faithfulness_sentence": f"{_FAITHFUL} SELECT * FROM s",
+    "faithfulness_report": f"{_FAITHFUL} SELECT source, {_REPORT} FROM s GROUP BY 1",
+    "faithfulness_micro": f"{_FAITHFUL} SELECT {_REPORT} FROM s",
+    "stability": f"{_RUNS} SELECT question, n_runs, n_all, n_any, round(stability, 6)::DOUBLE AS stability FROM scored",
+    "citation_frequency": f"{_RUNS} SELECT * FROM freq",
+    "stable_anchors": f"{_RUNS} SELECT question, sid, freq, row_number() OVER (PARTITION BY question ORDER BY freq DESC, sid) AS rank FROM freq JOIN n USING (question) WHERE freq >= greatest(1, ceil(0.8 * n_runs))",
+    "pairwise_jaccard": f"""{_RUNS}, sets AS (SELECT question, run, coalesce(list(DISTINCT sid) FILTER (sid IS NOT NULL), []) AS s FROM e GROUP BY 1, 2),
+j AS (SELECT a.question, avg(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END) AS j FROM sets a JOIN sets b ON a.question = b.question AND a.run < b.run GROUP BY 1)
+SELECT question, round(coalesce(any_value(j), 1), 6)::DOUBLE AS mean_jaccard, round(avg(CASE WHEN len(s) > 0 THEN 1 ELSE 0 END), 6) AS coverage_rate FROM sets LEFT JOIN j USING (question) GROUP BY 1""",
+    "per_position_jaccard": f"""{_RUNS}, even AS (SELECT question FROM (SELECT question, run, count(DISTINCT position) AS c FROM e GROUP BY 1, 2) GROUP BY 1 HAVING min(c) = max(c)),
+sets AS (SELECT question, run, position, list(DISTINCT sid) AS s FROM e JOIN even USING (question) GROUP BY 1, 2, 3)
+SELECT a.question, a.position, round(avg(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))), 6) AS mean_jaccard FROM sets a JOIN sets b ON a.question = b.question AND a.position = b.position AND a.run < b.run GROUP BY 1, 2""",
+    "stability_histogram": f"{_RUNS} SELECT CAST(least(floor(stability * 5), 4) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY 1",
+    "stability_describe": f'SELECT strategy, count(stability) AS n, round(avg(stability), 6) AS mean, round(stddev_samp(stability), 6) AS std, round(min(stability), 6) AS "min", {", ".join(f"round(quantile_cont(stability, 0.{p}), 6) AS p{p}" for p in (25, 50, 75))}, round(max(stability), 6) AS "max" FROM ({_ITEM_EVAL}) GROUP BY 1',
+    "worst_item": f"SELECT strategy, question_id, round(stability, 6) AS stability FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY stability, question_id) AS k FROM ({_ITEM_EVAL}) WHERE stability IS NOT NULL) WHERE k = 1",
+    "markdown_pivot": "SELECT metric, " + ", ".join(f"coalesce(max(CASE WHEN difficulty = '{s}' THEN printf('%.3f', v) END), 'n/a') AS {s}" for s in ("en", "de", "fr", "es", "it")) + f" FROM (UNPIVOT (SELECT difficulty, {', '.join(f'avg({chr(34)}{m}{chr(34)}) AS {chr(34)}{m}{chr(34)}' for m in metrics.MACRO)} FROM ({_ITEM_EVAL}) GROUP BY 1) ON {', '.join(f'{chr(34)}{m}{chr(34)}' for m in metrics.MACRO)} INTO NAME metric VALUE v) GROUP BY 1",
+    "sentence_split": f"{_RAW_SENTENCES} SELECT doc_id, sentence_no, char_start, char_end, md5(text) AS text_md5 FROM s",
+    "sentence_offsets": f"{_RAW_SENTENCES} SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (substring(d.text, s.char_start + 1, s.char_end - s.char_start) = s.text) AS n_round_trips FROM s JOIN documents d USING (doc_id) GROUP BY 1",
+    "breadcrumbs": r"""
+WITH tags AS (SELECT page_id AS doc_id, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS para_no FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|nav|footer)\b[^>]*>[^<]*') AS t FROM pages)),
+named AS (SELECT doc_id, para_no, regexp_extract(tag, '^<([a-z0-9]+)', 1) AS name, trim(regexp_replace(tag, '^<[^>]*>', '')) AS content FROM tags),
+kept AS (SELECT * FROM named WHERE name IN ('h1', 'p') AND trim(content) <> '')
+SELECT doc_id, para_no, content, coalesce(string_agg(CASE WHEN name = 'h1' THEN content END, ' — ') OVER (PARTITION BY doc_id ORDER BY para_no), '(root)') AS section FROM kept""",
+    "span_difficulty": f"""{_RAW_SENTENCES}, c AS (SELECT *, sentence_no // 10 AS chunk_no FROM s),
+t AS (SELECT doc_id, n, array_to_string(run, ' ') AS text FROM (SELECT c.doc_id, n, list_filter([c.text, CASE WHEN n > 1 THEN c2.text END, CASE WHEN n > 2 THEN c3.text END], lambda x: x IS NOT NULL) AS run
+  FROM c CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) LEFT JOIN c c2 ON c2.doc_id = c.doc_id AND c2.chunk_no = c.chunk_no AND c2.sentence_no = c.sentence_no + 1
+  LEFT JOIN c c3 ON c3.doc_id = c.doc_id AND c3.chunk_no = c.chunk_no AND c3.sentence_no = c.sentence_no + 2) WHERE len(run) = n)
+SELECT doc_id, CASE WHEN n = 3 THEN 'hard' WHEN n = 2 THEN 'medium' WHEN regexp_matches(text, '[0-9]') OR length(text) < 120 THEN 'easy' ELSE 'medium' END AS difficulty,
+  count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY 1, 2""",
+    "bm25_topk": r"""
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS size FROM words), tot AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS w FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), tot),
+scored AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""",
+    "hybrid_rrf": f"""{_COSINES}, lab AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}) WHERE rank <= 20),
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT * FROM lab) GROUP BY 1, 2)
+SELECT query_id, doc_id, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
+    "dual_context": f"""{_COSINES}, c AS (SELECT query_id, doc_id AS chunk_id, rank FROM top WHERE rank <= 5), p AS (SELECT DISTINCT query_id, doc_id - doc_id % 2 AS chunk_id FROM top WHERE rank > 3),
+j AS (SELECT coalesce(c.query_id, p.query_id) AS query_id, coalesce(c.chunk_id, p.chunk_id) AS chunk_id, rank, CASE WHEN rank IS NULL THEN 'sentence_parent' WHEN p.chunk_id IS NOT NULL THEN 'both' ELSE 'chunk_search' END AS source FROM c FULL JOIN p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id)
+SELECT query_id, chunk_id, source, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, chunk_id) AS place FROM j""",
+    "layout_agreement": f"""{_COSINES}, c AS (SELECT query_id, doc_id AS chunk_id FROM top WHERE rank <= 5), p AS (SELECT DISTINCT query_id, doc_id - doc_id % 2 AS chunk_id FROM top WHERE rank > 3)
+SELECT p.query_id, round(count(c.chunk_id) / greatest(1, count(*)), 6) AS agreement FROM p LEFT JOIN c ON p.query_id = c.query_id AND p.chunk_id = c.chunk_id GROUP BY 1""",
+    "inline_parse": f"{_TAGS} SELECT * FROM tags",
+    "inline_report": f"{_TAGS} SELECT answer_id, count(*) AS n_tags, count(*) FILTER (valid) AS n_valid, coalesce(string_agg(CASE WHEN NOT valid THEN sid END, ',' ORDER BY tag_no), '') AS hallucinated FROM tags GROUP BY 1",
+    "source_lookup_priority": "SELECT sid, doc_id FROM (SELECT md5(text) AS sid, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id) AS k FROM documents) WHERE k = 1",
+    "span_text": "SELECT l_orderkey AS question_id, coalesce(string_agg(CASE WHEN trim(p_name) <> '' THEN p_name END, ' ' ORDER BY l_linenumber, l_partkey), '') AS span FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1",
+    "union_candidates": f"{_COSINES} SELECT query_id, doc_id AS sid, rank FROM top WHERE rank <= 10 AND NOT (rank IN (1, 4) OR doc_id % 5 = 0)",
+    "union_merge": f"""{_COSINES}, g AS (SELECT query_id, list_sort(list(CAST(doc_id AS VARCHAR))) AS g FROM top WHERE rank <= 4 GROUP BY 1), a AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY rank) AS a FROM top WHERE rank BETWEEN 3 AND 6 GROUP BY 1)
+SELECT query_id AS question_id, array_to_string(g[1:2] || list_filter(a, lambda x: NOT list_contains(g[1:2], x)), ',') AS "first", array_to_string(g[3:4] || list_filter(a, lambda x: NOT list_contains(g[3:4], x)), ',') AS "second" FROM g JOIN a USING (query_id)""",
+    "judge_array_parse": """SELECT event_id, event_id % 4 <> 3 AND k % 2 = 0 AS "first", event_id % 4 = 1 AND k % 2 = 0 AS "second", CAST(2 AS BIGINT) AS n FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
+    "gate_counts": "SELECT count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS passed, count(*) - count(*) FILTER (quality = 1 AND toxic = 0) AS failed FROM labels",
+    "last_write_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+    "seeded_sample": "SELECT doc_id, md5('7:' || doc_id) AS turn FROM documents ORDER BY turn, doc_id LIMIT 100",
+    "token_estimates": r"SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM documents",
+    "passage_scores": """SELECT CAST(l_orderkey AS VARCHAR) AS item_id, 'yes' AS answer, count(DISTINCT l_partkey) AS n_passages, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS n_gold,
+  round(count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') / count(DISTINCT l_partkey), 6) AS "precision" FROM lineitem GROUP BY l_orderkey HAVING n_gold > 0""",
+}
