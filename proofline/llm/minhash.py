@@ -7,12 +7,14 @@ one node.  Nodes that agree on all registers of a band are candidates; the
 registers' collision-corrected Jaccard estimate drops hopeless ones, and the
 others are compared on their full sets.
 
-No bucket is expanded into all its pairs.  First every node is compared with
-its buckets' most central node (the one with most bucket mates: in a group of
-edited copies, the original); then, where a bucket still holds several
-components, with two seeded members of other components; and at last exactly
-the pairs of different components that share a bucket are compared.  So each
-candidate pair is either compared or already known to be connected.
+No large bucket is expanded into all its pairs.  First every node is compared
+with its buckets' most central node (the one with most bucket mates: in a group
+of edited copies, the original) and with two seeded members.  What is linked
+then needs no more comparing.  Of buckets that still hold several components,
+small ones are compared pair by pair across components; the nodes of others go
+through an exact prefix filter on their shingles: only pairs that share one of
+their rarest shingles are compared.  So each similar pair is either compared or
+known to be connected.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ _HASHES = BANDS * ROWS
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _XOR = _RANDOM.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _TIMES = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Mixed buckets of up to so many nodes are compared pair by pair, a bounded number for each node.
+SMALL_BUCKET = 16
+#: So many document ids (8 bytes each) may be broadcast.
+BROADCAST_IDS = 2_000_000
 #: Sets are sketched in pieces of so many shingles.
 _PIECE = 4096
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
@@ -145,6 +151,41 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _open(busy: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, key, mates, root) of the buckets that hold more than one component."""
+    labelled = busy.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return labelled.join(mixed, "key")
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ``left`` (node, root) in different components that can be similar, by their rarest shingles.
+
+    Two sets with ``percent`` of their union in common cannot miss each other
+    in the rarest (100 - percent) percent, and one more, of either's shingles.
+    What many texts have in common is frequent and so in no prefix, unless it
+    is nearly all of a text; then what stands before it in that order, and is
+    not shared, tells how much can be shared at most.
+    """
+    shingles = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = shingles
+    often = known.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    rare = known.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    # A shingle of one text alone comes before all these; it takes a place in the prefix and meets nothing.
+    length = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - (n - size(common))")
+    prefix = rare.withColumn("length", length).where("length > 0")
+    placed = prefix.select("node", "root", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", 1, F.col("length"))).alias("at", "one"))
+    spread = checkpointed(placed.select("one.shingle", "one.often", "node", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("upto")))
+    # Shingles of a shared passage stand in the same texts: of those with equal postings the first in order is enough.
+    postings = [F.count("*").alias("texts"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")]
+    mixed = spread.groupBy("shingle", "often").agg(F.min("root").alias("low"), F.max("root").alias("high"), *postings).where("low <> high")
+    spread = spread.join(mixed.groupBy("texts", "one", "two").agg(F.min(F.struct("often", "shingle"))["shingle"].alias("shingle")).select("shingle"), "shingle")
+    other = spread.select("shingle", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("m"), F.col("upto").alias("y_upto"))
+    # From the first common shingle on (``upto`` counts from there), both have room for all that they must share.
+    enough = f"root < y_root and {100 + percent} * least(upto, y_upto) >= {percent} * (n + m)"
+    return _pairs(spread.withColumnRenamed("node", "x").join(other, "shingle").where(enough))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, ...).
 
@@ -166,34 +207,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     busy = checkpointed(bands.join(shared, "key"))
     central = busy.groupBy("node").agg(F.sum("mates").alias("mates"))
     members = nodes.select("node", "first_id").join(central.select("node"), "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi")
+    # Few ids go to where the texts are; many are worth moving the texts.
+    few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id", "left_semi")
     sets = checkpointed(texts.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]))
 
-    leaders = busy.drop("mates").join(central, "node").groupBy("key").agg(F.max(F.struct("mates", "node"))["node"].alias("y"))
-    tested = checkpointed(_pairs(busy.select("key", F.col("node").alias("x")).join(leaders, "key")))
+    turn = F.xxhash64(F.lit(1), "node")
+    one = lambda half: F.min(F.when(F.pmod(turn, F.lit(2)) == half, F.struct(turn.alias("turn"), "node")))["node"]
+    some = busy.drop("mates").join(central, "node").groupBy("key").agg(F.array(F.max(F.struct("mates", "node"))["node"], one(0), one(1)).alias("some"))
+    met = busy.select("key", F.col("node").alias("x")).join(some.select("key", F.explode("some").alias("y")), "key")
+    tested = checkpointed(_pairs(met.where("y is not null")))
     links = checkpointed(_verified(tested, nodes, sets, percent))
     roots = connected(links)
-    for last in (False, True):
-        labelled = busy.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        open_ = checkpointed(labelled.join(mixed, "key"))
-        if open_.isEmpty():
-            break
-        if last:
-            other = open_.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
-            joined = open_.withColumnRenamed("node", "x").join(other, "key").where("root < y_root")
-        else:
-            turn = F.xxhash64(F.lit(1), "node")
-            some = open_.groupBy("key", F.pmod(turn, F.lit(2)).alias("half")).agg(F.min(F.struct(turn.alias("turn"), "node", "root")).alias("one"))
-            other = some.select("key", F.col("one.node").alias("y"), F.col("one.root").alias("y_root"))
-            joined = open_.withColumnRenamed("node", "x").join(other, "key").where("root <> y_root")
-        fresh = checkpointed(_pairs(joined).join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
+    open_ = checkpointed(_open(busy, roots))
+    if not open_.isEmpty():
+        small = open_.where(F.col("mates") <= SMALL_BUCKET)
+        other = small.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
+        near = _pairs(small.withColumnRenamed("node", "x").join(other, "key").where("root < y_root"))
+        far = _prefix_pairs(open_.where(F.col("mates") > SMALL_BUCKET).select("node", "root").distinct(), sets, percent)
+        fresh = checkpointed(near.unionByName(far).distinct().join(tested, ["a", "b"], "left_anti"))
         found = checkpointed(_verified(fresh, nodes, sets, percent))
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(found)
-        roots = connected(links)
+        if not found.isEmpty():
+            roots = checkpointed(connected(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
     component = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = component.groupBy("root").agg(F.min("first_id").alias("component_id"))
