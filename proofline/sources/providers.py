@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -47,7 +48,7 @@ def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "t
                 yield pa.RecordBatch.from_arrays([*piece.columns, vectors], names=[*piece.schema.names, "embedding"])
 
     kept = rows.drop("embedding")
-    return kept.mapInArrow(embedded, kept.schema.add("embedding", "array<float>"))
+    return kept.mapInArrow(embedded, T.StructType([*kept.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def complete_column(rows: DataFrame, make: Callable[[], ChatModel], column: str = "prompt") -> DataFrame:
@@ -70,4 +71,4 @@ def complete_column(rows: DataFrame, make: Callable[[], ChatModel], column: str
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*part.schema.names, "reply", "error"])
 
     kept = rows.drop("reply", "error")
-    return kept.mapInArrow(asked, kept.schema.add("reply", "string").add("error", "string"))
+    return kept.mapInArrow(asked, T.StructType([*kept.schema, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
