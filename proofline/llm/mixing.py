@@ -2,8 +2,8 @@
 
 Documents are counted by exact length within each source.  A source's target
 is met by whole repeats of all its documents plus a remaining budget.  That
-budget takes the same share of every length first; what rounding leaves is
-fitted by a bounded-knapsack programme over lengths.  Which documents of a
+budget takes the same share of all lengths first; what rounding leaves, less
+than one long document, is fitted by a bounded-knapsack programme over lengths.  Which documents of a
 length are taken is decided by a seeded order, found from bucket counts so
 that a frequent length is never ranked as a whole.
 """
@@ -62,9 +62,19 @@ def fit_budget(lengths: Sequence[tuple[int, int]], budget: int) -> dict[int, int
     total = sum(length * count for length, count in lengths)
     if budget <= 0 or not total:
         return {}
-    taken = {length: count * budget // total for length, count in lengths}
+    # Every length gets its share; what a share has too few words for goes on to the next length.
+    taken, due = {}, 0
+    for length, count in sorted(lengths):
+        due += length * count * budget
+        taken[length] = min(count, due // (length * total)) if length else 0
+        due -= taken[length] * length * total
     left = budget - sum(length * n for length, n in taken.items())
     spare = {length: count - taken[length] for length, count in lengths if length > 0}
+    # One document of each of the shortest lengths is up for choice again, so that small sums are free to fit.
+    for length in sorted(x for x in spare if taken[x] > 0)[: KNAPSACK_LENGTHS // 2]:
+        taken[length] -= 1
+        spare[length] += 1
+        left += length
     for length in sorted(spare, reverse=True):
         if left <= KNAPSACK_BUDGET:
             break
@@ -72,7 +82,7 @@ def fit_budget(lengths: Sequence[tuple[int, int]], budget: int) -> dict[int, int
         taken[length] += n
         spare[length] -= n
         left -= n * length
-    usable = [(length, min(n, left // length + 1)) for length, n in sorted(spare.items()) if n > 0 and length <= left + 1]
+    usable = [(length, min(n, left // length + 1)) for length, n in sorted(spare.items()) if n > 0 and length <= 2 * left]
     if len(usable) > KNAPSACK_LENGTHS:
         half = KNAPSACK_LENGTHS // 2
         step = (len(usable) - half) / half
