@@ -103,13 +103,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Dat
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` with every hit stretch of words, and what stands between those words, cut out of the text."""
-    spans = decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_md5").alias("hit_md5"), "spans").dropDuplicates(["hit_id", "hit_md5"])
+    spans = decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_md5").alias("hit_md5"), F.col("spans").alias("__spans")).dropDuplicates(["hit_id", "hit_md5"])
     keyed = docs.withColumn("__md5", F.md5(F.col("text").cast("binary")))
     joined = keyed.join(spans, F.expr("doc_id <=> hit_id and __md5 <=> hit_md5"), "left")
     # Raw words and the gaps before, between and behind them; lower-casing A-Z keeps both aligned.
     raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     parts = joined.withColumns({"__words": F.regexp_extract_all("text", F.lit(raw), F.lit(0)), "__gaps": F.split("text", raw, -1)})
     kept = """concat(get(__gaps, 0), array_join(transform(__words, (w, i) ->
-        if(exists(spans, s -> i + 1 between s.first and s.last), '', w)
-        || if(exists(spans, s -> i + 1 >= s.first and i + 1 < s.last), '', get(__gaps, i + 1))), ''))"""
-    return parts.withColumn("text", F.expr(f"if(spans is null, text, {kept})")).select(*docs.columns)
+        if(exists(__spans, s -> i + 1 between s.first and s.last), '', w)
+        || if(exists(__spans, s -> i + 1 >= s.first and i + 1 < s.last), '', get(__gaps, i + 1))), ''))"""
+    return parts.withColumn("text", F.expr(f"if(__spans is null, text, {kept})")).select(*docs.columns)
