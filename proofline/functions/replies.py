@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def json_object(reply: Column) -> Column:
     """The text of the JSON object in a reply: without fences, else from the first { to the last }; null if none parses."""
-    bare = F.trim(F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|```\s*$", ""))
+    bare = F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
     inner = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
     is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{")) & F.json_object_keys(x).isNotNull()
     return F.when(is_object(bare), bare).when(is_object(inner), inner)
@@ -29,7 +29,7 @@ def judge_array(reply: Column, expected: Column) -> Column:
     What cannot be read is all false.
     """
     entry = "array<struct<entails: string, reason: string>>"
-    text = F.trim(F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|```\s*$", ""))
+    text = F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
     body = F.when(F.startswith(text, F.lit("[")), text).otherwise(
         F.coalesce(F.get_json_object(text, "$.judgments"), F.get_json_object(text, "$.results"), F.get_json_object(text, "$.items"), F.when(F.startswith(text, F.lit("{")), F.concat(F.lit("["), text, F.lit("]"))))
     )
