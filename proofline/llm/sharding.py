@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import tagged
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17, rows_per_bucket: int = 50_000) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17, rows_per_bucket: int = 5_000) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` (replacing columns of these names).
 
     ``docs`` has (doc_id, text, source) and any further columns, which are
