@@ -8,13 +8,28 @@ are compared with the item's.
 
 from __future__ import annotations
 
+from string import ascii_letters, ascii_lowercase, digits
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_az
 
-#: A word is a run of ASCII letters and digits and of any character beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _run_of(inside: str) -> str:
+    """The pattern of a run of ``inside`` and of characters beyond ASCII.
+
+    It names each character that ends a run: Java looks such a class up in one
+    table, where it would test a class of ranges range by range.
+    """
+    return "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in inside) + "]+"
+
+
+#: A word is a run of ASCII letters and digits and of any character beyond ASCII; A-Z are in lower case already.
+WORD = _run_of(ascii_lowercase + digits)
+#: The same words before A-Z are in lower case.
+RAW_WORD = _run_of(ascii_letters + digits)
 
 
 def normalised_words(text: Column) -> Column:
@@ -75,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit:
     marks words but is not listed; equal rows get equal results; an empty
     benchmark leaves all clean.
     """
-    base = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce(F.regexp_count(lower_az(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     per_text = (
         find_hits(docs, benchmark, n, set_limit)
         .groupBy("doc_id", "text_md5")
@@ -107,8 +122,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     keyed = docs.withColumn("__md5", F.md5(F.col("text").cast("binary")))
     joined = keyed.join(spans, F.expr("doc_id <=> hit_id and __md5 <=> hit_md5"), "left")
     # Raw words and the gaps before, between and behind them; lower-casing A-Z keeps both aligned.
-    raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    parts = joined.withColumns({"__words": F.regexp_extract_all("text", F.lit(raw), F.lit(0)), "__gaps": F.split("text", raw, -1)})
+    parts = joined.withColumns({"__words": F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)), "__gaps": F.split("text", RAW_WORD, -1)})
     kept = """concat(get(__gaps, 0), array_join(transform(__words, (w, i) ->
         if(exists(__spans, s -> i + 1 between s.first and s.last), '', w)
         || if(exists(__spans, s -> i + 1 >= s.first and i + 1 < s.last), '', get(__gaps, i + 1))), ''))"""
