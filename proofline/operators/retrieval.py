@@ -10,6 +10,8 @@ from ..functions import sets as S
 
 #: The published constants of Okapi BM25 and reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
+#: So many queries are broadcast at once.
+BLOCK = 4096
 _TERM = r"[\p{L}\p{N}]+"
 
 
@@ -42,16 +44,28 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def in_blocks(queries: DataFrame, key: str, size: int = BLOCK) -> list[DataFrame]:
+    """``queries`` dealt by their key into blocks of about ``size`` rows, small enough for broadcast."""
+    n = max(1, -(-queries.count() // size))
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == at) for at in range(n)]
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, apart: bool = False, size: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine top ``k`` of ``vectors`` (doc_id, embedding) for ``queries`` (query_id, embedding).
 
-    Queries are a stated set against all vectors.  Vectors are scaled once, so
-    each pair is one dot product, and tasks keep ``k`` rows of a query before
-    anything is shuffled.
+    Any number of queries meets all vectors, a block of ``size`` queries after
+    the other.  Vectors are scaled once, so each pair is one dot product, and
+    tasks keep ``k`` rows of a query before anything is shuffled.  With
+    ``apart`` a query is no neighbour of the vector that has its own id.
     """
-    q = queries.select("query_id", S.unit(F.col("embedding")).alias("q"))
     v = vectors.select("doc_id", S.unit(F.col("embedding")).alias("v"))
-    return top_k(v.crossJoin(q).select("query_id", "doc_id", F.round(S.dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+    found = None
+    for block in in_blocks(queries.select("query_id", "embedding"), "query_id", size):
+        q = F.broadcast(block.select("query_id", S.unit(F.col("embedding")).alias("q")))
+        pairs = v.crossJoin(q).where("query_id <> doc_id" if apart else "true")
+        best = top_k(pairs.select("query_id", "doc_id", F.round(S.dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def fuse(rankings: list[DataFrame], k: int) -> DataFrame:

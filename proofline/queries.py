@@ -2,13 +2,16 @@
 
 How the citation pipeline's concepts lie on the tables: ``documents`` are the
 corpus and ``benchmark`` its questions; ``embeddings`` hold answer sentences
-(vec_id below 50) and candidates; ``events`` are replica runs (question: user_id
+(vec_id below 50; in the queries named _whole, every vec_id divisible by 20) and
+candidates (the others; in those named _whole, all but itself); ``events`` are replica runs (question: user_id
 % 20, run: event_type, cited id: k); ``labels`` are verdicts; ``lineitem`` orders
 are items with predicted (returned) and gold (fulfilled) parts.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,44 +22,51 @@ from .sources import readers
 
 #: The stated answer sentences among the vectors, and the threshold that suits these vectors.
 ANSWER_VECTORS, TAU = 50, 0.3
+#: In the queries named _whole, every vector whose id is divisible by this asks, and all vectors are candidates.
+QUERY_STEP = 20
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _answers_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = _t(spark, sf_dir, "embeddings")
-    answers = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sentence_no"), "embedding")
-    candidates = v.where(F.col("vec_id") >= ANSWER_VECTORS).select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sid"), "embedding")
-    return F.broadcast(answers), candidates
+def _queries_and_candidates(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """The vectors that ask and those that are found; ``whole``: every ``QUERY_STEP``-th id asks and all are found, but never a vector by itself."""
+    v, at = _t(spark, sf_dir, "embeddings"), F.col("vec_id")
+    return (v.where(at % QUERY_STEP == 0), v) if whole else (v.where(at < ANSWER_VECTORS), v.where(at >= ANSWER_VECTORS))
+
 
+def _similarities(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    queries, found = _queries_and_candidates(spark, sf_dir, whole)
+    answers = queries.select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sentence_no"), "embedding")
+    candidates = found.select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sid"), "embedding")
+    blocks = [citation.similarities(F.broadcast(block), candidates) for block in retrieval.in_blocks(answers, "sentence_no")]
+    return reduce(DataFrame.unionByName, blocks).where("sentence_no <> sid")
 
-def align_topk_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citation.align(*_answers_and_candidates(spark, sf_dir), tau=TAU, top_k=3).select("sentence_no", "sid", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
+def align_topk_tau(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    found = citation.rank_pairs(_similarities(spark, sf_dir, whole), TAU, 3)
+    return found.select("sentence_no", "sid", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
-def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = citation.similarities(*_answers_and_candidates(spark, sf_dir))
-    found = citation.sweep(pairs, ANSWER_VECTORS, [0.25, 0.3, 0.35, 0.4, 0.45], [1, 2, 3, 5])
+
+def parameter_sweep(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    n_answers = _queries_and_candidates(spark, sf_dir, True)[0].count() if whole else ANSWER_VECTORS
+    found = citation.sweep(_similarities(spark, sf_dir, whole), n_answers, [0.25, 0.3, 0.35, 0.4, 0.45], [1, 2, 3, 5])
     return found.select("tau", F.col("top_k").cast("long").alias("top_k"), "n_citations", "cited", "uncited", "per_sentence")
 
 
-def retrieval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _t(spark, sf_dir, "embeddings")
-    q = v.where(F.col("vec_id") < ANSWER_VECTORS)
+def retrieval_recall_at_k(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    q, corpus = _queries_and_candidates(spark, sf_dir, whole)
     queries = q.select(F.col("vec_id").alias("query_id"), "embedding")
-    corpus = v.where(F.col("vec_id") >= ANSWER_VECTORS)
-    pool = retrieval.vector_search(F.broadcast(queries), corpus.select(F.col("vec_id").alias("doc_id"), "embedding"), 20).select("query_id", F.col("doc_id").alias("sid"))
-    gold = q.select(F.col("vec_id").alias("query_id"), "label").join(corpus.select("label", F.col("vec_id").alias("sid")), "label").select("query_id", "sid")
+    pool = vector_topk(spark, sf_dir, whole).select("query_id", F.col("doc_id").alias("sid"))
+    gold = q.select(F.col("vec_id").alias("query_id"), "label").join(corpus.select("label", F.col("vec_id").alias("sid")), "label").where("query_id <> sid").select("query_id", "sid")
     found = retrieval.recall_at_k(gold, pool, queries)
     return found.select("query_id", F.col("n_gold").cast("long").alias("n_gold"), F.round("recall", 6).alias("recall"))
 
 
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _t(spark, sf_dir, "embeddings")
-    queries = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.col("vec_id").alias("query_id"), "embedding")
-    found = retrieval.vector_search(F.broadcast(queries), v.where(F.col("vec_id") >= ANSWER_VECTORS).select(F.col("vec_id").alias("doc_id"), "embedding"), 20)
+def vector_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    queries, corpus = _queries_and_candidates(spark, sf_dir, whole)
+    found = retrieval.vector_search(queries.select(F.col("vec_id").alias("query_id"), "embedding"), corpus.select(F.col("vec_id").alias("doc_id"), "embedding"), 20, apart=whole)
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -259,29 +269,29 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_rrf(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Vector neighbours of a query by cosine, fused with those of its own label in order of id."""
-    v = _t(spark, sf_dir, "embeddings")
-    ranked = vector_topk(spark, sf_dir)
-    q = v.where(F.col("vec_id") < ANSWER_VECTORS).select(F.col("vec_id").alias("query_id"), "label")
-    same = q.join(v.where(F.col("vec_id") >= ANSWER_VECTORS).select("label", F.col("vec_id").alias("doc_id")), "label")
+    ranked = vector_topk(spark, sf_dir, whole)
+    queries, corpus = _queries_and_candidates(spark, sf_dir, whole)
+    q = queries.select(F.col("vec_id").alias("query_id"), "label")
+    same = q.join(corpus.select("label", F.col("vec_id").alias("doc_id")), "label").where("query_id <> doc_id")
     by_label = retrieval.top_k(same.select("query_id", "doc_id", F.lit(0.0).alias("score")), 20)
     return retrieval.fuse([ranked, by_label], 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ranked = vector_topk(spark, sf_dir)
+def _hits(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    ranked = vector_topk(spark, sf_dir, whole)
     chunk_hits = ranked.where("rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
     sentence_hits = ranked.where("rank > 3").select("query_id", (F.col("doc_id") - F.col("doc_id") % 2).alias("chunk_id"), F.col("doc_id").alias("sid"), "rank")
     return chunk_hits, sentence_hits
 
 
-def dual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dual_context(*_hits(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+def dual_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return retrieval.dual_context(*_hits(spark, sf_dir, whole)).withColumn("place", F.col("place").cast("long"))
 
 
-def layout_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.layout_agreement(*_hits(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
+def layout_agreement(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return retrieval.layout_agreement(*_hits(spark, sf_dir, whole)).withColumn("agreement", F.round("agreement", 6))
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -317,14 +327,14 @@ def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.span_text(lines, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid"), F.col("p_name").alias("text")))
 
 
-def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = vector_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("sid"), "rank")
+def union_candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = vector_topk(spark, sf_dir, whole).select("query_id", F.col("doc_id").alias("sid"), "rank")
     seeds = hits.where("rank in (1, 4) or sid % 5 = 0")
     return gates.union_candidates(hits, seeds, 10)
 
 
-def union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = vector_topk(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("doc_id").cast("string").alias("sid"), F.col("rank").alias("at"))
+def union_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    ids = vector_topk(spark, sf_dir, whole).select(F.col("query_id").alias("question_id"), F.col("doc_id").cast("string").alias("sid"), F.col("rank").alias("at"))
     gold = ids.where("at <= 4").groupBy("question_id").agg(F.array_sort(F.collect_list("sid")).alias("g"))
     items = gold.select("question_id", F.array(F.slice("g", 1, 2), F.slice("g", 3, 2)).alias("gold_citations"))
     merged = gates.merge_additions(items, ids.where("at between 3 and 6"))
@@ -381,6 +391,9 @@ QUERIES = {
         last_write_wins, seeded_sample, token_estimates, passage_scores,
     )
 }
+#: The searches are registered over the whole set too; what they give is compared with SQL of its own.
+WHOLE = ("align_topk_tau", "parameter_sweep", "retrieval_recall_at_k", "vector_topk", "hybrid_rrf", "dual_context", "layout_agreement", "union_candidates", "union_merge")
+QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE}
 
 _COSINES = f"""
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -504,3 +517,14 @@ SELECT query_id AS question_id, array_to_string(g[1:2] || list_filter(a, lambda
     "passage_scores": """SELECT CAST(l_orderkey AS VARCHAR) AS item_id, 'yes' AS answer, count(DISTINCT l_partkey) AS n_passages, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS n_gold,
   round(count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') / count(DISTINCT l_partkey), 6) AS "precision" FROM lineitem GROUP BY l_orderkey HAVING n_gold > 0""",
 }
+
+
+def _whole_sql(sql: str) -> str:
+    """The SQL of a search over the whole set: every ``QUERY_STEP``-th id against all other vectors."""
+    asks = f"vec_id % {QUERY_STEP} = 0"
+    sql = sql.replace(f"q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}", f"q.{asks} AND c.vec_id <> q.vec_id").replace(f"q.vec_id < {ANSWER_VECTORS}", f"q.{asks}")
+    n_answers = f"(SELECT count(*) FROM v WHERE {asks})"
+    return sql.replace(f"{ANSWER_VECTORS} - coalesce", f"{n_answers} - coalesce").replace(f"/ {ANSWER_VECTORS},", f"/ {n_answers},")
+
+
+ORACLES |= {f"{name}_whole": _whole_sql(ORACLES[name]) for name in WHOLE}

@@ -143,3 +143,14 @@ def test_models_fail_row_by_row(spark):
     assert found == {"ok": ("OK", None), "bad": (None, "ValueError: no")}
     vectors = providers.embed_column(rows, providers.HashingEmbedder, "prompt").collect()
     assert all(abs(sum(x * x for x in v.embedding) - 1) < 1e-5 for v in vectors)
+
+
+def test_vector_search_asks_with_any_number_of_queries_in_blocks(spark):
+    vectors = spark.range(60).select(F.col("id").alias("doc_id"), F.transform(F.array(*map(F.lit, range(8))), lambda k: F.sin(F.col("id") * (k + 1.5)) + 0.1).alias("embedding"))
+    rows = {r.doc_id: r.embedding for r in vectors.collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    queries = vectors.select(F.col("doc_id").alias("query_id"), "embedding")
+    found = retrieval.vector_search(queries, vectors, 3, apart=True, size=7)
+    expected = {(q, d, r + 1) for q in rows for r, d in enumerate(sorted((d for d in rows if d != q), key=lambda d: (-round(cosine(rows[q], rows[d]), 6), d))[:3])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in found.collect()} == expected
+    assert {r["rank"] for r in retrieval.vector_search(queries, vectors, 1).where("query_id = doc_id").collect()} == {1}
