@@ -3,9 +3,11 @@
 Each text's measures are whole numbers.  A sketch of a group's measure counts
 values in bins of relative width 1/64 (values below 128 are exact); sketches
 of (language, source) groups add up to those of languages and of the corpus.
-A limit is the median plus or minus a multiple of the spread on the clean side
-of it, so a source that is one half junk does not move its own limit, and no
-share of the documents is cut for being last in order.
+A limit is the median plus or minus a multiple of the spread.  The spread of
+symbols and word lengths is taken on the clean side of the median, so a source
+that is one half junk does not move its own limit.  Repeated lines and words are
+absent from most texts, so that side has no spread; theirs is the distance to a
+high quantile.  No share of the documents is cut for being last in order.
 """
 
 from __future__ import annotations
@@ -26,20 +28,20 @@ LEAST_GROUP = 100
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: By measure: the side that is bad, the least spread, and the multiple of the spread allowed.
+#: By measure: the side that is bad, the quantile (percent) whose distance from the median is the spread, the multiple of it allowed, and what guards against no spread.
 MEASURES = {
-    "symbol_rate": ("high", 60, 4),
-    "dup_line_rate": ("high", 75, 4),
-    "repeat_rate": ("high", 75, 4),
-    "word_length": ("high", 100, 5),
-    "word_length_low": ("low", 100, 5),
+    "symbol_rate": ("high", 10, 4, 10),
+    "dup_line_rate": ("high", 99, 1.5, 20),
+    "repeat_rate": ("high", 95, 8, 5),
+    "word_length": ("high", 10, 5, 8),
+    "word_length_low": ("low", 90, 4, 8),
 }
 
 
-def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """Words, their characters, symbols, lines that repeat an earlier one, and words in repeated three-word windows."""
+def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """Words, their characters, symbols, lines that repeat an earlier one, words in repeated three-word windows, and lines."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = _WORD.findall(text)
     lines = [line for line in text.split("\n") if _WORD.search(line)]
     ids: dict[str, int] = {}
@@ -53,14 +55,14 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
         for k in range(3):
             covered[k : k + len(often)] |= often
         repeated = int(covered.sum())
-    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
+    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [text_counts(text.as_py()) for text in batch.column("text")]
-        columns = list(zip(*found, strict=True)) or [()] * len(_COUNTS)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "lang", "source", *_COUNTS])
+        columns = list(zip(*found, strict=True)) or [()] * (len(_COUNTS) + 1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "lang", "source", *_COUNTS, "n_lines"])
 
 
 def sketch_bin(value: Column) -> Column:
@@ -82,11 +84,13 @@ def thresholds(measured: DataFrame) -> DataFrame:
     by_lang = by_source.groupBy("lang_key", "measure", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
 
+    percents = sorted({percent for _, percent, _, _ in MEASURES.values()})
+
     def quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
         group = Window.partitionBy(*keys, "measure")
         ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("of", F.sum("n").over(group))
         at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("of") * percent, F.col("bin")))
-        return ranked.groupBy(*keys, "measure").agg(F.struct(F.max("of").alias("of"), at(10).alias("low"), at(50).alias("mid"), at(90).alias("high")).alias(name))
+        return ranked.groupBy(*keys, "measure").agg(F.struct(F.max("of").alias("of"), at(50).alias("mid"), *(at(p).alias(f"at{p}") for p in percents)).alias(name))
 
     groups = measured.select("lang_key", "source_key").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
     joined = (
@@ -96,10 +100,10 @@ def thresholds(measured: DataFrame) -> DataFrame:
     )
     q = F.when(F.col("own.of") >= LEAST_GROUP, F.col("own")).when(F.col("lang.of") >= LEAST_GROUP, F.col("lang")).otherwise(F.col("all"))
     limit, bad = F.lit(None).cast("long"), F.lit(None).cast("string")
-    for name, (side, least, times) in MEASURES.items():
-        spread = F.greatest(F.lit(least), F.col("q.mid") - F.col("q.low") if side == "high" else F.col("q.high") - F.col("q.mid"))
+    for name, (side, percent, times, guard) in MEASURES.items():
+        spread = F.greatest(F.lit(guard), F.abs(F.col(f"q.at{percent}") - F.col("q.mid")))
         here = F.col("measure") == name
-        limit = F.when(here, F.col("q.mid") + (times if side == "high" else -times) * spread).otherwise(limit)
+        limit = F.when(here, (F.col("q.mid") + (times if side == "high" else -times) * spread).cast("long")).otherwise(limit)
         bad = F.when(here, F.lit(side)).otherwise(bad)
     return joined.withColumn("q", q).select("lang_key", "source_key", "measure", limit.alias("limit"), bad.alias("bad"))
 
@@ -115,19 +119,19 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     sources are groups of their own; small groups use their language's limits;
     repeated rows are judged alike; an empty table gives no rows.
     """
-    counts = docs.select("doc_id", "text", "lang", "source").mapInArrow(_counted, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counts = docs.select("doc_id", "text", "lang", "source").mapInArrow(_counted, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_lines")))
     rate = lambda part, whole: F.expr(f"if({whole} > 0, 1000 * {part} div {whole}, 0L)")
     measured = checkpointed(
         counts.withColumns({
             "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"),
-            "symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_words"), "repeat_rate": rate("n_repeat_words", "n_words"),
+            "symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"), "repeat_rate": rate("n_repeat_words", "n_words"),
             "word_length": F.expr("if(n_words > 0, 100 * word_chars div n_words, 0L)"), "lang_key": tagged(F.col("lang")), "source_key": tagged(F.col("source")),
         })
     )
     pivot = {name: F.max(F.when(F.col("measure") == name, F.col("limit"))).alias(f"{name}_limit") for name in MEASURES}
     limits = thresholds(measured).groupBy("lang_key", "source_key").agg(*pivot.values())
     beyond = F.lit(False)
-    for name, (side, _, _) in MEASURES.items():
+    for name, (side, *_) in MEASURES.items():
         value, limit = F.col(name.removesuffix("_low")), F.col(f"{name}_limit")
         beyond = beyond | F.coalesce(value > limit if side == "high" else value < limit, F.lit(False))
     judged = measured.join(limits, ["lang_key", "source_key"], "left").withColumn("kept", ~F.col("base_failed") & ~beyond)

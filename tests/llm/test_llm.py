@@ -89,6 +89,18 @@ def test_quality_counts_and_verdicts(spark):
     assert all(r.q > 0.9 if r.kept else r.q < 0.1 for r in rows)
 
 
+def test_quality_limits_follow_the_spread_and_can_be_reached(spark):
+    row = lambda k, lines: (k, "\n".join(lines), "en", "a", 1)
+    word = lambda k, n: (f"{k:x}q" * 9)[:n]
+    texts = [[" ".join(word(1000 * k + 20 * i + j, 5 + (k + j) % 2) for j in range(20)) for i in range(5)] for k in range(1, 201)]
+    low = [" ".join(f"{j:x}" for j in range(20 * i, 20 * i + 20)) for i in range(5)]
+    repeated = [*(["ab cd"] * 4), *(" ".join(word(900_000 + 20 * i + j, 5 + j % 2) for j in range(25)) for i in range(4))]
+    rows = [*(row(k, lines) for k, lines in enumerate(texts)), row(900, low), row(901, repeated), row(902, [f"{texts[0][0]} # # # # # #", *texts[0][1:]])]
+    found = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[k].kept for k in range(200)) and not any(found[k].base_failed for k in (900, 901, 902))
+    assert not found[900].kept and not found[901].kept and not found[902].kept
+
+
 # 3
 def test_secrets_are_told_from_what_looks_alike(spark):
     model = secrets.train(secrets.made_findings(spark))
