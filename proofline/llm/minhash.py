@@ -80,14 +80,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
         some = [len(s) > 0 for s in sets]
+        carried = batch.schema.names[:-1]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                *(batch.column(c) for c in carried),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if x else None for s, x in zip(sets, some, strict=True)], pa.binary()),
                 pa.array([sketch(s).tobytes() if x else None for s, x in zip(sets, some, strict=True)], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "node", "registers"],
+            names=[*carried, "n_shingles", "node", "registers"],
         )
 
 
@@ -198,7 +199,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     doc_id is linked with nothing, has a null component and is kept; a
     repeated doc_id counts as one document wherever its texts are equal.
     """
-    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, node binary, registers binary"))
+    rows, by_node = _components(docs.select("doc_id", "text"), percent)
+    known = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node.select("node", "component_id"), "node", "left")
+    return known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, others, text) as (doc_id, others, n_shingles, node, registers), and (node, root, component_id) of the nodes with a doc_id."""
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1])
+    rows = checkpointed(docs.mapInArrow(_sketches, f"{carried}, n_shingles long, node binary, registers binary"))
     nodes = checkpointed(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", width * k + 1, width)) for k in range(BANDS)))
@@ -232,18 +241,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     component = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = component.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = component.join(lowest, "root").select("node", "component_id")
-    known = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node, "node", "left")
-    return known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return rows, component.join(lowest, "root").select("node", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each group of near duplicates; all columns are kept.
 
-    The row with the group's smallest doc_id stays.  Rows that repeat its
-    doc_id and text are reduced to one; rows without a doc_id all stay.
+    Rows are told apart by doc_id and text, so other texts of a repeated doc_id
+    stay.  Of each group the row with the smallest doc_id, then the smallest
+    digest of its text, stays.  Rows that repeat its doc_id and text are reduced
+    to one; rows without a doc_id all stay.
     """
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.where("doc_id is not null").join(gone, F.expr("doc_id = gone_id"), "left_anti")
-    single = left.withColumn("__md5", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "__md5"]).drop("__md5")
-    return single.unionByName(docs.where("doc_id is null"))
+    md5 = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), md5.alias("md5"), "text"), percent)
+    grouped = rows.where("doc_id is not null and node is not null").select("doc_id", "md5", "node").join(by_node.select("node", "root"), "node")
+    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("first"))
+    gone = grouped.join(first, "root").where("first.doc_id <> doc_id or first.md5 <> md5").select(F.col("doc_id").alias("gone_id"), F.col("md5").alias("gone_md5")).distinct()
+    left = docs.where("doc_id is not null").withColumn("__md5", md5).join(gone, F.expr("doc_id = gone_id and __md5 = gone_md5"), "left_anti")
+    return left.dropDuplicates(["doc_id", "__md5"]).drop("__md5").unionByName(docs.where("doc_id is null"))

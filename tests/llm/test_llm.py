@@ -316,6 +316,19 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert minhash.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def test_dropping_near_duplicates_keeps_other_texts_of_a_repeated_id(spark):
+    text = {name: " ".join(f"{name}{k}" for k in range(80)) for name in ("p", "q", "r")}
+    near = {name: f"{t} more" for name, t in text.items()}
+    cases = [
+        ([(3, text["p"]), (5, near["p"]), (5, text["q"])], [{(3, text["p"])}, {(5, text["q"])}]),
+        ([(3, text["p"]), (7, near["p"]), (3, text["q"]), (1, near["q"])], [{(3, text["p"])}, {(1, near["q"])}]),
+        ([(3, text["r"]), (3, near["r"]), (3, text["r"]), (4, near["r"])], [{(3, text["r"]), (3, near["r"])}]),
+    ]
+    for rows, groups in cases:
+        kept = [tuple(r) for r in minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert len(kept) == len(groups) and all(len(group & set(kept)) == 1 for group in groups)
+
+
 # pipeline
 def test_pipeline_is_its_stages_one_after_another(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
