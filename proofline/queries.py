@@ -109,23 +109,24 @@ def slice_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _means(metrics.summarize(_item_eval(spark, sf_dir), ["strategy", "difficulty"]), "strategy", "difficulty")
 
 
-def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reviews(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     conf = F.element_at(F.array(F.lit("high"), F.lit("medium")), (F.col("toxic") + 1).cast("int"))
     flags = F.filter(F.array(F.when(F.col("quality") == 0, "unclear"), F.when(F.col("toxic") == 1, "wrong"), F.lit("seen")), lambda x: x.isNotNull())
-    return _t(spark, sf_dir, "labels").where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("question_id"), conf.alias("confidence"), flags.alias("flags"))
+    labels = _t(spark, sf_dir, "labels")
+    return (labels if whole else labels.where(F.col("doc_id") % 3 != 0)).select(F.col("doc_id").alias("question_id"), conf.alias("confidence"), flags.alias("flags"))
 
 
-def reviewer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = metrics.with_reviews(_item_eval(spark, sf_dir), _reviews(spark, sf_dir)).where("confidence is not null")
+def reviewer_slice(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    joined = metrics.with_reviews(_item_eval(spark, sf_dir), _reviews(spark, sf_dir, whole)).where("confidence is not null")
     return _means(metrics.summarize(joined, ["strategy", "confidence"], metrics.MACRO[:4]), "strategy", "confidence")
 
 
-def review_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confidence_counts(_reviews(spark, sf_dir))
+def review_confidences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return metrics.confidence_counts(_reviews(spark, sf_dir, whole))
 
 
-def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.flag_counts(_reviews(spark, sf_dir))
+def review_flags(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return metrics.flag_counts(_reviews(spark, sf_dir, whole))
 
 
 def _faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,8 +392,8 @@ QUERIES = {
         last_write_wins, seeded_sample, token_estimates, passage_scores,
     )
 }
-#: The searches are registered over the whole set too; what they give is compared with SQL of its own.
-WHOLE = ("align_topk_tau", "parameter_sweep", "retrieval_recall_at_k", "vector_topk", "hybrid_rrf", "dual_context", "layout_agreement", "union_candidates", "union_merge")
+#: The searches and reviews are registered over the whole set too; what they give is compared with SQL of its own.
+WHOLE = ("align_topk_tau", "parameter_sweep", "retrieval_recall_at_k", "vector_topk", "hybrid_rrf", "dual_context", "layout_agreement", "union_candidates", "union_merge", "reviewer_slice", "review_confidences", "review_flags")
 QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE}
 
 _COSINES = f"""
@@ -520,7 +521,8 @@ SELECT query_id AS question_id, array_to_string(g[1:2] || list_filter(a, lambda
 
 
 def _whole_sql(sql: str) -> str:
-    """The SQL of a search over the whole set: every ``QUERY_STEP``-th id against all other vectors."""
+    """The SQL over the whole set: every ``QUERY_STEP``-th id against all other vectors, and a review of every label."""
+    sql = sql.replace(" WHERE doc_id % 3 <> 0", "")
     asks = f"vec_id % {QUERY_STEP} = 0"
     sql = sql.replace(f"q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}", f"q.{asks} AND c.vec_id <> q.vec_id").replace(f"q.vec_id < {ANSWER_VECTORS}", f"q.{asks}")
     n_answers = f"(SELECT count(*) FROM v WHERE {asks})"

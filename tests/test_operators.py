@@ -154,3 +154,9 @@ def test_vector_search_asks_with_any_number_of_queries_in_blocks(spark):
     expected = {(q, d, r + 1) for q in rows for r, d in enumerate(sorted((d for d in rows if d != q), key=lambda d: (-round(cosine(rows[q], rows[d]), 6), d))[:3])}
     assert {(r.query_id, r.doc_id, r["rank"]) for r in found.collect()} == expected
     assert {r["rank"] for r in retrieval.vector_search(queries, vectors, 1).where("query_id = doc_id").collect()} == {1}
+
+
+def test_items_without_a_review_stay_with_a_null_confidence(spark):
+    items = spark.createDataFrame([(1,), (2,)], "question_id long")
+    reviews = spark.createDataFrame([(1, "high", ["seen"])], "question_id long, confidence string, flags array<string>")
+    assert {r.question_id: r.confidence for r in metrics.with_reviews(items, reviews).collect()} == {1: "high", 2: None}
