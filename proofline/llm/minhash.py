@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import HOT_SHARE, checkpointed, left_join_hot
 from .shingles import shingle_sets
 
 #: 32 bands of 5: a pair of similarity 0.75 shares none with a chance of 2 in 10,000.
@@ -128,7 +128,9 @@ def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node of its component.
 
     Large-star and small-star steps alternate until the links no longer
-    change; each ends in a checkpoint.  All links then point at a root.
+    change; each ends in a checkpoint.  All links then point at a root.  The
+    number of rounds grows with the logarithm of the links; more than
+    ``max_rounds`` raise RuntimeError.
     """
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
     before = None
@@ -169,9 +171,13 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     not shared, tells how much can be shared at most.
     """
     shingles = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    known = shingles
-    often = known.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    rare = known.join(often, "shingle").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    often = checkpointed(shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    # The shingles that more than one row in HOT_SHARE has, fewer than HOT_SHARE, are broadcast: their rows stay where they are.
+    least = often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0] / HOT_SHARE
+    hot = often.where(F.col("often") > least)
+    cold = shingles.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti").join(often.where(F.col("often") <= least), "shingle")
+    known = cold.unionByName(shingles.join(F.broadcast(hot), "shingle"))
+    rare = known.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
     # A shingle of one text alone comes before all these; it takes a place in the prefix and meets nothing.
     length = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - (n - size(common))")
     prefix = rare.withColumn("length", length).where("length > 0")
@@ -199,8 +205,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     doc_id is linked with nothing, has a null component and is kept; a
     repeated doc_id counts as one document wherever its texts are equal.
     """
-    rows, by_node = _components(docs.select("doc_id", "text"), percent)
-    known = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node.select("node", "component_id"), "node", "left")
+    rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), "text"), percent)
+    keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    known = left_join_hot(keyed, by_node.select("node", "component_id"), ["node"])
     return known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
@@ -250,12 +257,15 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Rows are told apart by doc_id and text, so other texts of a repeated doc_id
     stay.  Of each group the row with the smallest doc_id, then the smallest
     digest of its text, stays.  Rows that repeat its doc_id and text are reduced
-    to one; rows without a doc_id all stay.
+    to one; rows without a doc_id all stay.  So do null and wordless texts of
+    different ids.  Columns may have any names; an empty table stays empty.
     """
     md5 = F.unhex(F.md5(F.col("text").cast("binary")))
     rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), md5.alias("md5"), "text"), percent)
-    grouped = rows.where("doc_id is not null and node is not null").select("doc_id", "md5", "node").join(by_node.select("node", "root"), "node")
+    grouped = rows.where("doc_id is not null and node is not null").select("doc_id", "md5", "node")
+    grouped = checkpointed(left_join_hot(grouped, by_node.select("node", "root"), ["node"]).select("doc_id", "md5", "root"))
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("first"))
-    gone = grouped.join(first, "root").where("first.doc_id <> doc_id or first.md5 <> md5").select(F.col("doc_id").alias("gone_id"), F.col("md5").alias("gone_md5")).distinct()
-    left = docs.where("doc_id is not null").withColumn("__md5", md5).join(gone, F.expr("doc_id = gone_id and __md5 = gone_md5"), "left_anti")
-    return left.dropDuplicates(["doc_id", "__md5"]).drop("__md5").unionByName(docs.where("doc_id is null"))
+    gone = left_join_hot(grouped, first, ["root"]).where("first.doc_id <> doc_id or first.md5 <> md5").select("doc_id", "md5").distinct().alias("gone")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), F.struct(*docs.columns).alias("row"))
+    left = keyed.where("doc_id is not null").alias("d").join(gone, F.expr("d.doc_id = gone.doc_id and d.md5 = gone.md5"), "left_anti")
+    return left.dropDuplicates(["doc_id", "md5"]).unionByName(keyed.where("doc_id is null")).select("row.*")

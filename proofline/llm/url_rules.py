@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import UPPER
+from .common import UPPER, left_join_hot, lower_az
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -77,7 +77,7 @@ def _path_pushes(rules: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", salts: int = 32) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", rows_per_salt: int = 200_000) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` (replacing columns of these names).
 
     ``rules`` has (host, path, verdict); further columns are ignored.  A rule
@@ -90,10 +90,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     path and fits no rule; rules with a null or empty host fit nothing; a null
     rule path counts as empty; of rules that repeat with several verdicts,
     the last in string order ("block") holds; no rules or no pages give the
-    default or no rows; repeated pages are judged alike, row by row.
+    default or no rows; repeated pages are judged alike, row by row; URLs of
+    any length are judged whole.
     """
+    # One domain may have nearly all rows: the salts grow with the table, the rules are repeated in each.
+    salts = max(32, -(-pages.count() // rows_per_salt))
     rules = (
-        rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+        rules.select(lower_az(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
         .where("rule_host <> ''")
         .groupBy("rule_host", "rule_path")
         .agg(F.max("rule_verdict").alias("rule_verdict"))
@@ -112,4 +115,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .agg(F.max(F.struct(F.length(best["rule"]).alias("n"), F.length("slice").alias("host_n"), best["rule"].alias("rule"), best["verdict"].alias("verdict"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
-    return judged.join(decided, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # URLs without a host fit no rule; as null keys they are not joined.
+    keyed = judged.select(F.struct(*judged.columns).alias("__page"), F.when(F.col("host") != "", F.col("host")).alias("host"), "path")
+    joined = left_join_hot(keyed, decided, ["host", "path"])
+    return joined.select("__page.*", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
