@@ -52,29 +52,36 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit: int = 1_000_000) -> DataFrame:
     """(doc_id, text_md5, start, length, item_ids): verified occurrences of windows; start counts words from 1.
 
-    The window set is broadcast while it has at most ``set_limit`` windows.  A
-    larger one is dealt by hash into as many sets as needed, and the texts are
-    scanned once for each, which finds the same hits in bounded memory.
+    Texts are split once and windows of all lengths are hashed in one
+    projection.  The window set is broadcast while it has at most ``set_limit``
+    windows.  A larger one is dealt by hash into as many sets as needed, and the
+    texts are scanned once for each, which finds the same hits in bounded
+    memory.
+
+    Defined cases: null and wordless texts and items have no hits; rows that
+    repeat a doc_id and text give the same hits once each; a null doc_id is kept.
     """
     windows = benchmark_windows(benchmark, n)
     sizes = {row["length"]: row["n"] for row in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    lengths = sorted(sizes) or [n]
     passes = max(1, -(-sum(sizes.values()) // set_limit))
     # explode(array(...)) keeps the optimizer from copying the split into the expressions over its words.
     words = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.explode(F.array(normalised_words(F.col("text")))).alias("words"))
+    hashed = [f"if(size(words) < {k}, cast(array() as array<bigint>), transform(sequence(1, size(words) - {k - 1}), i -> xxhash64(slice(words, i, {k}))))" for k in lengths]
+    # Hashed in a projection of its own, the windows explode and probe within generated code;
+    # "outer" so that no filter on the number of hashes is inferred, which would hash twice.
+    probes = words.withColumn("hashes", F.expr(f"concat({', '.join(hashed)})" if len(hashed) > 1 else hashed[0])).select("doc_id", "text_md5", "words", F.posexplode_outer("hashes").alias("at", "hash"))
+    # The hashes of one length follow those of all shorter ones.
+    before = " ".join(f"when {k} then {' + '.join(f'greatest(0, size(words) - {j - 1})' for j in lengths if j < k) or 0}" for k in lengths)
+    start = F.col("at") + 1 - F.expr(f"case length {before} end") if len(lengths) > 1 else F.col("at") + 1
     hits = None
-    for length in sorted(sizes) or [n]:
-        hashes = F.expr(f"if(size(words) < {length}, null, transform(sequence(1, size(words) - {length - 1}), i -> xxhash64(slice(words, i, {length}))))")
-        # Hashed in a projection of its own, the windows explode and probe within generated code;
-        # "outer" so that no filter on the number of hashes is inferred, which would hash twice.
-        probes = words.withColumn("hashes", hashes).select("doc_id", "text_md5", "words", F.posexplode_outer("hashes").alias("at", "hash"))
-        for k in range(passes):
-            known = windows.where(f"length = {length}")
-            known = known.where(f"pmod(hash, {passes}) = {k}") if passes > 1 else known
-            # Two comparisons, not one equality: that would become a join key, built for every window.
-            text_window = F.slice(F.col("words"), F.col("at") + 1, length)
-            same = (text_window >= F.col("window")) & (text_window <= F.col("window"))
-            found = probes.join(F.broadcast(known), "hash").where(same).select("doc_id", "text_md5", (F.col("at") + 1).alias("start"), "length", "item_ids")
-            hits = found if hits is None else hits.unionByName(found)
+    for k in range(passes):
+        known = windows.where(f"pmod(hash, {passes}) = {k}") if passes > 1 else windows
+        found = probes.join(F.broadcast(known), "hash").withColumn("start", start)
+        # Two comparisons, not one equality: that would become a join key, built for every window.
+        text_window = F.when(F.expr("start between 1 and size(words) - length + 1"), F.slice(F.col("words"), F.col("start"), F.col("length")))
+        same = found.where((text_window >= F.col("window")) & (text_window <= F.col("window"))).select("doc_id", "text_md5", "start", "length", "item_ids")
+        hits = same if hits is None else hits.unionByName(same)
     return hits
 
 
@@ -109,21 +116,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as structs beside what they are joined on, so that no column of theirs can clash."""
+    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.struct(*docs.columns).alias("row")).alias("d")
+
+
+_SAME_TEXT = "d.doc_id <=> h.doc_id and d.md5 <=> h.text_md5"
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` without the rows in which a window of the benchmark occurs; all columns are kept."""
-    found = find_hits(docs, benchmark, n).select(F.col("doc_id").alias("hit_id"), F.col("text_md5").alias("hit_md5")).distinct()
-    keyed = docs.withColumn("__md5", F.md5(F.col("text").cast("binary")))
-    return keyed.join(found, F.expr("doc_id <=> hit_id and __md5 <=> hit_md5"), "left_anti").drop("__md5")
+    """``docs`` without the rows in which a window of the benchmark occurs; all columns are kept.
+
+    Defined cases: as in ``find_hits``; null, empty and wordless texts stay, of
+    a doc_id with several texts only the contaminated ones go, repeated rows go
+    or stay together, and columns may have any names.
+    """
+    found = find_hits(docs, benchmark, n).select("doc_id", "text_md5").distinct().alias("h")
+    return _keyed(docs).join(found, F.expr(_SAME_TEXT), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` with every hit stretch of words, and what stands between those words, cut out of the text."""
-    spans = decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_md5").alias("hit_md5"), F.col("spans").alias("__spans")).dropDuplicates(["hit_id", "hit_md5"])
-    keyed = docs.withColumn("__md5", F.md5(F.col("text").cast("binary")))
-    joined = keyed.join(spans, F.expr("doc_id <=> hit_id and __md5 <=> hit_md5"), "left")
+    """``docs`` with every hit stretch of words, and what stands between those words, cut out of the text.
+
+    Defined cases: texts without a hit, null ones among them, stay as they are;
+    no row is lost or added, and columns may have any names.
+    """
+    spans = decontaminate(docs, benchmark, n).where("contaminated").select("doc_id", "text_md5", "spans").dropDuplicates(["doc_id", "text_md5"]).alias("h")
+    joined = _keyed(docs).join(spans, F.expr(_SAME_TEXT), "left").select("row", "spans")
     # Raw words and the gaps before, between and behind them; lower-casing A-Z keeps both aligned.
-    parts = joined.withColumns({"__words": F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)), "__gaps": F.split("text", RAW_WORD, -1)})
-    kept = """concat(get(__gaps, 0), array_join(transform(__words, (w, i) ->
-        if(exists(__spans, s -> i + 1 between s.first and s.last), '', w)
-        || if(exists(__spans, s -> i + 1 >= s.first and i + 1 < s.last), '', get(__gaps, i + 1))), ''))"""
-    return parts.withColumn("text", F.expr(f"if(__spans is null, text, {kept})")).select(*docs.columns)
+    parts = joined.withColumns({"words": F.regexp_extract_all("row.text", F.lit(RAW_WORD), F.lit(0)), "gaps": F.split("row.text", RAW_WORD, -1)})
+    kept = """concat(get(gaps, 0), array_join(transform(words, (w, i) ->
+        if(exists(spans, s -> i + 1 between s.first and s.last), '', w)
+        || if(exists(spans, s -> i + 1 >= s.first and i + 1 < s.last), '', get(gaps, i + 1))), ''))"""
+    return parts.select(F.col("row").withField("text", F.expr(f"if(spans is null, row.text, {kept})")).alias("row")).select("row.*")

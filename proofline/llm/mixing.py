@@ -3,15 +3,18 @@
 Documents are counted by exact length within each source.  A source's target
 is met by whole repeats of all its documents plus a remaining budget.  That
 budget takes the same share of all lengths first; what rounding leaves, less
-than one long document, is fitted by a bounded-knapsack programme over lengths.  Which documents of a
-length are taken is decided by a seeded order, found from bucket counts so
-that a frequent length is never ranked as a whole.
+than the longest document, and some short documents are fitted by a
+bounded-knapsack programme over all lengths.  Which documents of a length are
+taken is decided by a seeded order, found from bucket counts so that a frequent
+length is never ranked as a whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +22,20 @@ from pyspark.sql.window import Window
 
 from .common import SPACED_WORD, checkpointed, tagged
 
-#: The knapsack fits budgets up to this, over at most so many lengths; larger ones are filled longest first.
-KNAPSACK_BUDGET = 1 << 16
-KNAPSACK_LENGTHS = 96
-#: Parts of the seeded order, each ranked by itself.
-PARTS = 256
+#: One document of each of so many of the shortest lengths is up for choice again, beside those that the shares left out.
+FREE_LENGTHS = 48
+#: The seeded order is ranked in parts of about so many rows; there are ``LEAST_PARTS`` at least.
+ROWS_PER_PART, LEAST_PARTS = 100_000, 256
 
 
 def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
     """Counts by length whose total is as near to ``budget`` as any selection from ``spare`` (length, count) gets.
 
-    The set of reachable totals is one integer's bits; counts are split into
-    powers of two so that each part is taken whole or not at all.
+    Counts are split into powers of two, so that each part is taken whole or
+    not at all.  For each total the programme keeps the first part with which it
+    can be reached, which is all that is needed to trace it back; it ends as soon
+    as the budget itself can be reached.  Totals beyond twice the budget are
+    worse than none and are left out.
     """
     parts = []
     for length, count in spare:
@@ -39,21 +44,26 @@ def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
             parts.append((length, min(step, count)))
             count -= parts[-1][1]
             step *= 2
-    longest = max((length for length, _ in spare), default=0)
-    mask = (1 << (budget + longest + 1)) - 1
-    reachable = [1]
-    for length, count in parts:
-        reachable.append((reachable[-1] | reachable[-1] << (length * count)) & mask)
-    below = (reachable[-1] & ((1 << (budget + 1)) - 1)).bit_length() - 1
-    above = reachable[-1] >> budget
-    gap = (above & -above).bit_length() - 1 if above else None
-    total = budget + gap if gap is not None and gap < budget - below else below
+    sizes = [length * count for length, count in parts]
+    unit = math.gcd(*sizes) or 1
+    top = 2 * budget // unit
+    first = np.full(top + 1, len(parts), np.int32)
+    first[0] = -1
+    exact = budget // unit if budget % unit == 0 else None
+    for k, size in enumerate(sizes):
+        size //= unit
+        if 0 < size <= top:
+            fresh = (first[: top + 1 - size] < k) & (first[size:] == len(parts))
+            first[size:][fresh] = k
+            if exact is not None and first[exact] < len(parts):
+                break
+    totals = np.flatnonzero(first < len(parts))
+    total = int(totals[np.argmin(np.abs(totals * unit - budget))])
     taken: dict[int, int] = {}
-    for k in range(len(parts), 0, -1):
-        if not reachable[k - 1] >> total & 1:
-            length, count = parts[k - 1]
-            taken[length] = taken.get(length, 0) + count
-            total -= length * count
+    while total:
+        length, count = parts[first[total]]
+        taken[length] = taken.get(length, 0) + count
+        total -= length * count // unit
     return taken
 
 
@@ -70,24 +80,11 @@ def fit_budget(lengths: Sequence[tuple[int, int]], budget: int) -> dict[int, int
         due -= taken[length] * length * total
     left = budget - sum(length * n for length, n in taken.items())
     spare = {length: count - taken[length] for length, count in lengths if length > 0}
-    # One document of each of the shortest lengths is up for choice again, so that small sums are free to fit.
-    for length in sorted(x for x in spare if taken[x] > 0)[: KNAPSACK_LENGTHS // 2]:
+    for length in sorted(x for x in spare if taken[x] > 0)[:FREE_LENGTHS]:
         taken[length] -= 1
         spare[length] += 1
         left += length
-    for length in sorted(spare, reverse=True):
-        if left <= KNAPSACK_BUDGET:
-            break
-        n = min(spare[length], (left - KNAPSACK_BUDGET) // length)
-        taken[length] += n
-        spare[length] -= n
-        left -= n * length
-    usable = [(length, min(n, left // length + 1)) for length, n in sorted(spare.items()) if n > 0 and length <= 2 * left]
-    if len(usable) > KNAPSACK_LENGTHS:
-        half = KNAPSACK_LENGTHS // 2
-        step = (len(usable) - half) / half
-        usable = usable[:half] + [usable[half + int(k * step)] for k in range(half)]
-    for length, n in knapsack(left, usable).items():
+    for length, n in knapsack(left, [(length, n) for length, n in sorted(spare.items()) if n > 0]).items():
         taken[length] += n
     return taken
 
@@ -120,13 +117,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
     0 to ``most``.  For a given seed reruns agree.
 
     Defined cases: a null text has size 0; null is a source of its own, last
-    in order; a source of empty texts has the target 0; repeated rows count
-    one by one, and which of several equal ones is taken makes no difference;
-    an empty table gives no rows.
+    in order; a source of empty texts has the target 0; a doc_id that repeats
+    with several texts is told apart by their digests; rows that repeat both
+    count one by one, and which of them is taken makes no difference to the
+    documents; an empty table gives no rows.
     """
+    parts = max(LEAST_PARTS, -(-docs.count() // ROWS_PER_PART))
     size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size")
-    sized = docs.withColumn("size", size).withColumn("__key", tagged(F.col("source"))).withColumn("__order", order).withColumn("__part", F.pmod(F.shiftright("__order", 40), F.lit(PARTS)).cast("int"))
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__text")
+    sized = docs.withColumns({"size": size, "__key": tagged(F.col("source")), "__text": F.xxhash64("text")}).withColumn("__order", order)
+    sized = sized.withColumn("__part", F.pmod(F.shiftright("__order", 40), F.lit(parts)).cast("int"))
     narrow = checkpointed(sized.groupBy(F.col("__key").alias("key"), "source", "size", F.col("__part").alias("part")).agg(F.count("*").alias("n")))
 
     totals = narrow.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
@@ -149,11 +149,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
         F.greatest(F.lit(0), F.least("n", F.col("more") - F.col("before"))).alias("__most"),
     ).join(targets.withColumnRenamed("key", "__key"), "__key")
     joined = sized.drop("source_size", "target", "copies").join(cuts, ["__key", "size", "__part"])
-    rank = F.row_number().over(Window.partitionBy("__key", "size", "__part").orderBy("__order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("__key", "size", "__part").orderBy("__order", "doc_id", "__text"))
     placed = joined.withColumn("__rank", rank)
-    return placed.withColumn("copies", (F.col("__whole") + F.when(F.col("__rank") <= F.col("__most"), 1).otherwise(0)).cast("long")).drop("__key", "__order", "__part", "__whole", "__most", "__rank")
+    return placed.withColumn("copies", (F.col("__whole") + F.when(F.col("__rank") <= F.col("__most"), 1).otherwise(0)).cast("long")).drop("__key", "__text", "__order", "__part", "__whole", "__most", "__rank")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as ``copies`` says."""
+    """The mix itself: each row of ``mixed`` as often as its ``copies`` say; rows with null, 0 or fewer copies go, an empty table stays empty."""
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("__copy")
