@@ -7,7 +7,10 @@ A limit is the median plus or minus a multiple of the spread.  The spread of
 symbols and word lengths is taken on the clean side of the median, so a source
 that is one half junk does not move its own limit.  Repeated lines and words are
 absent from most texts, so that side has no spread; theirs is the distance to a
-high quantile.  No share of the documents is cut for being last in order.
+high quantile.  Where a spread is nothing, the sketches' own resolution stands
+for it: the width of the median's bin, and for rates one occurrence in a text
+of the group's median size.  No share of the documents is cut for being last in
+order.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ LEAST_GROUP = 100
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: By measure: the side that is bad, the quantile (percent) whose distance from the median is the spread, the multiple of it allowed, and what guards against no spread.
+#: By measure: the side that is bad, the quantile (percent) whose distance from the median is the spread, the multiple of it allowed, and what a rate counts its occurrences in.
 MEASURES = {
-    "symbol_rate": ("high", 10, 4, 10),
-    "dup_line_rate": ("high", 99, 1.5, 20),
-    "repeat_rate": ("high", 95, 8, 5),
-    "word_length": ("high", 10, 5, 8),
-    "word_length_low": ("low", 90, 4, 8),
+    "symbol_rate": ("high", 10, 4, "n_words"),
+    "dup_line_rate": ("high", 99, 1.5, "n_lines"),
+    "repeat_rate": ("high", 95, 8, "n_words"),
+    "word_length": ("high", 10, 5, None),
+    "word_length_low": ("low", 90, 4, None),
 }
+#: Measures without a limit: the sizes of a group's texts.
+SIZES = ("n_words", "n_lines")
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -65,10 +70,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "lang", "source", *_COUNTS, "n_lines"])
 
 
+def bin_width(value: Column) -> Column:
+    """The width of the value's bin: all but its first seven binary digits are open."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(value)) - 7)).cast("long")
+
+
 def sketch_bin(value: Column) -> Column:
-    """The lower end of the bin: the value with all but its first seven binary digits cleared."""
-    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(value)) - 7)).cast("long")
-    return value - value % step
+    """The lower end of the value's bin."""
+    return value - value % bin_width(value)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     ``LEAST_GROUP`` rows takes the sum of its language's sketches, and where
     that is small too, the sum of all.
     """
-    values = F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), F.col(name.removesuffix("_low")).alias("value")) for name in MEASURES)))
+    values = F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), F.col(name.removesuffix("_low")).alias("value")) for name in (*MEASURES, *SIZES))))
     bins = measured.where("not base_failed").select("lang_key", "source_key", values.alias("v")).select("lang_key", "source_key", "v.measure", sketch_bin(F.col("v.value")).alias("bin"))
     by_source = checkpointed(bins.groupBy("lang_key", "source_key", "measure", "bin").agg(F.count("*").alias("n")))
     by_lang = by_source.groupBy("lang_key", "measure", "bin").agg(F.sum("n").alias("n"))
@@ -92,20 +101,25 @@ def thresholds(measured: DataFrame) -> DataFrame:
         at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("of") * percent, F.col("bin")))
         return ranked.groupBy(*keys, "measure").agg(F.struct(F.max("of").alias("of"), at(50).alias("mid"), *(at(p).alias(f"at{p}") for p in percents)).alias(name))
 
-    groups = measured.select("lang_key", "source_key").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+    groups = measured.select("lang_key", "source_key").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, (*MEASURES, *SIZES)))))
     joined = (
         groups.join(quantiles(by_source, ["lang_key", "source_key"], "own"), ["lang_key", "source_key", "measure"], "left")
         .join(quantiles(by_lang, ["lang_key"], "lang"), ["lang_key", "measure"], "left")
         .join(quantiles(overall, [], "all"), "measure", "left")
     )
     q = F.when(F.col("own.of") >= LEAST_GROUP, F.col("own")).when(F.col("lang.of") >= LEAST_GROUP, F.col("lang")).otherwise(F.col("all"))
+    here = lambda name: F.col("measure") == name
+    group = Window.partitionBy("lang_key", "source_key")
+    sized = joined.withColumn("q", q).withColumns({f"mid_{size}": F.max(F.when(here(size), F.col("q.mid"))).over(group) for size in SIZES})
     limit, bad = F.lit(None).cast("long"), F.lit(None).cast("string")
-    for name, (side, percent, times, guard) in MEASURES.items():
-        spread = F.greatest(F.lit(guard), F.abs(F.col(f"q.at{percent}") - F.col("q.mid")))
-        here = F.col("measure") == name
-        limit = F.when(here, (F.col("q.mid") + (times if side == "high" else -times) * spread).cast("long")).otherwise(limit)
-        bad = F.when(here, F.lit(side)).otherwise(bad)
-    return joined.withColumn("q", q).select("lang_key", "source_key", "measure", limit.alias("limit"), bad.alias("bad"))
+    for name, (side, percent, times, counted_in) in MEASURES.items():
+        finest = bin_width(F.col("q.mid"))
+        if counted_in:
+            finest = F.greatest(finest, F.ceil(1000 / F.greatest(F.lit(1), F.col(f"mid_{counted_in}"))))
+        spread = F.greatest(finest, F.abs(F.col(f"q.at{percent}") - F.col("q.mid")))
+        limit = F.when(here(name), (F.col("q.mid") + (times if side == "high" else -times) * spread).cast("long")).otherwise(limit)
+        bad = F.when(here(name), F.lit(side)).otherwise(bad)
+    return sized.where(F.col("measure").isin(*MEASURES)).select("lang_key", "source_key", "measure", limit.alias("limit"), bad.alias("bad"))
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
@@ -117,9 +131,11 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text has no words and fails; null languages and
     sources are groups of their own; small groups use their language's limits;
-    repeated rows are judged alike; an empty table gives no rows.
+    where no text passes the base rules there are no limits; repeated rows are
+    judged alike; other columns of ``docs``, whatever their names, are ignored;
+    an empty table gives no rows.
     """
-    counts = docs.select("doc_id", "text", "lang", "source").mapInArrow(_counted, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_lines")))
+    counts = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(_counted, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_lines")))
     rate = lambda part, whole: F.expr(f"if({whole} > 0, 1000 * {part} div {whole}, 0L)")
     measured = checkpointed(
         counts.withColumns({
