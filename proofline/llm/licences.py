@@ -1,107 +1,146 @@
 """Licence scans by canonical digest.
 
 A text's canonical form is free of what varies between copies of a licence:
-case, punctuation, white space, copyright lines and equivalent spellings.  The
-digest of the form is joined with the digests of known licences and notices.
-The units looked up are the entire text and each of its lines, so a notice
-within a longer document is found as well as a file that is a licence.
+case, punctuation, white space, copyright notices and equivalent spellings.  It
+does not depend on where lines break.  The digest of the form is joined with
+the digests of known licences and notices.  The units looked up are the entire
+text and each of its lines, so a notice within a longer document is found as
+well as a file that is a licence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spellings that count as one, as patterns on lower-case text and what they become.
+from .licence_texts import KNOWN_LICENCES
+
+#: Words that count as one: a text that is there then, a pattern on lower-case words with one space between, and what it becomes.
 SPELLINGS = [
-    ("https?://", "http "),
-    ("licence", "license"),
-    ("licenced", "licensed"),
-    ("noncommercial|non commercial", "non-commercial"),
-    ("sublicence", "sublicense"),
-    ("acknowledgement", "acknowledgment"),
-    ("favour", "favor"),
-    ("merchantibility", "merchantability"),
-    ("per cent", "percent"),
-    ("copyright holder|copyright owner", "rights holder"),
-    ("all rights reserved", " "),
-    ("&", " and "),
-]
-#: A line that only names a holder and years.
-COPYRIGHT_LINE = r"(?i)(?:^|\n)[^\p{L}\n]*(?:copyright|\(c\)|©)[^\n]*"
-
-#: Licence notices and short licences, with their public identifiers.
-KNOWN_LICENCES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    (
-        "MIT",
-        "MIT License\n\nCopyright (c) <year> <holders>\n\n"
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        'Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
-        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
-        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
-        "OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    (
-        "ISC",
-        "ISC License\n\nCopyright <year> <holders>\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
-        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
-        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
-        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
+    ("https", r"\bhttps\b", "http"),
+    ("licenc", "licenc", "licens"),
+    ("non commercial", r"\bnon commercial\b", "noncommercial"),
+    ("acknowledgement", "acknowledgement", "acknowledgment"),
+    ("merchantib", "merchantib", "merchantab"),
+    ("per cent", r"\bper cent\b", "percent"),
+    ("copyright", r"\bcopyright (holder|owner)", "rights holder"),
+    ("whilst", r"\bwhilst\b", "while"),
+    ("fulfill", "fulfill", "fulfil"),
+    ("willful", "willful", "wilful"),
+    ("avour", "avour", "avor"),
+    ("abour", "abour", "abor"),
+    ("onour", "onour", "onor"),
+    ("isation", "isation", "ization"),
+    ("ise", r"(\p{L}{3})ise(d|s)?\b", "$1ize$2"),
+    ("ising", r"(\p{L}{3})ising\b", "$1izing"),
 ]
+#: No spelling makes a form shorter than this share of it.
+_SHRINKS = 0.75
+#: What a copyright notice begins with: the word with the sign, a year, a template's bracket or "by"; or a sign alone, which "(c)" is only with one of these.
+_NOTICE = r"(?:\bcopyright\b[\s,:]*(?:\(c\)|©|\d{4}|[<\[{]|by\b)|\(c\)[\s,:]*(?:\d{4}|[<\[{]|copyright\b|by\b)|©)"
+#: Where the holder's name ends: before words that a licence goes on with, or a blank line.
+_AFTER = r"(?:\b(?:permission (?:is|to)|released under|licensed under|redistribution and|all\s+rights|this (?:software|program|work|file|library|notice))\b|\n[ \t\r]*\n)"
+#: A reservation of rights goes as well.
+RESERVED = r"(?i)\ball\s+rights\s+reserved\b"
+#: A notice up to there, if that is near; else up to the end of its line.
+NOTICE_TO_WORDS, NOTICE_LINE = rf"(?i){_NOTICE}[^\x00]{{0,300}}?({_AFTER})", rf"(?i){_NOTICE}[^\n]*"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_notices(text: Column) -> Column:
+    """``text`` without copyright notices and reservations; words such as "copyright holders" or a clause "(c)" are none."""
+
+    def cut(x: Column) -> Column:
+        lower = F.lower(x)
+        some = F.contains(lower, F.lit("copyright")) | F.contains(lower, F.lit("(c)")) | F.contains(x, F.lit("©"))
+        reserved = F.contains(lower, F.lit("reserved"))
+        bare = F.when(some, F.regexp_replace(F.regexp_replace(x, NOTICE_TO_WORDS, "\n$1"), NOTICE_LINE, " ")).otherwise(x)
+        return F.when(reserved, F.regexp_replace(bare, RESERVED, " ")).otherwise(bare)
+
+    return _bound(text, cut)
+
+
+def _marked(text: Column) -> Column:
+    """Lower-case words and digits without notices, with one space between, and the line breaks."""
+    return F.regexp_replace(F.lower(F.replace(_without_notices(text), F.lit("&"), F.lit(" and "))), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _one_line(marked: Column) -> Column:
+    return F.regexp_replace(F.translate(marked, "\n", " "), " {2,}", " ")
+
+
+def _spelled(form: Column) -> Column:
+    def spell(x: Column) -> Column:
+        some, spelled = F.lit(False), x
+        for needed, pattern, instead in SPELLINGS:
+            some = some | F.contains(x, F.lit(needed))
+            spelled = F.regexp_replace(spelled, pattern, instead)
+        return F.trim(F.when(some, spelled).otherwise(x))
+
+    return _bound(form, spell)
 
 
 def canonical(text: Column) -> Column:
-    """Lower-case words and digits with one space between; empty where nothing is left."""
-    form = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " "))
-    for pattern, instead in SPELLINGS:
-        form = F.regexp_replace(form, pattern, instead)
-    return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
+    """The canonical form of an entire text; empty where nothing is left."""
+    return _spelled(_one_line(_marked(text)))
+
+
+def _digest(form: Column) -> Column:
+    return F.md5(F.nullif(form, F.lit("")).cast("binary"))
 
 
 def digest(text: Column) -> Column:
     """The digest of the canonical form; null for null texts and where nothing is left."""
-    return F.md5(F.nullif(canonical(text), F.lit("")).cast("binary"))
+    return _digest(canonical(text))
+
 
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(licence, digest, n_chars) of ``known`` (licence, title, text), which stand for any table of licences; without one, of the public ones listed here.
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(licence, digest) of known (identifier, text) pairs."""
-    texts = spark.createDataFrame(known if known is not None else KNOWN_LICENCES, "licence string, text string")
-    return texts.select("licence", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
+    Each is known with its title and without.
+
+    Defined cases: null titles count as empty; null texts and those that are
+    nothing but notices are left out; of several licences of one digest the
+    first in order holds; an empty table gives no digests.
+    """
+    texts = spark.createDataFrame(KNOWN_LICENCES, "licence string, title string, text string") if known is None else known
+    forms = texts.select("licence", F.explode(F.array(F.col("text"), F.concat_ws("\n\n", "title", "text"))).alias("form")).where("form is not null")
+    forms = forms.select("licence", canonical(F.col("form")).alias("form")).where("form <> ''")
+    return forms.groupBy("form").agg(F.min("licence").alias("licence")).select("licence", _digest(F.col("form")).alias("digest"), F.length("form").alias("n_chars"))
 
 
-def scan_licences(docs: DataFrame, digests: DataFrame) -> DataFrame:
+def scan_licences(docs: DataFrame, digests: DataFrame, broadcast_limit: int = 200_000) -> DataFrame:
     """``docs`` rows as (doc_id, text_licence, n_notices, licences).
 
-    ``docs`` has (doc_id, text); ``digests`` (digest, licence).  ``text_licence``
-    is the licence that the entire text is, else null; ``n_notices`` the number
-    of lines that are a known notice or licence; ``licences`` the sorted distinct
-    ones of both.
+    ``docs`` has (doc_id, text) and any others, which are ignored; ``digests``
+    (digest, licence, n_chars) are broadcast while there are at most
+    ``broadcast_limit``; units too long for any of them are not looked at further.
+    ``text_licence`` is the licence that the entire text is, else null;
+    ``n_notices`` the number of lines that are a known notice or licence;
+    ``licences`` the sorted distinct ones of both.
 
     Defined cases: null, empty and wordless texts have none; lines that are
-    nothing but punctuation or a copyright line are no unit; of several
+    nothing but punctuation or a copyright notice are no unit; of several
     identifiers for one digest the first in order holds; rows that repeat a
-    doc_id are scanned one by one; no known digests give no finding.
+    doc_id and text get equal results, other texts of the id their own; no known
+    digests give no finding; an empty table gives no rows.
     """
-    # Units are told apart by their place: -1 is the entire text, others are lines. A single line is both.
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    lines = F.transform(F.split(F.col("text"), "\n", -1), lambda line: digest(line))
-    units = rows.select("doc_id", "row", F.posexplode_outer(F.concat(F.array(digest(F.col("text"))), F.coalesce(lines, F.array().cast("array<string>")))).alias("place", "digest"))
-    found = units.join(digests, "digest", "left").groupBy("row", "doc_id")
-    return found.agg(
-        F.max(F.when(F.col("place") == 0, F.col("licence"))).alias("text_licence"),
-        F.count(F.when((F.col("place") > 0), F.col("licence"))).alias("n_notices"),
-        F.array_sort(F.collect_set("licence")).alias("licences"),
-    ).drop("row")
+    md5 = F.md5(F.col("text").cast("binary"))
+    # explode(array(...)) keeps the canonical form from being computed again for each use.
+    forms = docs.select("doc_id", md5.alias("text_md5"), F.explode(F.array(_marked(F.col("text")))).alias("form"))
+    known = digests.groupBy("digest").agg(F.min("licence").alias("licence"), F.max("n_chars").alias("n_chars"))
+    n, longest = known.agg(F.count("*"), F.coalesce(F.max("n_chars"), F.lit(0))).first()
+    fit = lambda form: _bound(form, lambda x: F.when(F.length(x) <= int(longest / _SHRINKS) + 1, _digest(_spelled(x))))
+    digested = F.concat(F.array(fit(F.trim(_one_line(F.col("form"))))), F.transform(F.split("form", "\n", -1), lambda line: fit(F.trim(line))))
+    units = forms.select("doc_id", "text_md5", F.posexplode(digested).alias("place", "digest")).where("digest is not null")
+    known = known.select("digest", "licence")
+    found = units.join(F.broadcast(known) if n <= broadcast_limit else known, "digest").groupBy("doc_id", "text_md5")
+    found = found.agg(F.max(F.when(F.col("place") == 0, F.col("licence"))).alias("text_licence"), F.collect_set(F.when(F.col("place") > 0, F.col("place"))).alias("places"), F.array_sort(F.collect_set("licence")).alias("licences"))
+    joined = docs.select("doc_id", md5.alias("text_md5")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.text_md5 = f.text_md5"), "left")
+    return joined.select("d.doc_id", "text_licence", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce("licences", F.array().cast("array<string>")).alias("licences"))

@@ -17,7 +17,7 @@ URL_RULES = [
 ]
 
 
-#: Where the vocabulary of op5 is; a parameter of the deployment, not part of this library.
+#: Where the vocabulary of op5 is, unless the session names another path in spark.proofline.vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -60,11 +60,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")))
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path"))
     found = secrets.scan_secrets(docs, secrets.train(secrets.made_findings(spark)))
     return found.select("doc_id", "place", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
 
@@ -75,7 +75,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    automaton = token_counts.Automaton(token_counts.read_vocabulary(VOCABULARY))
+    automaton = token_counts.Automaton(token_counts.read_vocabulary(spark.conf.get("spark.proofline.vocabulary", VOCABULARY)))
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
 
 
@@ -96,27 +96,25 @@ _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verd
 
 
 
-def _canonical_sql(text: str) -> str:
-    """The canonical form of licences.canonical as DuckDB SQL."""
-    quoted = lambda x: x.replace("'", "''")
-    form = f"lower(regexp_replace({text}, '{quoted(licences.COPYRIGHT_LINE)}', ' ', 'g'))"
-    for pattern, instead in licences.SPELLINGS:
-        form = f"regexp_replace({form}, '{quoted(pattern)}', '{quoted(instead)}', 'g')"
-    return f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".replace("\\\\", "\\")
+def _plain_form(text: str) -> str:
+    """The rule of the canonical form for the tables' notices: no line of a holder and years, one space between lower-case words, "licence" as "license"."""
+    held = rf"regexp_replace({text}, '(?i)(copyright +([(]c[)]|©|[0-9]|<)|[(]c[)] *[0-9<]|©)[^\n]*', ' ', 'g')"
+    return f"trim(replace(regexp_replace(lower({held}), '[^[:alnum:]\u00aa-\uffff]+', ' ', 'g'), 'licenc', 'licens'))"
 
 
-_LICENCE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.KNOWN_LICENCES)
+_LICENCE_ROWS = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.KNOWN_LICENCES)
 
 ORACLES = {
     "op4_licence_scan": f"""
 WITH known AS (
-  SELECT {_canonical_sql("text")} AS form, min(licence) AS licence
-  FROM (VALUES {_LICENCE_ROWS}) AS k(licence, text) GROUP BY 1 HAVING form <> ''),
+  SELECT form, min(licence) AS licence FROM (
+    SELECT licence, {_plain_form("text")} AS form FROM (VALUES {_LICENCE_ROWS}) AS k(licence, title, text)
+    UNION ALL SELECT licence, {_plain_form("concat(title, chr(10), text)")} FROM (VALUES {_LICENCE_ROWS}) AS k(licence, title, text)) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 units AS (
-  SELECT row, 0 AS place, {_canonical_sql("text")} AS form FROM docs
+  SELECT row, 0 AS place, {_plain_form("text")} AS form FROM docs
   UNION ALL
-  SELECT row, 1 AS place, {_canonical_sql("line")} AS form FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)),
+  SELECT row, 1 AS place, {_plain_form("line")} AS form FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs)),
 found AS (
   SELECT row, max(CASE WHEN place = 0 THEN licence END) AS text_licence, count(CASE WHEN place = 1 THEN 1 END) AS n_notices,
          array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences

@@ -1,7 +1,8 @@
 """Toxicity scores from the nearest labelled examples.
 
 A bounded sample of labelled texts becomes an inverted index of TF-IDF
-vectors.  Terms are words and their first 3 to 6 characters; those whose
+vectors.  Terms are words and their first 3 to 6 characters, and pieces of
+words that are very long or of scripts written without spaces; those whose
 presence is associated with the label (log-likelihood ratio) are kept, so that
 cosines compare what matters.  Examples stand in blocks; for each term and
 block the index has the largest weight.  A query adds these maxima up to an
@@ -11,14 +12,16 @@ those of a full scan.
 
 Neighbours vote with weight similarity / (distance + 0.05) and with the weight
 of their class, which undoes the even sampling of classes; a small prior vote
-keeps distant neighbours from deciding alone.
+keeps distant neighbours from deciding alone.  The share of toxic votes becomes
+a probability by a rising map that is fitted on the examples themselves, each
+judged by the others only.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 _WORD = re.compile(r"\w+")
-#: Longer words count as their beginning of so many characters.
-_WORD_CHARS = 40
+#: Longer words count as their pieces of so many characters.
+_WORD_CHARS, _PIECE = 40, 6
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters: a run of them has no spaces and counts as its pairs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _PREFIXES = (3, 4, 5, 6)
 _BLOCK = 64
 _PRIOR_VOTE = 0.1
@@ -37,9 +42,15 @@ _PRIOR_VOTE = 0.1
 _KNOWN_WORDS = 200_000
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    """The terms of a lower-case word: itself, and its beginnings with a star."""
-    word = word[:_WORD_CHARS]
+def _cut_up(word: str) -> bool:
+    return len(word) > _WORD_CHARS or (not word.isascii() and _UNSPACED.search(word) is not None)
+
+
+def word_terms(word: str) -> Iterable[str]:
+    """The terms of a lower-case word: itself, and its beginnings with a star; the pieces of a word that is cut up."""
+    if _cut_up(word):
+        n = 2 if _UNSPACED.search(word) else _PIECE
+        return (word[k : k + n] for k in range(max(1, len(word) - n + 1)))
     return (word, *(word[:n] + "*" for n in _PREFIXES if len(word) > n))
 
 
@@ -57,7 +68,7 @@ class Examples:
 
     def __init__(self, ids: list[int], toxic: list[int], class_weight: tuple[float, float], terms: list[tuple[str, float]], postings: list[tuple[int, int, int]], neighbours: int = 15):
         """``terms``: (term, idf); ``postings``: (example's place in ``ids``, term's place in ``terms``, count)."""
-        self.neighbours = neighbours
+        self.neighbours, self.class_weight = neighbours, class_weight
         self.term_ids = {term: k for k, (term, _) in enumerate(terms)}
         self.beginnings = {term[: _PREFIXES[0]] for term, _ in terms}
         self.idf = np.array([idf for _, idf in terms], float)
@@ -74,6 +85,7 @@ class Examples:
         place = np.full(len(ids), -1, np.int64)
         place[order] = np.arange(len(order))
         self.ids = [ids[k] for k in order]
+        self.place = {doc_id: at for at, doc_id in enumerate(self.ids)}
         self.toxic = np.array([toxic[k] for k in order], float)
         self.vote = np.where(self.toxic > 0, class_weight[1], class_weight[0])
         slot = place[found[:, 0]]
@@ -94,16 +106,39 @@ class Examples:
         self.base = sum(class_weight[y] for y in toxic if y) / everyone if everyone else 0.0
         self.bare_score = (sum(w for w, y in bare if y) + _PRIOR_VOTE * self.base) / (sum(w for w, _ in bare) + _PRIOR_VOTE)
         self._known: dict[str, tuple[int, ...]] = {}
+        #: The calibration's raw votes and probabilities, both rising; without any, votes are the score.
+        self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit the map from votes to probabilities: isotonic regression with the class weights, straight between its steps."""
+        weight = np.where(toxic > 0, *reversed(self.class_weight))
+        order = np.argsort(votes, kind="stable")
+        steps: list[list[float]] = []
+        for x, y, w in zip(votes[order].tolist(), toxic[order].tolist(), weight[order].tolist(), strict=True):
+            steps.append([x * w, y * w, w])
+            while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+                last = steps.pop()
+                steps[-1] = [a + b for a, b in zip(steps[-1], last, strict=True)]
+        if len(steps) > 1:
+            x, y, w = np.array(steps).T
+            self.curve = (np.concatenate([[0.0], x / w, [1.0]]), np.concatenate([[0.0], y / w, [1.0]]))
+
+    def probability(self, votes: float) -> float:
+        return float(np.interp(votes, *self.curve))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the text's terms and their weights, of length 1."""
         counts: dict[int, int] = {}
         known, ids, beginnings = self._known, self.term_ids, self.beginnings
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            if word[: _PREFIXES[0]] not in beginnings:
-                continue
             found = known.get(word)
             if found is None:
+                if _cut_up(word):
+                    for k in (ids[t] for t in word_terms(word) if t in ids):
+                        counts[k] = counts.get(k, 0) + n
+                    continue
+                if word[: _PREFIXES[0]] not in beginnings:
+                    continue
                 if len(known) >= _KNOWN_WORDS:
                     known.clear()
                 found = known[word] = tuple(ids[t] for t in word_terms(word) if t in ids)
@@ -113,8 +148,8 @@ class Examples:
         weights = (1 + np.log(np.array([counts[k] for k in terms.tolist()], float))) * self.idf[terms]
         return terms, weights / (np.sqrt((weights**2).sum()) or 1)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """(similarity, place) of the nearest examples with a term in common, nearest first, then by place."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> list[tuple[float, int]]:
+        """(similarity, place) of the nearest examples with a term in common, nearest first, then by place; the example with the id ``without`` is none."""
         bounds = np.zeros(self.blocks)
         for k, w in zip(terms.tolist(), weights.tolist(), strict=True):
             a, b = self.max_starts[k], self.max_starts[k + 1]
@@ -127,24 +162,31 @@ class Examples:
                 break
             a, b = self.starts[block], self.starts[block + 1]
             similar = np.bincount(self.slot[a:b], query[self.term[a:b]] * self.weight[a:b], _BLOCK)
+            if without is not None and without // _BLOCK == block:
+                similar[without % _BLOCK] = 0
             near = similar > 0 if len(best) < self.neighbours else similar >= -best[-1][0]
             if near.any():
                 best += [(-float(similar[k]), block * _BLOCK + k) for k in np.flatnonzero(near).tolist()]
                 best = sorted(best)[: self.neighbours]
         return [(-s, k) for s, k in best]
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """The score, and the neighbours as (id, similarity, toxic)."""
+    def votes(self, text: str | None, own_id: int | None = None) -> tuple[float, list[tuple[int, float, int]]]:
+        """The share of toxic votes, and the neighbours as (id, similarity, toxic); the example ``own_id`` has no vote."""
         terms, weights = self.vector(text)
         if not len(terms):
             return self.bare_score, []
-        near = self.nearest(terms, weights)
+        near = self.nearest(terms, weights, self.place.get(own_id) if own_id is not None else None)
         yes, all_ = _PRIOR_VOTE * self.base, _PRIOR_VOTE
         for similarity, k in near:
             vote = similarity / (max(0.0, 1 - similarity) + 0.05) * self.vote[k]
             yes, all_ = yes + vote * self.toxic[k], all_ + vote
         return float(yes / all_), [(self.ids[k], float(s), int(self.toxic[k])) for s, k in near]
 
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        """The calibrated score, and the neighbours."""
+        votes, near = self.votes(text)
+        return self.probability(votes), near
+
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -174,9 +216,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least_associa
     and labels without a document are left out, of several labels the highest
     holds, of several texts the last in order.  ``per_class`` bounds what
     is sampled, in the order of a seeded hash; at most ``most_terms`` terms, the
-    most associated ones, are kept.  Everything that reaches the driver is
-    bounded by these two.  With labels of one class only, no term is associated
-    and all texts have the score of that class.
+    most associated ones (of those with a ratio of ``least_association``), are
+    kept.  Everything that reaches the driver is bounded by these two.  The map
+    from votes to probabilities is fitted with each example left out in turn.
+
+    Defined cases: null and empty texts are examples without terms; with labels
+    of one class only, no term is associated and all texts have the score of
+    that class; without labels all score 0.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -192,13 +238,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least_associa
     class_weight = tuple((of.get(y, 0) / whole) / (n / len(rows)) if n else 1.0 for y, n in ((0, n0), (1, n1)))
     occurrences = examples.mapInArrow(_example_terms, "doc_id long, toxic int, term string, n long")
     stats = occurrences.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("yes"))
-    # Terms found once or twice are never associated enough; they needn't be sorted.
-    rated = stats.where("df > 2").withColumn("association", _association(F.col("yes"), F.col("df") - F.col("yes"), n1, n0)) if n0 and n1 else stats.where("false").withColumn("association", F.lit(0.0))
+    rated = stats.withColumn("association", _association(F.col("yes"), F.col("df") - F.col("yes"), n1, n0)) if n0 and n1 else stats.where("false").withColumn("association", F.lit(0.0))
     terms = [(row["term"], row["df"]) for row in rated.where(F.col("association") >= least_association).orderBy(F.desc("association"), "term").limit(most_terms).collect()]
     table = spark.createDataFrame([(term, k) for k, (term, _) in enumerate(terms)], "term string, place long")
     place = {doc_id: k for k, doc_id in enumerate(ids)}
     postings = sorted((place[row["doc_id"]], row["place"], row["n"]) for row in occurrences.join(F.broadcast(table), "term").select("doc_id", "place", "n").collect()) if terms else []
-    return Examples(ids, toxic, class_weight, [(term, float(np.log(1 + len(rows) / df))) for term, df in terms], postings, neighbours)
+    model = Examples(ids, toxic, class_weight, [(term, float(np.log(1 + len(rows) / df))) for term, df in terms], postings, neighbours)
+    if n0 and n1:
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.arrow_udf("double")
+        def left_out(own: pa.Array, texts: pa.Array) -> pa.Array:
+            return pa.array([shared.value.votes(text, i)[0] for i, text in zip(own.to_pylist(), texts.to_pylist(), strict=True)], pa.float64())
+
+        judged = examples.select("doc_id", "toxic", left_out("doc_id", "text").alias("votes")).collect()
+        judged.sort(key=lambda row: (row["votes"], row["doc_id"]))
+        model.calibrate(np.array([row["votes"] for row in judged]), np.array([float(row["toxic"]) for row in judged]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Examples) -> DataFrame:
@@ -236,6 +292,10 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Examples, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns are kept as they are."""
+    """``docs`` without the rows that score ``threshold`` or more; columns, of whatever names, are kept as they are.
+
+    Defined cases: as in ``score_toxicity``; equal rows go or stay together, and
+    an empty table stays empty.
+    """
     scored = score_toxicity(docs.select("text", F.struct(*docs.columns).alias("__row")), model)
     return scored.where(F.col("score") < threshold).select("__row.*")
