@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from proofline.llm import decontamination, licences, minhash, mixing, quality, queries, secrets, sharding, token_counts, toxicity, url_rules
+from proofline.llm import decontamination, minhash, mixing, quality, queries, sharding, token_counts, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,7 +29,7 @@ def awkward(spark):
 
 
 def clashing(docs):
-    names = "size source_size target copies shard slot text_crc32 score evidence n_tokens n_chunks n_unknown".split()
+    names = "size source_size target copies shard slot text_crc32 score evidence n_tokens n_chunks n_unknown hit_id hit_md5 gone_id gone_md5 md5 text_md5 node root row spans start length label path host verdict n_words kept".split()
     return docs.withColumns({name: F.lit("mine") for name in names})
 
 
@@ -101,28 +102,6 @@ def test_quality_limits_follow_the_spread_and_can_be_reached(spark):
     assert not found[900].kept and not found[901].kept and not found[902].kept
 
 
-# 3
-def test_secrets_are_told_from_what_looks_alike(spark):
-    model = secrets.train(secrets.made_findings(spark))
-    later = secrets.made_findings(spark, 5000).where("doc_id >= 4000")
-    judged = secrets.scan_secrets(later, model).join(later.select("doc_id", "label"), "doc_id")
-    assert judged.agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
-    found = secrets.scan_secrets(awkward(spark).withColumn("path", F.col("source")).withColumn("score", F.lit("mine")), model)
-    assert found.where("is_secret").count() == 0
-    assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string, path string"), model).count() == 0
-
-
-# 4
-def test_licences_by_canonical_form(spark):
-    mit = next(t for name, t in licences.KNOWN_LICENCES if name == "MIT" and len(t) > 500)
-    texts = [mit.upper().replace("<YEAR> <HOLDERS>", "1999 SOMEONE ELSE"), "x\n  licensed under the apache LICENCE version 2.0!\ny", "Licensed under nothing", None, "", "Released under the MIT License."]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    found = {r.doc_id: (r.text_licence, r.n_notices, r.licences) for r in licences.scan_licences(docs, licences.known_digests(spark)).collect()}
-    assert found[0][0] == "MIT" and found[1] == (None, 1, ["Apache-2.0"]) and found[2] == (None, 0, []) and found[3] == (None, 0, []) and found[4] == (None, 0, []) and found[5] == ("MIT", 1, ["MIT"])
-    assert licences.scan_licences(awkward(spark), licences.known_digests(spark)).count() == 10
-    assert licences.scan_licences(docs.limit(0), licences.known_digests(spark)).count() == 0
-
-
 # 5
 def test_token_counts_are_those_of_greedy_matching(spark):
     rng = random.Random(8)
@@ -349,12 +328,23 @@ def test_pipeline_is_its_stages_one_after_another(spark):
 
 
 def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path):
-    for name, docs in (("awkward", awkward(spark)), ("empty", awkward(spark).limit(0))):
+    for name, docs in (("awkward", clashing(awkward(spark))), ("empty", awkward(spark).limit(0))):
         folder = tmp_path / name
         docs.write.parquet(str(folder / "documents.parquet"))
         spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
-        spark.createDataFrame([(1, "a b"), (2, None)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
-        assert corpus_pipeline.run(spark, str(folder)).count() >= 0
+        spark.createDataFrame([(1, "a b"), (2, None), (3, "the same id with another text")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        found = corpus_pipeline.run(spark, str(folder))
+        assert found.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+        rows = found.collect()
+        if name == "empty":
+            assert not rows
+            continue
+        # Of the rows with words, the copy is reduced to one row, and the item's text is gone.
+        known = {(r.doc_id, r.text) for r in docs.collect()}
+        assert {(r.doc_id, r.text) for r in rows} <= known and max(Counter((r.doc_id, r.text) for r in rows).values()) <= 3
+        assert not any("another text" in (r.text or "") for r in rows) and any(r.doc_id == 4 for r in rows)
+        assert all(r["size"] == "mine" and r["target"] == "mine" and r["score"] == "mine" for r in rows)
+        assert sorted(len(list(g)) for _, g in itertools.groupby(sorted(r.shard for r in rows))) == [1] * len(rows)
 
 
 def test_digest_columns_follow_from_the_operator(spark):
