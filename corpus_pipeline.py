@@ -3,36 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proofline.llm import decontamination, minhash, mixing, sharding, toxicity
-from proofline.llm.common import checkpointed
+from proofline.llm.common import written
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """What the operators read, and the whole row as a struct: no column of ``docs`` can clash with theirs."""
+    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches 0.3 go; the model is fitted on the labelled documents that are left in training."""
+    """Documents whose toxicity score reaches 0.3 go; the model is fitted on the labelled documents that are left in training.
+
+    Null and empty texts have the score of examples without terms; columns may have any names.
+    """
     labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays, and all rows without an id or words; columns may have any names."""
     return minhash.drop_near_duplicates(docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item (or all of a shorter one) go."""
+    """Documents with ten consecutive words of a benchmark item (or all of a shorter one) go; null and wordless texts stay, columns may have any names."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to the weights 5, 2, 1 takes it."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+    """Each document as often as the mix to the weights 5, 2, 1 takes it; null is a source of its own, columns may have any names."""
+    return mixing.repeat_rows(mixing.mix(_beside(docs))).select("__row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard (0 to 39) and slot that hold them."""
-    return sharding.shard_rows(docs).select(*docs.columns, "shard", "slot")
+    """The documents with the shard (0 to 39) and slot that hold them; columns of these two names are replaced, others may have any names."""
+    placed = sharding.shard_rows(_beside(docs))
+    return placed.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 
 
 STAGES = [
@@ -48,10 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage keeps is written to the shared checkpoint folder and read again."""
+    """All stages over the documents; what a stage keeps is written as Parquet to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for place, (_, stage) in enumerate(STAGES):
+    for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = written(docs, name)
     return docs
