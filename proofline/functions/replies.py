@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bare(reply: Column) -> Column:
+    """The reply without fences and outer white space."""
+    return F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
+
+
 def json_object(reply: Column) -> Column:
     """The text of the JSON object in a reply: without fences, else from the first { to the last }; null if none parses."""
-    bare = F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
+    bare = _bare(reply)
     inner = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
     is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{")) & F.json_object_keys(x).isNotNull()
     return F.when(is_object(bare), bare).when(is_object(inner), inner)
@@ -21,24 +26,65 @@ def strict_bool(value: Column) -> Column:
 
 
 
-def judge_array(reply: Column, expected: Column) -> Column:
-    """array<struct<entails, reason>> of exactly ``expected`` entries.
+def _truthy(entry: Column) -> Column:
+    """Whether the entry's ``entails`` counts as true, as a script language takes it: true, numbers but 0, texts but the empty one (so "false" is true); null where the entry has none."""
+    value = F.try_variant_get(entry, "$.entails", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(entry, "$.entails", "string")
+    number = F.coalesce(F.try_variant_get(entry, "$.entails", "double"), F.lit(0.0)) != 0
+    filled = ~text.isin("[]", "{}")
+    return (
+        F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind == "VOID", F.lit(False))
+        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), filled).when(kind.isNotNull(), number)
+    )
+
+
+def judge_reply(reply: Column, expected: Column) -> Column:
+    """struct<judgments: array<struct<entails, reason>>, error> with exactly ``expected`` judgments.
 
     Reads an array, one object, or an object that holds the array as judgments,
     results or items; a short list is filled up with false, a long one cut.
-    What cannot be read is all false.
+    Without JSON, or with an entry that has no ``entails``, all are false and
+    ``error`` says why; else it is null.
     """
-    entry = "array<struct<entails: string, reason: string>>"
-    text = F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
-    body = F.when(F.startswith(text, F.lit("[")), text).otherwise(
-        F.coalesce(F.get_json_object(text, "$.judgments"), F.get_json_object(text, "$.results"), F.get_json_object(text, "$.items"), F.when(F.startswith(text, F.lit("{")), F.concat(F.lit("["), text, F.lit("]"))))
-    )
-    read = F.transform(
-        F.coalesce(F.from_json(body, entry), F.array().cast(entry)),
-        lambda x: F.struct(F.coalesce(x["entails"] == "true", F.lit(False)).alias("entails"), F.coalesce(x["reason"], F.lit("")).alias("reason")),
-    )
-    nothing = F.struct(F.lit(False).alias("entails"), F.lit("").alias("reason"))
-    return F.slice(F.concat(read, F.array_repeat(nothing, expected)), F.lit(1), expected)
+    whole = F.try_parse_json(_bare(reply))
+    value = F.coalesce(whole, F.try_parse_json(json_object(reply)))
+    listed = F.coalesce(*(F.try_variant_get(value, path, "array<variant>") for path in ("$", "$.judgments", "$.results", "$.items")))
+    entries = F.coalesce(listed, F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.array(value)))
+    kept = F.slice(entries, F.lit(1), expected)
+    read = F.transform(kept, lambda x: F.struct(_truthy(x).alias("entails"), F.coalesce(F.try_variant_get(x, "$.reason", "string"), F.lit("")).alias("reason")))
+    error = F.when(entries.isNull(), "no JSON list of judgments").when(F.exists(read, lambda x: x["entails"].isNull()), "malformed entry in the judgments")
+    filler = lambda reason: F.array_repeat(F.struct(F.lit(False).alias("entails"), F.lit(reason).alias("reason")), expected)
+    full = F.slice(F.concat(read, filler("fewer judgments than citations")), F.lit(1), expected)
+    return F.struct(F.when(error.isNull(), full).otherwise(filler("")).alias("judgments"), error.alias("error"))
+
+
+def judge_array(reply: Column, expected: Column) -> Column:
+    """The judgments of ``judge_reply``; what cannot be read is all false."""
+    return judge_reply(reply, expected)["judgments"]
+
+
+def author_reply(reply: Column) -> Column:
+    """struct<question, gold_answer, error> of an author's reply: both trimmed and not empty, else ``error`` says what is missing."""
+    found = json_object(reply)
+    part = lambda name: F.trim(F.coalesce(F.get_json_object(found, f"$.{name}"), F.lit("")))
+    error = F.when(found.isNull(), "no JSON object").when(part("question") == "", "empty question").when(part("gold_answer") == "", "empty gold_answer")
+    return F.struct(part("question").alias("question"), part("gold_answer").alias("gold_answer"), error.alias("error"))
+
+
+def verdict_reply(reply: Column) -> Column:
+    """struct<well_formed, supported, reasons, error> of a verdict; both are false where either is no boolean."""
+    found = json_object(reply)
+    well, supported = (strict_bool(F.get_json_object(found, f"$.{name}")) for name in ("well_formed", "supported"))
+    error = F.when(found.isNull(), "no JSON object").when(well.isNull(), "well_formed is no boolean").when(supported.isNull(), "supported is no boolean")
+    reasons = F.substring(F.trim(F.coalesce(F.get_json_object(found, "$.reasons"), F.lit(""))), 1, 500)
+    return F.struct(F.coalesce(well & error.isNull(), F.lit(False)).alias("well_formed"), F.coalesce(supported & error.isNull(), F.lit(False)).alias("supported"), reasons.alias("reasons"), error.alias("error"))
+
+
+def support_reply(reply: Column, n: Column) -> Column:
+    """struct<indices, error> of a labelling reply: the distinct places within 0 and ``n`` - 1, in order; none from a reply that is no JSON."""
+    found = json_object(reply)
+    indices = F.coalesce(F.from_json(F.get_json_object(found, "$.supporting_indices"), "array<string>"), F.array().cast("array<string>"))
+    return F.struct(union_indices(indices, n).alias("indices"), F.when(found.isNull(), "no JSON object").alias("error"))
 
 
 def union_indices(indices: Column, n: Column) -> Column:

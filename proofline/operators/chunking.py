@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,33 @@ from ..functions import text as T
 NOISE_ROLES = ("pageHeader", "pageFooter", "pageNumber", "footnote")
 
 
+_SENTENCE = re.compile(T.SENTENCE.replace(r"\z", r"\Z"))
+#: What is trimmed from sentences.
+_SPACE = " \t\n\x0b\f\r"
+
+
+def sentence_spans(text: str | None) -> list[dict]:
+    """The sentences of a text as (text, char_start, char_end): trimmed, never blank, in order."""
+    found = []
+    for match in _SENTENCE.finditer(text or ""):
+        sentence = match[0].strip(_SPACE)
+        if sentence:
+            start = match.start() + len(match[0]) - len(match[0].lstrip(_SPACE))
+            found.append({"text": sentence, "char_start": start, "char_end": start + len(sentence)})
+    return found
+
+
+def with_sentences(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` with ``sentences``: array<struct<text, char_start, char_end>> of its text; every text is split within its row."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<text: string, char_start: int, char_end: int>>")
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([sentence_spans(text.as_py()) for text in texts], kind)
+
+    return docs.withColumn("sentences", split(column))
+
+
 def split_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, text, char_start, char_end) of ``docs`` (doc_id, text).
 
@@ -20,12 +49,8 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     cut exactly the sentence out of the text; numbers have no gaps.  Null and
     blank texts have none.
     """
-    raw = docs.select("doc_id", F.posexplode(T.raw_sentences(F.col("text"))).alias("pos", "raw"))
-    before = F.coalesce(F.sum(F.length("raw")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blank = r"[\s]+"
-    placed = raw.select("doc_id", "pos", F.regexp_replace("raw", rf"^{blank}|{blank}\z", "").alias("text"), (before + F.length("raw") - F.length(F.regexp_replace("raw", rf"^{blank}", ""))).alias("char_start")).where("text <> ''")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    return placed.select("doc_id", number.alias("sentence_no"), "text", F.col("char_start").cast("int").alias("char_start"), (F.col("char_start") + F.length("text")).cast("int").alias("char_end"))
+    rows = with_sentences(docs.select("doc_id", "text")).select("doc_id", F.posexplode("sentences").alias("sentence_no", "s"))
+    return rows.select("doc_id", "sentence_no", "s.text", "s.char_start", "s.char_end")
 
 
 def breadcrumbs(paragraphs: DataFrame) -> DataFrame:
@@ -70,32 +95,57 @@ def pack(tokens: list[int], sections: list[str | None], target: int, overlap: in
 
 
 def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40) -> DataFrame:
-    """(doc_id, chunk_no, first, last) from ``sentences`` (doc_id, sentence_no, text, section)."""
+    """(chunk_id, doc_id, chunk_no, page, section_path, text, token_count, n_sentences, sentences) from ``sentences``.
+
+    ``sentences`` has (doc_id, sentence_no, text, section) with numbers from 0
+    without gaps, and may have page and section_path, which a chunk has from its
+    first sentence.  The text joins the sentences by a space, tokens are counted
+    in it, and offsets of the nested sentences are into it.  A document's
+    sentences are gathered once; chunks are slices of them.
+    """
 
     @F.arrow_udf("array<struct<first: int, last: int>>")
     def packed(tokens: pa.Array, sections: pa.Array) -> pa.Array:
         found = [[{"first": a, "last": b} for a, b in pack(t, s, target_tokens, overlap_tokens)] for t, s in zip(tokens.to_pylist(), sections.to_pylist(), strict=True)]
         return pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
 
-    row = F.struct("sentence_no", T.words(F.col("text")).alias("n"), F.coalesce("section", F.lit("")).alias("section"))
+    page = F.col("page").cast("int") if "page" in sentences.columns else F.lit(None).cast("int")
+    path = F.col("section_path") if "section_path" in sentences.columns else F.array().cast("array<string>")
+    row = F.struct("sentence_no", "text", page.alias("page"), path.alias("section_path"), T.words(F.col("text")).alias("n"), F.coalesce("section", F.lit("")).alias("section"))
     lists = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    chunks = lists.select("doc_id", F.posexplode(packed(F.col("rows.n"), F.col("rows.section"))).alias("chunk_no", "chunk"))
-    return chunks.select("doc_id", "chunk_no", "chunk.first", "chunk.last")
+    chunks = lists.select("doc_id", "rows", F.posexplode(packed(F.col("rows.n"), F.col("rows.section"))).alias("chunk_no", "chunk"))
+    own = chunks.select("doc_id", "chunk_no", T.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), F.slice("rows", F.col("chunk.first") + 1, F.col("chunk.last") - F.col("chunk.first") + 1).alias("rows"))
+    ends = F.aggregate("rows", F.array(F.lit(0)), lambda seen, s: F.concat(seen, F.array(F.element_at(seen, -1) + F.length(s["text"]) + 1)))
+    nested = F.transform(
+        "rows",
+        lambda s, k: F.struct(
+            T.sentence_id(F.col("doc_id"), s["sentence_no"]).alias("sentence_id"), s["sentence_no"].alias("sentence_no"), s["text"].alias("text"), s["page"].alias("page"), s["section_path"].alias("section_path"),
+            F.get("ends", k).alias("char_start"), (F.get("ends", k) + F.length(s["text"])).alias("char_end"),
+        ),
+    )
+    first = F.get("rows", F.lit(0))
+    built = own.withColumn("ends", ends).select("chunk_id", "doc_id", "chunk_no", first["page"].alias("page"), first["section_path"].alias("section_path"), F.array_join("rows.text", " ").alias("text"), F.size("rows").alias("n_sentences"), nested.alias("sentences"))
+    return built.withColumn("token_count", T.words(F.col("text")))
+
 
+def chunk_sentences(chunks: DataFrame) -> DataFrame:
+    """A row for each sentence in each chunk: (chunk_id, doc_id, chunk_no, sentence_id, sentence_no, text, page, section_path, char_start, char_end)."""
+    return chunks.select("chunk_id", "doc_id", "chunk_no", F.explode("sentences").alias("s")).select("chunk_id", "doc_id", "chunk_no", "s.*")
 
-def chunk_sentences(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row for each sentence in each chunk: (chunk_id, doc_id, chunk_no, sentence_id, sentence_no, text, char_start, char_end); offsets are into the chunk's text."""
-    spread = chunks.select("doc_id", "chunk_no", F.explode(F.sequence("first", "last")).alias("sentence_no"))
-    joined = spread.join(sentences.select("doc_id", "sentence_no", "text"), ["doc_id", "sentence_no"])
-    end = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "chunk_no").orderBy("sentence_no")) - 1
-    return joined.select(T.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", T.sentence_id(F.col("doc_id"), F.col("sentence_no")).alias("sentence_id"), "sentence_no", "text", (end - F.length("text")).cast("int").alias("char_start"), end.cast("int").alias("char_end"))
 
+def chunk_layout(paragraphs: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40) -> DataFrame:
+    """The chunks of ``pack_chunks`` from ``paragraphs`` (doc_id, para_no, role, content, page): section paths, sentences, packing and nested sentences in one go."""
+    rows = with_sentences(breadcrumbs(paragraphs), "content").select("doc_id", "para_no", "page", "section_path", F.posexplode("sentences").alias("pos", "s"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_no", "pos")) - 1
+    numbered = rows.select("doc_id", number.alias("sentence_no"), "s.text", "page", "section_path", F.to_json("section_path").alias("section"))
+    return pack_chunks(numbered, target_tokens, overlap_tokens)
 
-def build_chunks(members: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, chunk_no, text, token_count, n_sentences) from ``chunk_sentences``; tokens are counted in the joined text."""
-    rows = members.groupBy("chunk_id", "doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "text"))).alias("s"))
-    joined = rows.select("chunk_id", "doc_id", "chunk_no", F.array_join("s.text", " ").alias("text"), F.size("s").alias("n_sentences"))
-    return joined.withColumn("token_count", T.words(F.col("text")))
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, n_sentences, tokens, mean_tokens, n_sections) of each document's chunks."""
+    return chunks.groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.sum("n_sentences").alias("n_sentences"), F.sum("token_count").alias("tokens"), F.avg("token_count").alias("mean_tokens"), F.countDistinct("section_path").alias("n_sections")
+    )
 
 
 def unique_sentences(members: DataFrame) -> DataFrame:
@@ -105,13 +155,12 @@ def unique_sentences(members: DataFrame) -> DataFrame:
 
 
 def spans(sentences: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, chunk_no, first, n, text): every run of 1 to ``most`` neighbouring sentences of a chunk that is not blank."""
-    order = Window.partitionBy("doc_id", "chunk_no").orderBy("sentence_no")
-    parts = [sentences.select("doc_id", "chunk_no", F.col("sentence_no").alias("first"), F.lit(n).alias("n"), F.collect_list("text").over(order.rowsBetween(0, n - 1)).alias("run")) for n in range(1, most + 1)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.where(F.size("run") == F.col("n")).withColumn("text", F.array_join("run", " ")).drop("run").where("trim(text) <> ''")
+    """(doc_id, chunk_no, first, n, text): every run of 1 to ``most`` neighbouring sentences of a chunk that is not blank; further columns of the first sentence are kept."""
+    ahead = Window.partitionBy("doc_id", "chunk_no").orderBy("sentence_no").rowsBetween(0, most - 1)
+    runs = sentences.withColumn("run", F.collect_list("text").over(ahead)).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("run"))))
+    text = F.array_join(F.slice("run", 1, F.col("n")), " ")
+    others = [c for c in sentences.columns if c not in ("doc_id", "chunk_no", "sentence_no", "text")]
+    return runs.select("doc_id", "chunk_no", F.col("sentence_no").alias("first"), "n", text.alias("text"), *others).where("trim(text) <> ''")
 
 
 def adjacent_overlap(members: DataFrame, n: int = 5) -> DataFrame:
@@ -122,15 +171,31 @@ def adjacent_overlap(members: DataFrame, n: int = 5) -> DataFrame:
     return lists.withColumn("following", following).where("following is not null").select("doc_id", "chunk_no", F.arrays_overlap(tail, F.slice("following", 1, n)).alias("overlaps"))
 
 
-def sample_spans(rows: DataFrame, quotas: dict[str, int], seed: int = 7) -> DataFrame:
-    """At most ``quotas`` spans of each difficulty and one of each chunk, in the order of a seeded hash.
+def quotas(n: int, shares: tuple[float, float] = (0.4, 0.35)) -> dict[str, int]:
+    """How many of ``n`` items are easy and medium, each rounded half to even, and hard, which are the rest."""
+    easy, medium = (round(n * share) for share in shares)
+    return {"easy": easy, "medium": medium, "hard": n - easy - medium}
+
+
+def sample_spans(rows: DataFrame, quotas: dict[str, int], per_chunk: int = 1, seed: int = 7) -> DataFrame:
+    """At most ``quotas`` spans of each difficulty and ``per_chunk`` of each chunk, in the order of a seeded hash.
 
-    ``rows`` has (doc_id, chunk_no, first, n, difficulty).  Each chunk offers its
-    first span in that order; of each class the first ones are taken.
+    ``rows`` has (doc_id, chunk_no, first, n, difficulty) and any others.  Each
+    chunk offers its first span of each difficulty; class by class, in the order
+    of ``quotas``, the first ones of chunks that have not given ``per_chunk`` yet
+    are taken, so a chunk whose span finds no room can still give another.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id", "chunk_no", "first", "n")
-    ranked = rows.where(F.col("difficulty").isin(*quotas)).withColumn("turn", order)
-    one = ranked.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chunk_no").orderBy("turn", "first", "n"))).where("k = 1")
-    taken = one.withColumn("k", F.row_number().over(Window.partitionBy("difficulty").orderBy("turn", "doc_id", "chunk_no")))
-    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))
-    return taken.where(F.col("k") <= F.element_at(quota, F.col("difficulty"))).drop("k", "turn")
+    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id", "chunk_no", "first", "n"))
+    order = ["turn", "doc_id", "chunk_no", "first", "n"]
+    offer = rows.where(F.col("difficulty").isin(*quotas)).withColumn("turn", turn)
+    offer = offer.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chunk_no", "difficulty").orderBy(*order))).where("k = 1").drop("k")
+    taken, given = None, None
+    for name, quota in quotas.items():
+        free = offer.where(F.col("difficulty") == name)
+        if given is not None:
+            full = given.groupBy("doc_id", "chunk_no").agg(F.count("*").alias("n_given")).where(F.col("n_given") >= per_chunk)
+            free = free.join(full, ["doc_id", "chunk_no"], "left_anti")
+        chosen = free.withColumn("k", F.row_number().over(Window.partitionBy("difficulty").orderBy(*order))).where(F.col("k") <= quota).drop("k")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        given = taken.select("doc_id", "chunk_no")
+    return taken.drop("turn")

@@ -52,6 +52,24 @@ def similarities(sentences: DataFrame, candidates: DataFrame) -> DataFrame:
     return a.join(b, "query_id").select("query_id", "sentence_no", "sid", F.round(S.dot(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
+def align_within(sentences: DataFrame, pool: DataFrame, keys: list[str], tau: float = TAU, top_k: int = TOP_K) -> DataFrame:
+    """(keys, sentence_no, sentence_id, confidence, rank): as ``align``, for answers told apart by ``keys``, one of them query_id.
+
+    ``pool`` has (query_id, sentence_id, embedding); an id that it has twice is
+    ranked twice, as it is not reduced.
+    """
+    a = sentences.select(*keys, "sentence_no", S.unit(F.col("embedding")).alias("a"))
+    b = pool.select("query_id", "sentence_id", S.unit(F.col("embedding")).alias("b"))
+    sims = a.join(b, "query_id").select(*keys, "sentence_no", "sentence_id", F.round(S.dot(F.col("a"), F.col("b")), 6).alias("sim")).where(F.col("sim") >= tau)
+    rank = F.row_number().over(Window.partitionBy(*keys, "sentence_no").orderBy(F.desc("sim"), "sentence_id"))
+    return sims.withColumn("rank", rank).where(F.col("rank") <= top_k).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "sim"))).drop("sim")
+
+
+def similarity_range(pairs: DataFrame) -> DataFrame:
+    """(low, high, mean) of the similarities of ``pairs``."""
+    return pairs.agg(F.min("sim").alias("low"), F.max("sim").alias("high"), F.avg("sim").alias("mean"))
+
+
 def rank_pairs(pairs: DataFrame, tau: float, top_k: int) -> DataFrame:
     """The best pairs at or above ``tau`` of each sentence; confidence is the cosine within 0 and 1."""
     rank = F.row_number().over(Window.partitionBy("query_id", "sentence_no").orderBy(F.desc("sim"), "sid"))
@@ -73,20 +91,34 @@ def sweep(pairs: DataFrame, n_sentences: int, taus: list[float], ks: list[int])
     return filled.withColumns({"uncited": F.lit(n_sentences) - F.col("cited"), "per_sentence": F.round(F.col("n_citations") / max(1, n_sentences), 2)})
 
 
-def first_by_priority(preferred: DataFrame, others: DataFrame, key: str = "sid") -> DataFrame:
+def first_by_priority(preferred: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     """One row of each key: of ``preferred`` where it has one, else the first of ``others``; both have a column ``place``."""
     both = preferred.withColumn("turn", F.lit(0)).unionByName(others.withColumn("turn", F.lit(1)))
-    return both.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("turn", "place"))).where("k = 1").drop("k", "turn", "place")
+    return both.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "place"))).where("k = 1").drop("k", "turn", "place")
 
 
-def context_blocks(context: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, block): the chunks of a query's context in order, each with a header and its tagged sentences.
+def context_blocks(context: DataFrame, tagged: bool = True, most_chars: int | None = None) -> DataFrame:
+    """(query_id, block, sentence_ids): the chunks of each query's context in order, and the ids that a tag stands for.
 
-    ``context`` has (query_id, chunk_id, place), ``members`` the sentences of
-    chunks (chunk_id, doc_id, sentence_id, sentence_no, text).
+    ``context`` has (query_id, place, chunk_id, document_id, page, section_path,
+    text, sentences).  Each chunk has a header with its section, where it has
+    one, and its page.  Below stand its tagged sentences, those without an id or
+    text left out, if ``tagged`` and it has any; else its text, cut after
+    ``most_chars``.  A blank line is between chunks.
     """
-    line = F.concat(F.lit("[s:"), F.col("sentence_id"), F.lit("] "), F.col("text"))
-    bodies = members.groupBy("chunk_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    head = F.format_string("[Chunk %d: %s | doc=%s]", "place", "chunk_id", F.col("doc_id").cast("string"))
-    joined = context.join(bodies, "chunk_id").select("query_id", "place", F.concat(head, F.lit("\n"), F.col("body")).alias("part"))
-    return joined.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "\n\n").alias("block"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    none = F.array().cast("array<string>")
+    sentences = F.filter("sentences", lambda s: (F.coalesce(s["sentence_id"], F.lit("")) != "") & (F.trim(F.coalesce(s["text"], F.lit(""))) != ""))
+    has = F.lit(tagged) & (F.size(F.coalesce("sentences", F.array().cast(context.schema["sentences"].dataType))) > 0)
+    label = F.when(F.size(F.coalesce("section_path", none)) > 0, F.concat(F.lit(" | "), F.array_join("section_path", " > "))).otherwise("")
+    head = F.concat(F.format_string("[Chunk %d: %s | doc=%s", "n", "chunk_id", F.col("document_id").cast("string")), label, F.format_string(" | p.%d]", F.coalesce("page", F.lit(0))))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    body = text if most_chars is None else F.when(F.length(text) > most_chars, F.concat(F.rtrim(F.substring(text, 1, most_chars)), F.lit(" …"))).otherwise(text)
+    lines = F.transform(sentences, lambda s: F.concat(F.lit("[s:"), s["sentence_id"], F.lit("] "), F.trim(s["text"])))
+    parts = context.withColumn("n", n).select(
+        "query_id", "n", F.array_join(F.when(has, F.concat(F.array(head), lines)).otherwise(F.array(head, body)), "\n").alias("part"),
+        F.when(has, F.transform(sentences, lambda s: s["sentence_id"])).otherwise(none).alias("ids"),
+    )
+    rows = F.array_sort(F.collect_list(F.struct("n", "part", "ids")))
+    joined = parts.groupBy("query_id").agg(rows.alias("rows"))
+    return joined.select("query_id", F.rtrim(F.array_join("rows.part", "\n\n")).alias("block"), F.flatten("rows.ids").alias("sentence_ids"))

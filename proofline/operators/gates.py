@@ -32,15 +32,3 @@ def gate_counts(verdicts: DataFrame) -> DataFrame:
     """(n, passed, failed): items that are well formed and supported, and the others, nulls among them."""
     passed = F.count_if(F.coalesce(F.col("well_formed") & F.col("supported"), F.lit(False)))
     return verdicts.agg(F.count("*").alias("n"), passed.alias("passed"), (F.count("*") - passed).alias("failed"))
-
-
-def cited_passages(citations: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(question_id, passage_id): distinct passages of the cited sentences; unknown ids are left out."""
-    return citations.join(sentences.select("sid", "passage_id"), "sid").select("question_id", "passage_id").distinct()
-
-
-def check_roles(answer_model: str, author_model: str, judge_model: str) -> None:
-    """Raise unless the three models differ, in any case of letters."""
-    names = [x.strip().lower() for x in (answer_model, author_model, judge_model)]
-    if len(set(names)) < 3:
-        raise ValueError(f"answer, author and judge must be three models, not {answer_model}, {author_model}, {judge_model}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,33 @@ def score_items(items: DataFrame) -> DataFrame:
     return scored.withColumn("f1", S.f1(F.col("precision"), F.col("recall")))
 
 
+def coverage(sentences: DataFrame, by: list[str]) -> DataFrame:
+    """(by, coverage): the share of ``sentences`` (n_citations) with a citation."""
+    return sentences.groupBy(*by).agg(F.avg((F.col("n_citations") > 0).cast("int")).alias("coverage"))
+
+
+def histogram(values: Column, edges: list[float]) -> Column:
+    """The place, from 0, of the bin with ``values``; bins hold their lower edge and not their upper one; null outside."""
+    place = F.lit(None).cast("int")
+    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        place = F.when((values >= low) & (values < high), k).otherwise(place)
+    return place
+
+
+def described(items: DataFrame, by: list[str], measure: str) -> DataFrame:
+    """(by, n, mean, std, min, p25, p50, p75, max) of a measure, nulls left out."""
+    x = F.col(measure)
+    return items.groupBy(*by).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.percentile(x, p / 100).alias(f"p{p}") for p in (25, 50, 75)), F.max(x).alias("max")
+    )
+
+
+def worst(items: DataFrame, by: list[str], measure: str, key: str) -> DataFrame:
+    """(by, ``key``, ``measure``): the item with the lowest measure, of equal ones the first by key; nulls are left out."""
+    found = items.where(F.col(measure).isNotNull()).groupBy(*by).agg(F.min(F.struct(measure, key)).alias("w"))
+    return found.select(*by, f"w.{key}", f"w.{measure}")
+
+
 def summarize(items: DataFrame, by: list[str], measures: tuple[str, ...] = MACRO, optional: tuple[str, ...] = ()) -> DataFrame:
     """Rows and means of ``measures`` by ``by``; optional measures leave nulls out and are null where all are."""
     return items.groupBy(*by).agg(F.count("*").alias("n"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures), *(F.avg(m).alias(m) for m in optional))
@@ -39,6 +66,11 @@ def flag_counts(reviews: DataFrame) -> DataFrame:
     return reviews.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
+def top_flags(reviews: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` most frequent flags, ties by name."""
+    return flag_counts(reviews).orderBy(F.desc("n"), "flag").limit(n)
+
+
 def faithfulness_by_sentence(sentences: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
     """Each sentence of the spine with its citations, faithful ones, and whether any or all are; all is false without citations."""
     found = judgments.groupBy(*keys).agg(F.count("*").alias("n_citations"), F.count_if("entails").alias("n_faithful"))

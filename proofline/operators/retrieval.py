@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import sets as S
-
 #: The published constants of Okapi BM25 and reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
 #: So many queries are broadcast at once.
-BLOCK = 4096
+BLOCK = 512
 _TERM = r"[\p{L}\p{N}]+"
 
 
-def _terms(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0))).alias("term"))
+def _terms(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best ``docs`` (doc_id, text) for each of ``queries`` (query_id, text).
 
     Scores are rounded to 6 digits before they are ranked; ties go by doc_id.
-    Only terms that a query has are counted in documents.
+    Texts are split once, and only the words that a query has leave the scan.
     """
-    asked = _terms(queries, "query_id").distinct()
-    sizes = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit(_TERM)).alias("size"))
-    totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
-    tf = _terms(docs, "doc_id").join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(_terms("text"))).alias("term"))
+    words = docs.select("doc_id", F.explode(F.array(_terms("text"))).alias("words"))
+    terms = asked.select("term").distinct()
+    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(F.lower("text"), F.lit(_TERM))).alias("mean_size"))
+    found = words.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
+    tf = found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    # ``totals`` is one row.
-    weighed = tf.join(df, "term").join(sizes, "doc_id").crossJoin(F.broadcast(totals)).select("doc_id", "term", (idf * weight).alias("w"))
-    scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    # Each query's terms with their weight, and the one row of totals, are as many as the queries' words.
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", "term", "mean_size", idf.alias("idf"))
+    scored = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
     return top_k(scored, k)
 
 
@@ -50,24 +55,74 @@ def in_blocks(queries: DataFrame, key: str, size: int = BLOCK) -> list[DataFrame
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == at) for at in range(n)]
 
 
+def _nearest(ids: Sequence, q: np.ndarray, k: int, apart: bool):
+    """A pass over batches of vectors that keeps the ``k`` nearest of each query."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: list[list[tuple[float, object]]] = [[] for _ in ids]
+        for batch in batches:
+            column = batch.column("embedding")
+            full = pc.fill_null(pc.equal(pc.list_value_length(column), q.shape[1]), False)
+            kept = batch.filter(full)
+            if not kept.num_rows:
+                continue
+            v = np.asarray(kept.column("embedding").flatten(), np.float64).reshape(-1, q.shape[1])
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            scores = np.round(q @ (v / np.where(norm < 1e-12, 1, norm)).T, 6) + 0.0
+            found = np.array(kept.column("doc_id").to_pylist(), object)
+            for at in range(len(ids)):
+                mine = scores[at]
+                if apart:
+                    mine = np.where(found == ids[at], -np.inf, mine)
+                least = np.partition(mine, len(mine) - k)[len(mine) - k] if len(mine) > k else -np.inf
+                near = np.flatnonzero((mine >= least) & (mine > -np.inf))
+                ranked = sorted(zip((-mine[near]).tolist(), found[near].tolist(), strict=True))[:k]
+                pools[at] = sorted(pools[at] + ranked)[:k] if pools[at] else ranked
+        rows = [(ids[at], doc, -score) for at, pool in enumerate(pools) for score, doc in pool]
+        if rows:
+            yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": [r[2] for r in rows]})
+
+    return search
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, apart: bool = False, size: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine top ``k`` of ``vectors`` (doc_id, embedding) for ``queries`` (query_id, embedding).
 
-    Any number of queries meets all vectors, a block of ``size`` queries after
-    the other.  Vectors are scaled once, so each pair is one dot product, and
-    tasks keep ``k`` rows of a query before anything is shuffled.  With
-    ``apart`` a query is no neighbour of the vector that has its own id.
+    Any number of queries meets all vectors, a block of about ``size`` queries
+    after the other, whose vectors are sent to the tasks; a task keeps ``k``
+    rows of a query, so what is shuffled grows with queries and tasks, not with
+    pairs.  With ``apart`` a query is no neighbour of the vector that has its
+    own id.  Vectors of another length than the query's, and null ones, are not
+    found; a zero vector has 0 with all.
     """
-    v = vectors.select("doc_id", S.unit(F.col("embedding")).alias("v"))
+    named = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kinds = {name: kind for name, kind in (*queries.select("query_id").dtypes, *named.dtypes)}
     found = None
-    for block in in_blocks(queries.select("query_id", "embedding"), "query_id", size):
-        q = F.broadcast(block.select("query_id", S.unit(F.col("embedding")).alias("q")))
-        pairs = v.crossJoin(q).where("query_id <> doc_id" if apart else "true")
-        best = top_k(pairs.select("query_id", "doc_id", F.round(S.dot(F.col("q"), F.col("v")), 6).alias("score")), k)
+    for block in in_blocks(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "query_id", size):
+        rows = block.collect()  # a block is bounded by ``size``
+        if not rows:
+            continue
+        q = np.array([row["embedding"] for row in rows], np.float64).reshape(len(rows), -1)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        search = _nearest([row["query_id"] for row in rows], q / np.where(norm < 1e-12, 1, norm), k, apart)
+        best = top_k(named.mapInArrow(search, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), k)
         found = best if found is None else found.unionByName(best)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, rank int")
     return found
 
 
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): keyword and vector rankings of the same ``docs`` fused.
+
+    ``queries`` has (query_id, text, embedding), ``docs`` (doc_id, text,
+    embedding).  Both rankings are ``deep`` long, four times ``k`` and 20 at
+    least if nothing is said.
+    """
+    deep = max(4 * k, 20) if deep is None else deep
+    return fuse([bm25(queries, docs, deep), vector_search(queries, docs, deep)], k)
+
+
 def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, doc_id, rank)."""
     every = rankings[0].select("query_id", "doc_id", "rank")
@@ -88,6 +143,29 @@ def dual_context(chunk_hits: DataFrame, sentence_hits: DataFrame) -> DataFrame:
     return joined.select("query_id", "chunk_id", source.alias("source"), place.alias("place"))
 
 
+def fetch_chunks(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ``chunks`` whose chunk_id is among ``ids``; unknown ids fetch nothing."""
+    return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def filled(hits: DataFrame) -> DataFrame:
+    """``hits`` with 0 for a missing page, no section for a missing path and an empty text for a missing one."""
+    return hits.withColumns({"page": F.coalesce("page", F.lit(0)), "section_path": F.coalesce("section_path", F.array().cast("array<string>")), "text": F.coalesce("text", F.lit(""))})
+
+
+def nested_sentences(context: DataFrame) -> DataFrame:
+    """(query_id, rank, sentence_id, chunk_id, document_id, page, section_path, text): the sentences within a context's chunks, in order, repeats kept.
+
+    A missing page, or 0, and a missing or empty section are the chunk's.
+    Sentences without an id are left out.
+    """
+    rows = context.select("query_id", "place", "chunk_id", "document_id", F.col("page").alias("chunk_page"), F.col("section_path").alias("chunk_path"), F.posexplode("sentences").alias("pos", "s")).where("coalesce(s.sentence_id, '') <> ''")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "pos"))
+    page = F.when(F.coalesce("s.page", F.lit(0)) != 0, F.col("s.page")).otherwise(F.coalesce("chunk_page", F.lit(0)))
+    path = F.when(F.size(F.coalesce("s.section_path", F.array().cast("array<string>"))) > 0, F.col("s.section_path")).otherwise(F.coalesce("chunk_path", F.array().cast("array<string>")))
+    return rows.select("query_id", rank.alias("rank"), "s.sentence_id", "chunk_id", "document_id", page.alias("page"), path.alias("section_path"), F.coalesce("s.text", F.lit("")).alias("text"))
+
+
 def reachable(candidates: DataFrame, nested: DataFrame) -> DataFrame:
     """(query_id, sid): distinct ids of the candidates and of the context's own sentences."""
     return candidates.select("query_id", "sid").union(nested.select("query_id", "sid")).distinct()
@@ -106,3 +184,11 @@ def layout_agreement(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     found = chunks.select("query_id", "chunk_id").distinct().withColumn("hit", F.lit(1))
     joined = parents.select("query_id", "chunk_id").distinct().join(found, ["query_id", "chunk_id"], "left")
     return joined.groupBy("query_id").agg((F.count("hit") / F.greatest(F.lit(1), F.count("*"))).alias("agreement"))
+
+
+def agreement_summary(agreement: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """(n, mean_agreement, min_agreement), and of ``latencies`` (latency_ms) the median and the maximum."""
+    means = agreement.agg(F.count("*").alias("n"), F.avg("agreement").alias("mean_agreement"), F.min("agreement").alias("min_agreement"))
+    if latencies is None:
+        return means
+    return means.crossJoin(latencies.agg(F.median("latency_ms").alias("median_ms"), F.max("latency_ms").alias("max_ms")))

@@ -1,73 +1,76 @@
 """Registered queries over the shared tables, with their DuckDB counterparts.
 
 How the citation pipeline's concepts lie on the tables: ``documents`` are the
-corpus and ``benchmark`` its questions; ``embeddings`` hold answer sentences
-(vec_id below 50; in the queries named _whole, every vec_id divisible by 20) and
-candidates (the others; in those named _whole, all but itself); ``events`` are replica runs (question: user_id
-% 20, run: event_type, cited id: k); ``labels`` are verdicts; ``lineitem`` orders
-are items with predicted (returned) and gold (fulfilled) parts.
+corpus and ``benchmark`` its questions; of the ``embeddings`` every one whose
+vec_id is divisible by 20 asks, and all but itself are candidates; ``events`` are
+replica runs (question: user_id % 20, run: event_type, cited id: k); ``labels``
+are verdicts and reviews; ``lineitem`` orders are items with predicted (returned)
+and gold (fulfilled) parts.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import flow_queries
 from .functions import replies, sets
 from .functions import text as T
 from .operators import chunking, citation, gates, metrics, retrieval
-from .sources import readers
+from .sources import providers, readers
 
-#: The stated answer sentences among the vectors, and the threshold that suits these vectors.
-ANSWER_VECTORS, TAU = 50, 0.3
-#: In the queries named _whole, every vector whose id is divisible by this asks, and all vectors are candidates.
-QUERY_STEP = 20
+#: The threshold that suits these vectors; every vector whose id is divisible by ``QUERY_STEP`` asks.
+TAU, QUERY_STEP = 0.3, 20
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _queries_and_candidates(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """The vectors that ask and those that are found; ``whole``: every ``QUERY_STEP``-th id asks and all are found, but never a vector by itself."""
-    v, at = _t(spark, sf_dir, "embeddings"), F.col("vec_id")
-    return (v.where(at % QUERY_STEP == 0), v) if whole else (v.where(at < ANSWER_VECTORS), v.where(at >= ANSWER_VECTORS))
+def _queries_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors that ask, and all; no vector is found by itself."""
+    v = _t(spark, sf_dir, "embeddings")
+    return v.where(F.col("vec_id") % QUERY_STEP == 0), v
+
 
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    queries, found = _queries_and_candidates(spark, sf_dir)
+    ranked = retrieval.vector_search(queries.select(F.col("vec_id").alias("query_id"), "embedding"), found.select(F.col("vec_id").alias("doc_id"), "embedding"), k, apart=True)
+    return ranked.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
-def _similarities(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    queries, found = _queries_and_candidates(spark, sf_dir, whole)
-    answers = queries.select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sentence_no"), "embedding")
-    candidates = found.select(F.lit(0).alias("query_id"), F.col("vec_id").alias("sid"), "embedding")
-    blocks = [citation.similarities(F.broadcast(block), candidates) for block in retrieval.in_blocks(answers, "sentence_no")]
-    return reduce(DataFrame.unionByName, blocks).where("sentence_no <> sid")
 
+def _pairs(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The ``k`` most similar candidates of each answer sentence, as the alignment takes them."""
+    return _nearest(spark, sf_dir, k).select(F.lit(0).alias("query_id"), F.col("query_id").alias("sentence_no"), F.col("doc_id").alias("sid"), F.col("score").alias("sim"))
 
-def align_topk_tau(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    found = citation.rank_pairs(_similarities(spark, sf_dir, whole), TAU, 3)
+
+def align_topk_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = citation.rank_pairs(_pairs(spark, sf_dir, 3), TAU, 3)
     return found.select("sentence_no", "sid", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
-def parameter_sweep(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    n_answers = _queries_and_candidates(spark, sf_dir, True)[0].count() if whole else ANSWER_VECTORS
-    found = citation.sweep(_similarities(spark, sf_dir, whole), n_answers, [0.25, 0.3, 0.35, 0.4, 0.45], [1, 2, 3, 5])
+def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_answers = _queries_and_candidates(spark, sf_dir)[0].count()
+    found = citation.sweep(_pairs(spark, sf_dir, 5), n_answers, [0.25, 0.3, 0.35, 0.4, 0.45], [1, 2, 3, 5])
     return found.select("tau", F.col("top_k").cast("long").alias("top_k"), "n_citations", "cited", "uncited", "per_sentence")
 
 
-def retrieval_recall_at_k(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    q, corpus = _queries_and_candidates(spark, sf_dir, whole)
+def similarity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = citation.similarity_range(_pairs(spark, sf_dir, 20))
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+def retrieval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, corpus = _queries_and_candidates(spark, sf_dir)
     queries = q.select(F.col("vec_id").alias("query_id"), "embedding")
-    pool = vector_topk(spark, sf_dir, whole).select("query_id", F.col("doc_id").alias("sid"))
+    pool = vector_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("sid"))
     gold = q.select(F.col("vec_id").alias("query_id"), "label").join(corpus.select("label", F.col("vec_id").alias("sid")), "label").where("query_id <> sid").select("query_id", "sid")
     found = retrieval.recall_at_k(gold, pool, queries)
     return found.select("query_id", F.col("n_gold").cast("long").alias("n_gold"), F.round("recall", 6).alias("recall"))
 
 
-def vector_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    queries, corpus = _queries_and_candidates(spark, sf_dir, whole)
-    found = retrieval.vector_search(queries.select(F.col("vec_id").alias("query_id"), "embedding"), corpus.select(F.col("vec_id").alias("doc_id"), "embedding"), 20, apart=whole)
-    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 20)
 
 
 def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,30 +112,30 @@ def slice_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _means(metrics.summarize(_item_eval(spark, sf_dir), ["strategy", "difficulty"]), "strategy", "difficulty")
 
 
-def _reviews(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = F.element_at(F.array(F.lit("high"), F.lit("medium")), (F.col("toxic") + 1).cast("int"))
     flags = F.filter(F.array(F.when(F.col("quality") == 0, "unclear"), F.when(F.col("toxic") == 1, "wrong"), F.lit("seen")), lambda x: x.isNotNull())
-    labels = _t(spark, sf_dir, "labels")
-    return (labels if whole else labels.where(F.col("doc_id") % 3 != 0)).select(F.col("doc_id").alias("question_id"), conf.alias("confidence"), flags.alias("flags"))
+    return _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), conf.alias("confidence"), flags.alias("flags"))
 
 
-def reviewer_slice(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    joined = metrics.with_reviews(_item_eval(spark, sf_dir), _reviews(spark, sf_dir, whole)).where("confidence is not null")
+def reviewer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = metrics.with_reviews(_item_eval(spark, sf_dir), _reviews(spark, sf_dir)).where("confidence is not null")
     return _means(metrics.summarize(joined, ["strategy", "confidence"], metrics.MACRO[:4]), "strategy", "confidence")
 
 
-def review_confidences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.confidence_counts(_reviews(spark, sf_dir, whole))
+def review_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confidence_counts(_reviews(spark, sf_dir))
 
 
-def review_flags(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.flag_counts(_reviews(spark, sf_dir, whole))
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.flag_counts(_reviews(spark, sf_dir))
 
 
 def _faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    judged = _t(spark, sf_dir, "labels").where("toxic = 0").join(docs, "doc_id").select("source", "lang", (F.col("quality") == 1).alias("entails"))
-    return metrics.faithfulness_by_sentence(docs.select("source", "lang").distinct(), judged, ["source", "lang"])
+    """Documents as answer sentences of their source; a label is a citation, which entails if it is good and not toxic."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    judged = _t(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("entails"))
+    return metrics.faithfulness_by_sentence(docs, judged, ["doc_id"])
 
 
 def faithfulness_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,18 +184,17 @@ def per_position_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.stability(*_runs(spark, sf_dir))
-    return found.groupBy(F.least(F.floor(F.col("stability") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"))
+    place = metrics.histogram(F.col("stability"), [0, 0.2, 0.4, 0.6, 0.8, 1.01])
+    return found.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def stability_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = "stability"
-    found = _item_eval(spark, sf_dir).groupBy("strategy").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.percentile(x, p / 100).alias(f"p{p}") for p in (25, 50, 75)), F.max(x).alias("max"))
-    return _means(found, "strategy")
+    return _means(metrics.described(_item_eval(spark, sf_dir), ["strategy"], "stability"), "strategy")
 
 
 def worst_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _item_eval(spark, sf_dir).where("stability is not null").groupBy("strategy").agg(F.min(F.struct("stability", "question_id")).alias("w"))
-    return found.select("strategy", "w.question_id", F.round("w.stability", 6).alias("stability"))
+    found = metrics.worst(_item_eval(spark, sf_dir), ["strategy"], "stability", "question_id")
+    return found.withColumn("stability", F.round("stability", 6))
 
 
 def markdown_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,27 +227,28 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.breadcrumbs(_page_paragraphs(spark, sf_dir)).select("doc_id", F.col("para_no").cast("long").alias("para_no"), "content", T.section_label(F.col("section_path")).alias("section"))
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sentences(spark, sf_dir)
-    sectioned = s.withColumn("section", F.floor(F.col("sentence_no") / 40).cast("string"))
-    return chunking.chunk_sentences(s, chunking.pack_chunks(sectioned, 100, 10))
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed chunks; every 40 sentences are a section."""
+    section = F.floor(F.col("sentence_no") / 40).cast("string")
+    sectioned = _sentences(spark, sf_dir).withColumns({"section": section, "section_path": F.array(section)})
+    return chunking.pack_chunks(sectioned, 100, 10)
 
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.build_chunks(_members(spark, sf_dir)).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), "n_sentences", "token_count")
+    return _chunks(spark, sf_dir).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), F.col("n_sentences").cast("long").alias("n_sentences"), F.col("token_count").cast("long").alias("token_count"), F.get("section_path", F.lit(0)).alias("section"))
 
 
 def unique_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.unique_sentences(_members(spark, sf_dir)).select("sentence_id", "chunk_id", "char_start", "char_end")
+    found = chunking.unique_sentences(chunking.chunk_sentences(_chunks(spark, sf_dir)))
+    return found.select("sentence_id", "chunk_id", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
 def adjacent_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.adjacent_overlap(_members(spark, sf_dir))
+    return chunking.adjacent_overlap(chunking.chunk_sentences(_chunks(spark, sf_dir))).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.build_chunks(_members(spark, sf_dir))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_sentences").alias("n_sentences"), F.sum("token_count").alias("tokens"), F.avg("token_count").alias("mean_tokens"))
+    return chunking.corpus_stats(_chunks(spark, sf_dir)).withColumn("mean_tokens", F.round("mean_tokens", 6))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +261,8 @@ def span_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.sample_spans(_spans(spark, sf_dir).drop("text"), {"easy": 40, "medium": 35, "hard": 25})
+    found = chunking.sample_spans(_spans(spark, sf_dir).select("doc_id", "chunk_no", "first", "n", "difficulty"), chunking.quotas(100))
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_no", "first", "n")), "difficulty")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,29 +274,26 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_rrf(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Vector neighbours of a query by cosine, fused with those of its own label in order of id."""
-    ranked = vector_topk(spark, sf_dir, whole)
-    queries, corpus = _queries_and_candidates(spark, sf_dir, whole)
-    q = queries.select(F.col("vec_id").alias("query_id"), "label")
-    same = q.join(corpus.select("label", F.col("vec_id").alias("doc_id")), "label").where("query_id <> doc_id")
-    by_label = retrieval.top_k(same.select("query_id", "doc_id", F.lit(0.0).alias("score")), 20)
-    return retrieval.fuse([ranked, by_label], 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and vector rankings of the documents, fused; the vectors are hashed words."""
+    embedded = lambda rows: providers.embed_column(rows, providers.HashingEmbedder)
+    found = retrieval.hybrid_search(embedded(_questions(spark, sf_dir)), embedded(_t(spark, sf_dir, "documents").select("doc_id", "text")), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _hits(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    ranked = vector_topk(spark, sf_dir, whole)
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ranked = vector_topk(spark, sf_dir)
     chunk_hits = ranked.where("rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
     sentence_hits = ranked.where("rank > 3").select("query_id", (F.col("doc_id") - F.col("doc_id") % 2).alias("chunk_id"), F.col("doc_id").alias("sid"), "rank")
     return chunk_hits, sentence_hits
 
 
-def dual_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return retrieval.dual_context(*_hits(spark, sf_dir, whole)).withColumn("place", F.col("place").cast("long"))
+def dual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.dual_context(*_hits(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-def layout_agreement(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return retrieval.layout_agreement(*_hits(spark, sf_dir, whole)).withColumn("agreement", F.round("agreement", 6))
+def layout_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.layout_agreement(*_hits(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +320,7 @@ def source_lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's owner: the first labelled document that has it, else the first of all."""
     docs = _t(spark, sf_dir, "documents").select(F.md5("text").alias("sid"), "doc_id", F.col("doc_id").alias("place"))
     nested = docs.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return citation.first_by_priority(nested, docs)
+    return citation.first_by_priority(nested, docs, "sid")
 
 
 def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,14 +329,14 @@ def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.span_text(lines, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid"), F.col("p_name").alias("text")))
 
 
-def union_candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = vector_topk(spark, sf_dir, whole).select("query_id", F.col("doc_id").alias("sid"), "rank")
+def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("sid"), "rank")
     seeds = hits.where("rank in (1, 4) or sid % 5 = 0")
     return gates.union_candidates(hits, seeds, 10)
 
 
-def union_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    ids = vector_topk(spark, sf_dir, whole).select(F.col("query_id").alias("question_id"), F.col("doc_id").cast("string").alias("sid"), F.col("rank").alias("at"))
+def union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = vector_topk(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("doc_id").cast("string").alias("sid"), F.col("rank").alias("at"))
     gold = ids.where("at <= 4").groupBy("question_id").agg(F.array_sort(F.collect_list("sid")).alias("g"))
     items = gold.select("question_id", F.array(F.slice("g", 1, 2), F.slice("g", 3, 2)).alias("gold_citations"))
     merged = gates.merge_additions(items, ids.where("at between 3 and 6"))
@@ -385,21 +386,17 @@ def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        align_topk_tau, parameter_sweep, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
+        align_topk_tau, parameter_sweep, similarity_range, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
         faithfulness_sentence, faithfulness_report, faithfulness_micro, stability, citation_frequency, stable_anchors, pairwise_jaccard, per_position_jaccard, stability_histogram,
         stability_describe, worst_item, markdown_pivot, sentence_split, sentence_offsets, breadcrumbs, chunk_pack, unique_sentences, adjacent_overlap, corpus_stats, span_difficulty, span_sample,
         bm25_topk, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
         last_write_wins, seeded_sample, token_estimates, passage_scores,
     )
 }
-#: The searches and reviews are registered over the whole set too; what they give is compared with SQL of its own.
-WHOLE = ("align_topk_tau", "parameter_sweep", "retrieval_recall_at_k", "vector_topk", "hybrid_rrf", "dual_context", "layout_agreement", "union_candidates", "union_merge", "reviewer_slice", "review_confidences", "review_flags")
-QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE}
-
 _COSINES = f"""
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 sims AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS score
-         FROM v q, v c WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}),
+         FROM v q, v c WHERE q.vec_id % {QUERY_STEP} = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims),
 top AS (SELECT * FROM ranked WHERE rank <= 20)"""
 _RUNS = """
@@ -420,13 +417,11 @@ s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS
              CAST(char_start + length(text) AS BIGINT) AS char_end FROM placed WHERE text <> '')"""
 _REVIEWS = """
 reviews AS (SELECT doc_id AS question_id, CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END AS confidence,
-  list_filter([CASE WHEN quality = 0 THEN 'unclear' END, CASE WHEN toxic = 1 THEN 'wrong' END, 'seen'], lambda x: x IS NOT NULL) AS flags FROM labels WHERE doc_id % 3 <> 0)"""
+  list_filter([CASE WHEN quality = 0 THEN 'unclear' END, CASE WHEN toxic = 1 THEN 'wrong' END, 'seen'], lambda x: x IS NOT NULL) AS flags FROM labels)"""
 _FAITHFUL = """
-WITH spine AS (SELECT DISTINCT source, lang FROM documents),
-judged AS (SELECT source, lang, quality = 1 AS entails FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 0),
-found AS (SELECT source, lang, count(*) AS n, count(*) FILTER (entails) AS f FROM judged GROUP BY 1, 2),
-s AS (SELECT source, lang, coalesce(n, 0) AS n_citations, coalesce(f, 0) AS n_faithful, coalesce(f, 0) > 0 AS any_faithful,
-      coalesce(n, 0) > 0 AND f = n AS all_faithful FROM spine LEFT JOIN found USING (source, lang))"""
+WITH found AS (SELECT doc_id, count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS f FROM labels GROUP BY 1),
+s AS (SELECT doc_id, source, coalesce(n, 0) AS n_citations, coalesce(f, 0) AS n_faithful, coalesce(f, 0) > 0 AS any_faithful,
+      coalesce(n, 0) > 0 AND f = n AS all_faithful FROM documents LEFT JOIN found USING (doc_id))"""
 _REPORT = """CAST(sum(n_citations) AS BIGINT) AS n_citations, round(coalesce(100.0 * sum(n_faithful) / nullif(sum(n_citations), 0), 0), 6) AS percent_faithful,
   round(coalesce(100.0 * count(*) FILTER (any_faithful) / nullif(count(*) FILTER (n_citations > 0), 0), 0), 6) AS percent_sentences_any_faithful,
   round(100.0 * count(*) FILTER (n_citations > 0) / count(*), 6) AS coverage"""
@@ -445,11 +440,12 @@ ORACLES: dict[str, str] = {
     "parameter_sweep": f"""{_COSINES}, params AS (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS tau), ks AS (SELECT unnest([1, 2, 3, 5])::BIGINT AS top_k),
 hit AS (SELECT tau, top_k, query_id FROM params, ks, ranked WHERE score >= tau AND rank <= top_k),
 c AS (SELECT tau, top_k, count(*) AS n, count(DISTINCT query_id) AS q FROM hit GROUP BY 1, 2)
-SELECT tau, top_k, coalesce(n, 0) AS n_citations, coalesce(q, 0) AS cited, {ANSWER_VECTORS} - coalesce(q, 0) AS uncited, round(coalesce(n, 0) / {ANSWER_VECTORS}, 2)::DOUBLE AS per_sentence
+SELECT tau, top_k, coalesce(n, 0) AS n_citations, coalesce(q, 0) AS cited, (SELECT count(*) FROM v WHERE vec_id % {QUERY_STEP} = 0) - coalesce(q, 0) AS uncited, round(coalesce(n, 0) / (SELECT count(*) FROM v WHERE vec_id % {QUERY_STEP} = 0), 2)::DOUBLE AS per_sentence
 FROM params CROSS JOIN ks LEFT JOIN c USING (tau, top_k)""",
-    "retrieval_recall_at_k": f"""{_COSINES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS})
+    "retrieval_recall_at_k": f"""{_COSINES}, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % {QUERY_STEP} = 0 AND c.vec_id <> q.vec_id)
 SELECT q.vec_id AS query_id, count(g.doc_id) AS n_gold, CASE WHEN count(g.doc_id) = 0 THEN 1.0 ELSE round(count(t.doc_id) / count(g.doc_id), 6) END::DOUBLE AS recall
-FROM v q LEFT JOIN gold g ON g.query_id = q.vec_id LEFT JOIN top t ON t.query_id = g.query_id AND t.doc_id = g.doc_id WHERE q.vec_id < {ANSWER_VECTORS} GROUP BY 1""",
+FROM v q LEFT JOIN gold g ON g.query_id = q.vec_id LEFT JOIN top t ON t.query_id = g.query_id AND t.doc_id = g.doc_id WHERE q.vec_id % {QUERY_STEP} = 0 GROUP BY 1""",
+    "similarity_range": f"{_COSINES} SELECT min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM top",
     "vector_topk": f"{_COSINES} SELECT query_id, doc_id, score, rank FROM top",
     "prf_by_order": f'{_PRF} SELECT l_orderkey, n_pred, n_gold, round(pr, 6)::DOUBLE AS "precision", round(re, 6)::DOUBLE AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6)::DOUBLE AS f1 FROM s',
     "macro_by_strategy": f"SELECT strategy, count(*) AS n, {_MEANS}, round(avg(stability), 6) AS stability FROM ({_ITEM_EVAL}) GROUP BY 1",
@@ -495,9 +491,6 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS w FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), tot),
 scored AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""",
-    "hybrid_rrf": f"""{_COSINES}, lab AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}) WHERE rank <= 20),
-f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT * FROM lab) GROUP BY 1, 2)
-SELECT query_id, doc_id, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
     "dual_context": f"""{_COSINES}, c AS (SELECT query_id, doc_id AS chunk_id, rank FROM top WHERE rank <= 5), p AS (SELECT DISTINCT query_id, doc_id - doc_id % 2 AS chunk_id FROM top WHERE rank > 3),
 j AS (SELECT coalesce(c.query_id, p.query_id) AS query_id, coalesce(c.chunk_id, p.chunk_id) AS chunk_id, rank, CASE WHEN rank IS NULL THEN 'sentence_parent' WHEN p.chunk_id IS NOT NULL THEN 'both' ELSE 'chunk_search' END AS source FROM c FULL JOIN p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id)
 SELECT query_id, chunk_id, source, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, chunk_id) AS place FROM j""",
@@ -519,14 +512,36 @@ SELECT query_id AS question_id, array_to_string(g[1:2] || list_filter(a, lambda
   round(count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') / count(DISTINCT l_partkey), 6) AS "precision" FROM lineitem GROUP BY l_orderkey HAVING n_gold > 0""",
 }
 
+# A document's chunks one after another: ``cum`` are running word counts, the next chunk starts where the last words before it fit the overlap, or at a new section.
+_PACKED = rf"""
+WITH RECURSIVE {_RAW_SENTENCES.strip().removeprefix("WITH ")},
+t AS (SELECT doc_id, sentence_no, text, CAST(sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY doc_id ORDER BY sentence_no) AS BIGINT) AS cum FROM s),
+d AS (SELECT doc_id, list(cum ORDER BY sentence_no) AS c, count(*) AS n FROM t GROUP BY 1),
+p AS (
+  SELECT doc_id, 0::BIGINT AS chunk_no, 0::BIGINT AS first, greatest(0, list_max(list_filter(range(0, least(n, 40)), lambda j: j = 0 OR c[j + 1] <= 100)))::BIGINT AS last, c, n FROM d
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, start, list_max(list_filter(range(spot, least(n, (spot // 40 + 1) * 40)), lambda j: j = spot OR c[j + 1] - (CASE WHEN start = 0 THEN 0 ELSE c[start] END) <= 100))::BIGINT, c, n
+  FROM (SELECT doc_id, chunk_no, c, n, last + 1 AS spot, CASE WHEN (last + 1) % 40 = 0 THEN last + 1 ELSE greatest(first,
+          list_min(list_filter(range(greatest(first, last - 40), last + 1), lambda j: j = last OR c[last + 1] - (CASE WHEN j = 0 THEN 0 ELSE c[j] END) <= 10))) END AS start FROM p WHERE last + 1 < n)),
+m AS (SELECT p.doc_id, chunk_no, sentence_no, text, printf('%s-c%04d', p.doc_id::VARCHAR, chunk_no) AS chunk_id, printf('%s-s%05d', p.doc_id::VARCHAR, sentence_no) AS sentence_id
+      FROM (SELECT doc_id, chunk_no, first, last FROM p) p JOIN t ON t.doc_id = p.doc_id AND sentence_no BETWEEN first AND last),
+k AS (SELECT chunk_id, doc_id, chunk_no, string_agg(text, ' ' ORDER BY sentence_no) AS text, count(*) AS n_sentences, min(sentence_no) AS first, max(sentence_no) AS last FROM m GROUP BY 1, 2, 3)"""
+ORACLES |= {
+    "chunk_pack": rf"{_PACKED} SELECT chunk_id, doc_id, md5(text) AS text_md5, n_sentences, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS token_count, CAST(first // 40 AS VARCHAR) AS section FROM k",
+    "unique_sentences": f"""{_PACKED}, o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY chunk_id ORDER BY sentence_no) - 1 AS stop FROM m),
+f AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY chunk_no) AS r FROM o) SELECT sentence_id, chunk_id, CAST(stop - length(text) AS BIGINT) AS char_start, CAST(stop AS BIGINT) AS char_end FROM f WHERE r = 1""",
+    "adjacent_overlap": f"""{_PACKED} SELECT a.doc_id, a.chunk_no, greatest(a.first, a.last - 4) <= least(b.last, b.first + 4) AND a.last >= b.first AS overlaps FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.chunk_no = a.chunk_no + 1""",
+    "corpus_stats": rf"""{_PACKED} SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_sentences) AS BIGINT) AS n_sentences, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS tokens,
+  round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_tokens, count(DISTINCT first // 40) AS n_sections FROM k GROUP BY 1""",
+    "span_sample": f"""{_RAW_SENTENCES}, c AS (SELECT *, sentence_no // 10 AS chunk_no, least(3, count(*) OVER (PARTITION BY doc_id, sentence_no // 10 ORDER BY sentence_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS m FROM s),
+r AS (SELECT doc_id, chunk_no, sentence_no AS first, n, CASE WHEN n = 3 THEN 'hard' WHEN n = 2 THEN 'medium' WHEN regexp_matches(text, '[0-9]') OR length(text) < 120 THEN 'easy' ELSE 'medium' END AS difficulty,
+  md5(concat_ws(':', '7', doc_id, chunk_no, sentence_no, n)) AS turn FROM c, (SELECT unnest([1, 2, 3])::BIGINT AS n) WHERE n <= m),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no, difficulty ORDER BY turn, first, n) AS k FROM r) WHERE k = 1),
+e AS (SELECT * FROM o WHERE difficulty = 'easy' ORDER BY turn, doc_id, chunk_no, first, n LIMIT 40),
+d AS (SELECT * FROM o WHERE difficulty = 'medium' AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM e) ORDER BY turn, doc_id, chunk_no, first, n LIMIT 35),
+h AS (SELECT * FROM o WHERE difficulty = 'hard' AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM e) AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM d) ORDER BY turn, doc_id, chunk_no, first, n LIMIT 25)
+SELECT doc_id, chunk_no, first, n, difficulty FROM (SELECT * FROM e UNION ALL SELECT * FROM d UNION ALL SELECT * FROM h)""",
+}
 
-def _whole_sql(sql: str) -> str:
-    """The SQL over the whole set: every ``QUERY_STEP``-th id against all other vectors, and a review of every label."""
-    sql = sql.replace(" WHERE doc_id % 3 <> 0", "")
-    asks = f"vec_id % {QUERY_STEP} = 0"
-    sql = sql.replace(f"q.vec_id < {ANSWER_VECTORS} AND c.vec_id >= {ANSWER_VECTORS}", f"q.{asks} AND c.vec_id <> q.vec_id").replace(f"q.vec_id < {ANSWER_VECTORS}", f"q.{asks}")
-    n_answers = f"(SELECT count(*) FROM v WHERE {asks})"
-    return sql.replace(f"{ANSWER_VECTORS} - coalesce", f"{n_answers} - coalesce").replace(f"/ {ANSWER_VECTORS},", f"/ {n_answers},")
-
-
-ORACLES |= {f"{name}_whole": _whole_sql(ORACLES[name]) for name in WHOLE}
+QUERIES |= flow_queries.QUERIES
+ORACLES |= flow_queries.ORACLES

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,32 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+class Completion(NamedTuple):
+    """A reply with what a service says about it."""
+
+    text: str
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+    finish_reason: str | None = None
+
+
 class ChatModel(Protocol):
-    def complete(self, prompt: str) -> str: ...
+    """``complete`` may take further columns of the row by their names, such as ``run`` or ``temperature``."""
+
+    def complete(self, prompt: str) -> str | Completion: ...
+
+
+class Roles(NamedTuple):
+    """The identities of the three models: who answers, who writes the ground truth and who judges; they differ, in any case of letters."""
+
+    answer: str
+    author: str
+    judge: str
+
+    def checked(self) -> Roles:
+        if len({name.strip().lower() for name in self}) < 3:
+            raise ValueError(f"answer, author and judge must be three models, not {', '.join(self)}")
+        return self
 
 
 class HashingEmbedder:
@@ -27,48 +52,61 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        rows = np.zeros((len(texts), self.dimensions), np.float32)
+        rows = np.zeros((len(texts), self.dimensions), np.float64)
         for row, text in zip(rows, texts, strict=True):
             for word in (text or "").lower().split():
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                row[int.from_bytes(digest[:4], "big") % self.dimensions] += 1 if digest[4] & 1 else -1
+                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions] += 1
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         return (rows / np.where(norms < 1e-12, 1, norms)).tolist()
 
 
 def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "text", batch: int = 64) -> DataFrame:
-    """``rows`` with ``embedding``; ``make`` builds the model once for each task, which gets ``batch`` texts at a time."""
+    """``rows`` with ``embedding``; ``make`` builds the model once for each task, which gets ``batch`` texts at a time.
+
+    Rows that have an ``embedding`` column keep it: what was embedded before is not asked for again.
+    """
+    if "embedding" in rows.columns:
+        return rows
 
     def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 piece = part.slice(at, batch)
-                vectors = pa.array(model.embed([x or "" for x in piece.column(column).to_pylist()]), pa.list_(pa.float32()))
+                vectors = pa.array(model.embed([x or "" for x in piece.column(column).to_pylist()]), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*piece.columns, vectors], names=[*piece.schema.names, "embedding"])
 
-    kept = rows.drop("embedding")
-    return kept.mapInArrow(embedded, T.StructType([*kept.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    return rows.mapInArrow(embedded, T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+_COMPLETED = [("reply", T.StringType(), pa.string()), ("error", T.StringType(), pa.string()), ("prompt_tokens", T.LongType(), pa.int64()), ("completion_tokens", T.LongType(), pa.int64()), ("finish_reason", T.StringType(), pa.string()), ("latency_ms", T.DoubleType(), pa.float64())]
 
 
-def complete_column(rows: DataFrame, make: Callable[[], ChatModel], column: str = "prompt") -> DataFrame:
-    """``rows`` with ``reply`` and ``error``: what fails has an error and no reply, and no row is lost.
+def complete_column(rows: DataFrame, make: Callable[[], ChatModel], column: str = "prompt", options: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``reply``, ``error`` and what the model says of the completion: what fails has an error and no reply, and no row is lost.
 
-    A replay after a lost executor asks the model again; write the result before it is used twice.
+    A row without a prompt is not asked for and has neither.  ``options`` are
+    columns that the model is given by name.  A replay after a lost executor
+    asks the model again; write the result before it is used twice.
     """
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for part in batches:
-            replies, errors = [], []
-            for prompt in part.column(column).to_pylist():
-                try:
-                    replies.append(model.complete(prompt))
-                    errors.append(None)
-                except Exception as error:  # any failure of a model is a row's outcome
-                    replies.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*part.schema.names, "reply", "error"])
-
-    kept = rows.drop("reply", "error")
-    return kept.mapInArrow(asked, T.StructType([*kept.schema, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
+            given = zip(part.column(column).to_pylist(), *(part.column(c).to_pylist() for c in options), strict=True)
+            found = []
+            for prompt, *values in given:
+                began = time.perf_counter()
+                said, error = Completion(None), None
+                if prompt is not None:
+                    try:
+                        reply = model.complete(prompt, **dict(zip(options, values, strict=True)))
+                        said = reply if isinstance(reply, Completion) else Completion(reply)
+                    except Exception as failure:  # any failure of a model is a row's outcome
+                        error = f"{type(failure).__name__}: {failure}"
+                found.append((said.text, error, said.prompt_tokens, said.completion_tokens, said.finish_reason, (time.perf_counter() - began) * 1000))
+            columns = [pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(_COMPLETED)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(name for name, _, _ in _COMPLETED)])
+
+    kept = rows.drop(*(name for name, _, _ in _COMPLETED))
+    return kept.mapInArrow(asked, T.StructType([*kept.schema, *(T.StructField(name, kind) for name, kind, _ in _COMPLETED)]))

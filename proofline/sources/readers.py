@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,23 @@ GROUND_TRUTH = (
     "source_span_sentence_ids array<string>, judge_model string, judge_reasons string, judge_well_formed boolean, judge_supported boolean, union_additions array<string>"
 )
 LAYOUT = "paragraphs array<struct<content: string, role: string, boundingRegions: array<struct<pageNumber: int>>>>"
+#: What reviews may say.
+CONFIDENCES, ROLES = ("high", "medium", "low"), ("ml-engineer", "pm", "other")
+FLAGS = ("question_unclear", "question_not_answerable", "gold_answer_wrong", "gold_answer_incomplete", "citation_mismatch", "citation_insufficient", "out_of_scope", "other")
 REVIEW = "question_id string, reviewer string, reviewer_role string, confidence string, flags array<string>, notes string, reviewed_at string"
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of one file or of a directory's files; a malformed line raises."""
-    return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path)
+def read_chunks(spark: SparkSession, path: str, document_ids: list[str] | None = None) -> DataFrame:
+    """Chunks of one file or of a directory's files, with the name of their ``file`` to order by, perhaps of some documents only; a malformed line raises."""
+    rows = spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path).withColumn("file", F.col("_metadata.file_name"))
+    return rows if document_ids is None else rows.where(F.col("document_id").isin(document_ids))
 
 
-def read_ground_truth(spark: SparkSession, path: str, only_passing: bool = False) -> DataFrame:
-    """Ground-truth items; ``only_passing`` leaves those that both verdicts are true for."""
-    items = spark.read.schema(GROUND_TRUTH).json(path)
-    return items.where("judge_well_formed and judge_supported") if only_passing else items
+def read_ground_truth(spark: SparkSession, path: str, only_passing: bool = False, limit: int | None = None) -> DataFrame:
+    """Ground-truth items; ``only_passing`` leaves those that both verdicts are true for, ``limit`` the first ones by question_id; a malformed line raises."""
+    items = spark.read.schema(GROUND_TRUTH).option("mode", "FAILFAST").json(path)
+    items = items.where("judge_well_formed and judge_supported") if only_passing else items
+    return items.orderBy("question_id").limit(limit) if limit else items
 
 
 def read_layout(spark: SparkSession, root: str, document_ids: list[str] | None = None) -> DataFrame:
@@ -41,13 +47,28 @@ def read_binaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """The last review of each question_id; of equal times the last in the line's text order.  Unknown confidences raise."""
-    reviews = spark.read.schema(REVIEW).json(path)
-    filled = reviews.withColumns({
-        "reviewer": F.coalesce("reviewer", F.lit("unknown")), "reviewer_role": F.coalesce("reviewer_role", F.lit("other")),
-        "confidence": F.when(F.col("confidence").isin("high", "medium", "low"), F.col("confidence")).otherwise(F.raise_error(F.concat(F.lit("unknown confidence: "), F.coalesce("confidence", F.lit("none"))))),
-    })
-    return last_wins(filled, "question_id", ["reviewed_at", "notes"])
+    """The last review of each question_id, by its line in files in order of their names; no file gives no reviews.
+
+    A malformed line, an unknown confidence and an unknown role raise.
+    """
+    try:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
+    except AnalysisException:
+        return spark.createDataFrame([], REVIEW)
+    read = lines.select("file", "line", F.from_json("value", REVIEW, {"mode": "FAILFAST"}).alias("r")).select("file", "line", "r.*")
+    return last_wins(checked_reviews(read), "question_id", ["file", "line"]).drop("file", "line")
+
+
+def checked_reviews(reviews: DataFrame) -> DataFrame:
+    """``reviews`` with an unknown reviewer and the role "other" where none is given; other confidences and roles than the known ones raise."""
+    known = lambda c, values: F.when(F.col(c).isin(*values), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {c}: "), F.coalesce(c, F.lit("none")))))
+    filled = reviews.withColumns({"reviewer": F.coalesce("reviewer", F.lit("unknown")), "reviewer_role": F.coalesce("reviewer_role", F.lit("other"))})
+    return filled.withColumns({"confidence": known("confidence", CONFIDENCES), "reviewer_role": known("reviewer_role", ROLES), "flags": F.coalesce("flags", F.array().cast("array<string>"))})
+
+
+def known_flags(flags: Column) -> Column:
+    """``flags`` without those that are not among ``FLAGS``, in order."""
+    return F.filter(flags, lambda x: x.isin(*FLAGS))
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

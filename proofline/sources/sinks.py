@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_index(rows: DataFrame, path: str, recreate: bool = False) -> None:
-    """One layout's table; an existing one is added to unless it is recreated."""
-    rows.write.mode("overwrite" if recreate else "append").parquet(path)
+def write_index(rows: DataFrame, path: str, key: str, recreate: bool = False) -> int:
+    """Write ``rows`` as the table at ``path``, or put them in place of those with the same ``key``; returns how many were written.
+
+    A key that ``rows`` has twice raises, and so does a table that then has
+    another number of rows than it should.
+    """
+    spark = rows.sparkSession
+    n, distinct = rows.agg(F.count("*"), F.countDistinct(key)).first()
+    if n != distinct:
+        raise ValueError(f"{n - distinct} rows repeat another one's {key}")
+    try:
+        existing = None if recreate else spark.read.parquet(path)
+    except AnalysisException:  # there is no table yet
+        existing = None
+    if existing is None:
+        rows.write.mode("overwrite").parquet(path)
+        expected = n
+    else:
+        # Spark cannot overwrite what it reads: the new table stands beside the old one until it is whole.
+        merged = upsert(rows, existing, key)
+        fresh = f"{path}.next"
+        merged.write.mode("overwrite").parquet(fresh)
+        expected = spark.read.parquet(fresh).count()
+        spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+    if spark.read.parquet(path).count() != expected:
+        raise RuntimeError(f"{path} has another number of rows than the {expected} that were written")
+    return n
 
 
 def upsert(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -24,11 +53,33 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("overwrite").json(path)
 
 
-def write_run(path: str, run_id: str, manifest: DataFrame, **parts: DataFrame) -> str:
-    """Each part as JSON lines and the one-row manifest under ``path``/``run_id``; returns that folder."""
-    folder = f"{path}/{run_id}"
-    for name, rows in parts.items():
-        rows.write.mode("overwrite").json(f"{folder}/{name}")
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as Parquet to a fresh folder below the checkpoint folder that the session names and read again: what they cost, and what models replied, is fixed.
+
+    Where no folder is named, local sessions use a temporary one; a cluster's
+    must be shared, so there that is an error.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="proofline-"))
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def run_id() -> str:
+    """The time, in UTC, as a name."""
+    return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+
+
+def write_run(path: str, manifest: DataFrame, name: str | None = None, **parts: DataFrame) -> str:
+    """Each part as JSON lines and the one-row manifest under ``path``/``name`` (the time, if nothing is said); returns that folder."""
+    folder = f"{path}/{name or run_id()}"
+    for part, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{folder}/{part}")
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
     return folder
 
