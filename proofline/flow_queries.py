@@ -219,12 +219,12 @@ QUERIES = {
 
 _SENTENCES = r"""
 s AS (SELECT doc_id, no, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM (
-        SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS no FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+\z') AS p FROM documents))
+        SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS no FROM (SELECT doc_id, regexp_extract_all(text, '<SENTENCE>') AS p FROM documents))
       WHERE trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS no, text FROM s),
 sentences AS (SELECT printf('%s-s%05d', doc_id::VARCHAR, no) AS doc_id, printf('%s-c%04d', doc_id::VARCHAR, no // 10) AS chunk_id, doc_id AS document, no, text FROM n),
 chunks AS (SELECT chunk_id AS doc_id, string_agg(text, ' ' ORDER BY no) AS text, min(no) // 10 AS part FROM sentences GROUP BY chunk_id),
-questions AS (SELECT item_id AS query_id, text FROM benchmark)"""
+questions AS (SELECT item_id AS query_id, text FROM benchmark)""".replace("<SENTENCE>", T.SENTENCE)
 
 
 def bm25_sql(name: str, docs: str, k: int) -> str:
@@ -267,7 +267,7 @@ ctx AS (SELECT coalesce(c.query_id, p.query_id) AS query_id, coalesce(c.doc_id,
         CASE WHEN c.rank IS NULL THEN 'sentence_parent' WHEN p.chunk_id IS NOT NULL THEN 'both' ELSE 'chunk_search' END AS source
         FROM ch c FULL JOIN par p ON c.query_id = p.query_id AND c.doc_id = p.chunk_id),
 context AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, chunk_id) AS place FROM ctx)"""
-_SPLIT = r"list_filter(list_transform(regexp_extract_all({0}, '[^.!?]*[.!?]+|[^.!?]+\z'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
+_SPLIT = r"list_filter(list_transform(regexp_extract_all({0}, '<SENTENCE>'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')".replace("<SENTENCE>", T.SENTENCE)
 _PACKAGED = f"""
 turns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM conversations WHERE text IS NOT NULL) WHERE k = 1),
 ask AS (SELECT conv_id, min(turn) AS asks, arg_min(text, turn) AS question FROM turns WHERE role = 'user' GROUP BY 1),

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bare(reply: Column) -> Column:
     """The reply without fences and outer white space."""
     return F.regexp_replace(reply, r"(?m)^\s*```[A-Za-z]*\s*|\s*```\s*$|^\s+|\s+\z", "")
@@ -28,14 +35,14 @@ def strict_bool(value: Column) -> Column:
 
 def _truthy(entry: Column) -> Column:
     """Whether the entry's ``entails`` counts as true, as a script language takes it: true, numbers but 0, texts but the empty one (so "false" is true); null where the entry has none."""
-    value = F.try_variant_get(entry, "$.entails", "variant")
-    kind, text = F.schema_of_variant(value), F.try_variant_get(entry, "$.entails", "string")
-    number = F.coalesce(F.try_variant_get(entry, "$.entails", "double"), F.lit(0.0)) != 0
-    filled = ~text.isin("[]", "{}")
-    return (
-        F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind == "VOID", F.lit(False))
-        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), filled).when(kind.isNotNull(), number)
-    )
+    text = F.try_variant_get(entry, "$.entails", "string")
+
+    def taken(kind: Column) -> Column:
+        number = F.coalesce(F.try_variant_get(entry, "$.entails", "double"), F.lit(0.0)) != 0
+        nested = F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
+        return F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind == "VOID", F.lit(False)).when(nested, ~text.isin("[]", "{}")).when(kind.isNotNull(), number)
+
+    return _bound(F.schema_of_variant(F.try_variant_get(entry, "$.entails", "variant")), taken)
 
 
 def judge_reply(reply: Column, expected: Column) -> Column:
@@ -46,16 +53,21 @@ def judge_reply(reply: Column, expected: Column) -> Column:
     Without JSON, or with an entry that has no ``entails``, all are false and
     ``error`` says why; else it is null.
     """
-    whole = F.try_parse_json(_bare(reply))
-    value = F.coalesce(whole, F.try_parse_json(json_object(reply)))
-    listed = F.coalesce(*(F.try_variant_get(value, path, "array<variant>") for path in ("$", "$.judgments", "$.results", "$.items")))
-    entries = F.coalesce(listed, F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.array(value)))
-    kept = F.slice(entries, F.lit(1), expected)
-    read = F.transform(kept, lambda x: F.struct(_truthy(x).alias("entails"), F.coalesce(F.try_variant_get(x, "$.reason", "string"), F.lit("")).alias("reason")))
-    error = F.when(entries.isNull(), "no JSON list of judgments").when(F.exists(read, lambda x: x["entails"].isNull()), "malformed entry in the judgments")
     filler = lambda reason: F.array_repeat(F.struct(F.lit(False).alias("entails"), F.lit(reason).alias("reason")), expected)
-    full = F.slice(F.concat(read, filler("fewer judgments than citations")), F.lit(1), expected)
-    return F.struct(F.when(error.isNull(), full).otherwise(filler("")).alias("judgments"), error.alias("error"))
+
+    def listed(value: Column) -> Column:
+        arrays = F.coalesce(*(F.try_variant_get(value, path, "array<variant>") for path in ("$", "$.judgments", "$.results", "$.items")))
+        return F.coalesce(arrays, F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.array(value)))
+
+    def checked(read: Column) -> Column:
+        error = F.when(read.isNull(), "no JSON list of judgments").when(F.exists(read, lambda x: x["entails"].isNull()), "malformed entry in the judgments")
+        full = F.slice(F.concat(read, filler("fewer judgments than citations")), F.lit(1), expected)
+        return F.struct(F.when(error.isNull(), full).otherwise(filler("")).alias("judgments"), error.alias("error"))
+
+    value = F.coalesce(F.try_parse_json(_bare(reply)), F.try_parse_json(json_object(reply)))
+    entries = F.slice(_bound(value, listed), F.lit(1), expected)
+    read = F.transform(entries, lambda x: F.struct(_truthy(x).alias("entails"), F.coalesce(F.try_variant_get(x, "$.reason", "string"), F.lit("")).alias("reason")))
+    return _bound(read, checked)
 
 
 def judge_array(reply: Column, expected: Column) -> Column:

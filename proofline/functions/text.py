@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A sentence: up to and with its closing marks, or what is left at the end. It splits "3.5" and "U.S.".
-SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+\z"
-#: An inline citation tag.
+#: A sentence: up to and with closing marks that white space or the end follows, or what is left. Marks within "3.5" and acronyms such as "U.S." close none.
+SENTENCE = r"(?:[A-Z]\.(?:[A-Z]\.)+|[A-Z]|[^.!?A-Z]+|[.!?]+[^.!?\x20\x09-\x0D])+[.!?]*|[.!?]+"
+#: Fixed value: an inline citation tag.
 TAG = r"\[s:([^\]\s]+?)\]"
 
 
-def raw_sentences(text: Column) -> Column:
-    """The stretches of ``text`` that sentences are cut from; together they are the whole text."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """How many words stand in ``text``, split by white space."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))

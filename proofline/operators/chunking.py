@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,7 +16,7 @@ from ..functions import text as T
 NOISE_ROLES = ("pageHeader", "pageFooter", "pageNumber", "footnote")
 
 
-_SENTENCE = re.compile(T.SENTENCE.replace(r"\z", r"\Z"))
+_SENTENCE = re.compile(T.SENTENCE)
 #: What is trimmed from sentences.
 _SPACE = " \t\n\x0b\f\r"
 
@@ -94,13 +95,13 @@ def pack(tokens: list[int], sections: list[str | None], target: int, overlap: in
     return [*chunks, (first, len(tokens) - 1)] if tokens else chunks
 
 
-def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40) -> DataFrame:
+def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40, tokens: Callable[[Column], Column] = T.words) -> DataFrame:
     """(chunk_id, doc_id, chunk_no, page, section_path, text, token_count, n_sentences, sentences) from ``sentences``.
 
     ``sentences`` has (doc_id, sentence_no, text, section) with numbers from 0
     without gaps, and may have page and section_path, which a chunk has from its
-    first sentence.  The text joins the sentences by a space, tokens are counted
-    in it, and offsets of the nested sentences are into it.  A document's
+    first sentence.  The text joins the sentences by a space, ``tokens`` counts
+    within it, and offsets of the nested sentences are into it.  A document's
     sentences are gathered once; chunks are slices of them.
     """
 
@@ -111,7 +112,7 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
 
     page = F.col("page").cast("int") if "page" in sentences.columns else F.lit(None).cast("int")
     path = F.col("section_path") if "section_path" in sentences.columns else F.array().cast("array<string>")
-    row = F.struct("sentence_no", "text", page.alias("page"), path.alias("section_path"), T.words(F.col("text")).alias("n"), F.coalesce("section", F.lit("")).alias("section"))
+    row = F.struct("sentence_no", "text", page.alias("page"), path.alias("section_path"), tokens(F.col("text")).alias("n"), F.coalesce("section", F.lit("")).alias("section"))
     lists = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     chunks = lists.select("doc_id", "rows", F.posexplode(packed(F.col("rows.n"), F.col("rows.section"))).alias("chunk_no", "chunk"))
     own = chunks.select("doc_id", "chunk_no", T.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), F.slice("rows", F.col("chunk.first") + 1, F.col("chunk.last") - F.col("chunk.first") + 1).alias("rows"))
@@ -125,7 +126,7 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
     )
     first = F.get("rows", F.lit(0))
     built = own.withColumn("ends", ends).select("chunk_id", "doc_id", "chunk_no", first["page"].alias("page"), first["section_path"].alias("section_path"), F.array_join("rows.text", " ").alias("text"), F.size("rows").alias("n_sentences"), nested.alias("sentences"))
-    return built.withColumn("token_count", T.words(F.col("text")))
+    return built.withColumn("token_count", tokens(F.col("text")))
 
 
 def chunk_sentences(chunks: DataFrame) -> DataFrame:

@@ -349,8 +349,8 @@ def judge_array_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit('{"entails": '), F.when(F.col("k") % 2 == 0, "true").otherwise("false"), F.lit(', "reason": "r'), F.col("k").cast("string"), F.lit('"}'))
     kind = F.col("event_id") % 4
     reply = F.when(kind == 0, F.concat(F.lit("["), one, F.lit("]"))).when(kind == 1, F.concat(F.lit('{"judgments": ['), one, F.lit(", "), one, F.lit(", "), one, F.lit("]}"))).when(kind == 2, one).otherwise(F.lit("no json"))
-    found = replies.judge_array(reply, F.lit(2))
-    return e.select("event_id", F.get(found, F.lit(0))["entails"].alias("first"), F.get(found, F.lit(1))["entails"].alias("second"), F.size(found).cast("long").alias("n"))
+    found = e.select("event_id", replies.judge_array(reply, F.lit(2)).alias("j"))
+    return found.select("event_id", F.get("j", F.lit(0))["entails"].alias("first"), F.get("j", F.lit(1))["entails"].alias("second"), F.size("j").cast("long").alias("n"))
 
 
 def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,13 +408,13 @@ stable AS (SELECT question, n_runs, count(*) FILTER (freq = n_runs) AS n_all, co
 scored AS (SELECT *, CASE WHEN n_any = 0 THEN 1.0 ELSE n_all / n_any END AS stability FROM stable)"""
 _RAW_SENTENCES = r"""
 WITH raw AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS pos
-             FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+\z') AS p FROM documents)),
+             FROM (SELECT doc_id, regexp_extract_all(text, '<SENTENCE>') AS p FROM documents)),
 placed AS (
   SELECT doc_id, pos, regexp_replace(raw, '^[\s]+|[\s]+\z', '', 'g') AS text,
          coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
          + length(raw) - length(regexp_replace(raw, '^[\s]+', '')) AS char_start FROM raw),
 s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS sentence_no, text, CAST(char_start AS BIGINT) AS char_start,
-             CAST(char_start + length(text) AS BIGINT) AS char_end FROM placed WHERE text <> '')"""
+             CAST(char_start + length(text) AS BIGINT) AS char_end FROM placed WHERE text <> '')""".replace("<SENTENCE>", T.SENTENCE)
 _REVIEWS = """
 reviews AS (SELECT doc_id AS question_id, CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END AS confidence,
   list_filter([CASE WHEN quality = 0 THEN 'unclear' END, CASE WHEN toxic = 1 THEN 'wrong' END, 'seen'], lambda x: x IS NOT NULL) AS flags FROM labels)"""

@@ -13,6 +13,14 @@ def test_sentences_cut_exactly(spark):
     assert all("One two.  Three!\nfour"[r.char_start : r.char_end] == r.text for r in rows)
 
 
+def test_marks_within_numbers_and_acronyms_close_no_sentence():
+    split = lambda text: [s["text"] for s in chunking.sentence_spans(text)]
+    assert split("It grew 3.5 percent in the U.S. economy. See v1.2! Why?? A. B") == ["It grew 3.5 percent in the U.S. economy.", "See v1.2!", "Why??", "A.", "B"]
+    assert split("... wait... so.\n!") == ["...", "wait...", "so.", "!"] and split(None) == split(" \n") == []
+    text = "A b. " * 50_000
+    assert len(split(text)) == 50_000 and len(split("x" * 2_000_000)) == 1
+
+
 def test_titles_add_up_and_end_headings(spark):
     rows = [(1, k, role, text) for k, (role, text) in enumerate([("sectionHeading", "H0"), (None, "a"), ("title", "T1"), ("pageHeader", "x"), (None, "b"), ("sectionHeading", "H1"), (None, "c"), ("title", "T2"), (None, "d"), (None, " ")])]
     found = chunking.breadcrumbs(spark.createDataFrame(rows, "doc_id long, para_no int, role string, content string"))
