@@ -15,6 +15,8 @@ SPACED_WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: A key that more than one row in so many has is a hot one; so there are at most so many of them.
 HOT_SHARE = 1000
+#: So many narrow rows (an id and a digest) may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _shared_folder(df: DataFrame) -> str:
@@ -41,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, to be broadcast if they are at most so many; for narrow rows that are cheap to count."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` left-joined with ``right``, which has one row for each of ``keys``; null keys meet nothing.
 

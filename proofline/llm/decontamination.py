@@ -13,7 +13,7 @@ from string import ascii_letters, ascii_lowercase, digits
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import checkpointed, lower_az, sent_if_few
 
 
 
@@ -131,8 +131,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Dat
     a doc_id with several texts only the contaminated ones go, repeated rows go
     or stay together, and columns may have any names.
     """
-    found = find_hits(docs, benchmark, n).select("doc_id", "text_md5").distinct().alias("h")
-    return _keyed(docs).join(found, F.expr(_SAME_TEXT), "left_anti").select("row.*")
+    found = checkpointed(find_hits(docs, benchmark, n).select("doc_id", "text_md5").distinct())
+    # The few that are hit go to where the texts are; many are worth moving the texts.
+    return _keyed(docs).join(sent_if_few(found).alias("h"), F.expr(_SAME_TEXT), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

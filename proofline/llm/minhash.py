@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, checkpointed, left_join_hot
+from .common import checkpointed, left_join_hot, sent_if_few
 from .shingles import shingle_sets
 
 #: 32 bands of 5: a pair of similarity 0.75 shares none with a chance of 2 in 10,000.
@@ -39,6 +39,8 @@ _XOR = _RANDOM.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _TIMES = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Mixed buckets of up to so many nodes are compared pair by pair, a bounded number for each node.
 SMALL_BUCKET = 16
+#: Texts of one shingle that a task compares with all others of it.
+POSTINGS = 1000
 #: So many document ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 2_000_000
 #: Sets are sketched in pieces of so many shingles.
@@ -171,12 +173,8 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     not shared, tells how much can be shared at most.
     """
     shingles = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = checkpointed(shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
-    # The shingles that more than one row in HOT_SHARE has, fewer than HOT_SHARE, are broadcast: their rows stay where they are.
-    least = often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0] / HOT_SHARE
-    hot = often.where(F.col("often") > least)
-    cold = shingles.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti").join(often.where(F.col("often") <= least), "shingle")
-    known = cold.unionByName(shingles.join(F.broadcast(hot), "shingle"))
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    known = shingles.join(often, "shingle")
     rare = known.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
     # A shingle of one text alone comes before all these; it takes a place in the prefix and meets nothing.
     length = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - (n - size(common))")
@@ -186,11 +184,13 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Shingles of a shared passage stand in the same texts: of those with equal postings the first in order is enough.
     postings = [F.count("*").alias("texts"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")]
     mixed = spread.groupBy("shingle", "often").agg(F.min("root").alias("low"), F.max("root").alias("high"), *postings).where("low <> high")
-    spread = spread.join(mixed.groupBy("texts", "one", "two").agg(F.min(F.struct("often", "shingle"))["shingle"].alias("shingle")).select("shingle"), "shingle")
-    other = spread.select("shingle", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("m"), F.col("upto").alias("y_upto"))
+    first = mixed.groupBy("texts", "one", "two").agg(F.min(F.struct("often", "shingle"))["shingle"].alias("shingle"))
+    # Long postings are dealt to several tasks: each part of one side meets the whole other side.
+    spread = spread.join(first.select("shingle", F.ceil(F.col("texts") / POSTINGS).cast("int").alias("parts")), "shingle")
+    other = spread.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("m"), F.col("upto").alias("y_upto"))
     # From the first common shingle on (``upto`` counts from there), both have room for all that they must share.
     enough = f"root < y_root and {100 + percent} * least(upto, y_upto) >= {percent} * (n + m)"
-    return _pairs(spread.withColumnRenamed("node", "x").join(other, "shingle").where(enough))
+    return _pairs(spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumnRenamed("node", "x").join(other, ["shingle", "part"]).where(enough))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -205,27 +205,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     doc_id is linked with nothing, has a null component and is kept; a
     repeated doc_id counts as one document wherever its texts are equal.
     """
-    rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), "text"), percent)
+    rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("binary").alias("md5"), "text"), percent)
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    known = left_join_hot(keyed, by_node.select("node", "component_id"), ["node"])
-    return known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    known = left_join_hot(keyed, by_node, ["node"])
+    return known.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` (doc_id, others, text) as (doc_id, others, n_shingles, node, registers), and (node, root, component_id) of the nodes with a doc_id."""
-    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1])
-    rows = checkpointed(docs.mapInArrow(_sketches, f"{carried}, n_shingles long, node binary, registers binary"))
-    nodes = checkpointed(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
+    """The rows of ``docs`` (doc_id, md5, text) as (doc_id, md5, n_shingles, node, registers), and (node, first) of the nodes with a doc_id: the first (doc_id, md5) of their component."""
+    rows = checkpointed(docs.mapInArrow(_sketches, "doc_id long, md5 binary, n_shingles long, node binary, registers binary"))
+    nodes = checkpointed(rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "md5")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", width * k + 1, width)) for k in range(BANDS)))
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     busy = checkpointed(bands.join(shared, "key"))
     central = busy.groupBy("node").agg(F.sum("mates").alias("mates"))
-    members = nodes.select("node", "first_id").join(central.select("node"), "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+    members = nodes.select("node", "first").join(central.select("node"), "node", "left_semi").select("first.doc_id").distinct()
     # Few ids go to where the texts are; many are worth moving the texts.
-    few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(sent_if_few(members, BROADCAST_IDS), "doc_id", "left_semi")
     sets = checkpointed(texts.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]))
 
     turn = F.xxhash64(F.lit(1), "node")
@@ -246,9 +244,9 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         if not found.isEmpty():
             roots = checkpointed(connected(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
-    component = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = component.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, component.join(lowest, "root").select("node", "root", "component_id")
+    component = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = component.groupBy("root").agg(F.min("first").alias("first"))
+    return rows, checkpointed(component.select("node", "root").join(lowest, "root").select("node", "first"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -263,9 +261,12 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     md5 = F.unhex(F.md5(F.col("text").cast("binary")))
     rows, by_node = _components(docs.select(F.col("doc_id").cast("long"), md5.alias("md5"), "text"), percent)
     grouped = rows.where("doc_id is not null and node is not null").select("doc_id", "md5", "node")
-    grouped = checkpointed(left_join_hot(grouped, by_node.select("node", "root"), ["node"]).select("doc_id", "md5", "root"))
-    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("first"))
-    gone = left_join_hot(grouped, first, ["root"]).where("first.doc_id <> doc_id or first.md5 <> md5").select("doc_id", "md5").distinct().alias("gone")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), F.struct(*docs.columns).alias("row"))
-    left = keyed.where("doc_id is not null").alias("d").join(gone, F.expr("d.doc_id = gone.doc_id and d.md5 = gone.md5"), "left_anti")
-    return left.dropDuplicates(["doc_id", "md5"]).unionByName(keyed.where("doc_id is null")).select("row.*")
+    gone = checkpointed(left_join_hot(grouped, by_node, ["node"]).where("first.doc_id <> doc_id or first.md5 <> md5").select("doc_id", "md5").distinct())
+    repeated = checkpointed(rows.where("doc_id is not null").groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "md5"))
+    same = F.expr("d.doc_id <=> k.doc_id and d.md5 <=> k.md5")
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), F.struct(*docs.columns).alias("row")).alias("d").join(sent_if_few(gone).alias("k"), same, "left_anti").alias("d")
+    if not repeated.isEmpty():
+        # Only texts of rows that repeat are moved.
+        single, several = (left.join(sent_if_few(repeated).alias("k"), same, how) for how in ("left_anti", "left_semi"))
+        left = single.unionByName(several.dropDuplicates(["doc_id", "md5"]))
+    return left.select("row.*")
