@@ -66,13 +66,13 @@ def term_counts(text: str | None) -> Counter[str]:
 class Examples:
     """Block-max inverted index of labelled examples, and the votes of the nearest ones."""
 
-    def __init__(self, ids: list[int], toxic: list[int], class_weight: tuple[float, float], terms: list[tuple[str, float]], postings: list[tuple[int, int, int]], neighbours: int = 15):
-        """``terms``: (term, idf); ``postings``: (example's place in ``ids``, term's place in ``terms``, count)."""
+    def __init__(self, ids: list[int], toxic: list[int], class_weight: tuple[float, float], terms: list[tuple[str, float]], postings: np.ndarray, neighbours: int = 15):
+        """``terms``: (term, idf); ``postings``: rows of (example's place in ``ids``, term's place in ``terms``, count)."""
         self.neighbours, self.class_weight = neighbours, class_weight
         self.term_ids = {term: k for k, (term, _) in enumerate(terms)}
         self.beginnings = {term[: _PREFIXES[0]] for term, _ in terms}
         self.idf = np.array([idf for _, idf in terms], float)
-        found = np.array(postings, np.int64).reshape(-1, 3)
+        found = np.asarray(postings, np.int64).reshape(-1, 3)
         weight = (1 + np.log(found[:, 2])) * self.idf[found[:, 1]]
         norm = np.sqrt(np.bincount(found[:, 0], weight**2, len(ids)))
         weight = weight / norm[found[:, 0]]
@@ -131,17 +131,16 @@ class Examples:
         counts: dict[int, int] = {}
         known, ids, beginnings = self._known, self.term_ids, self.beginnings
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            # Most words begin as no term does; only others need a second look.
+            if word[: _PREFIXES[0]] not in beginnings and len(word) <= _WORD_CHARS and word.isascii():
+                continue
             found = known.get(word)
             if found is None:
-                if _cut_up(word):
-                    for k in (ids[t] for t in word_terms(word) if t in ids):
-                        counts[k] = counts.get(k, 0) + n
-                    continue
-                if word[: _PREFIXES[0]] not in beginnings:
-                    continue
-                if len(known) >= _KNOWN_WORDS:
-                    known.clear()
-                found = known[word] = tuple(ids[t] for t in word_terms(word) if t in ids)
+                found = tuple(ids[t] for t in word_terms(word) if t in ids)
+                if len(word) <= _WORD_CHARS:
+                    if len(known) >= _KNOWN_WORDS:
+                        known.clear()
+                    known[word] = found
             for k in found:
                 counts[k] = counts.get(k, 0) + n
         terms = np.array(sorted(counts), np.int64)
@@ -241,8 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least_associa
     rated = stats.withColumn("association", _association(F.col("yes"), F.col("df") - F.col("yes"), n1, n0)) if n0 and n1 else stats.where("false").withColumn("association", F.lit(0.0))
     terms = [(row["term"], row["df"]) for row in rated.where(F.col("association") >= least_association).orderBy(F.desc("association"), "term").limit(most_terms).collect()]
     table = spark.createDataFrame([(term, k) for k, (term, _) in enumerate(terms)], "term string, place long")
-    place = {doc_id: k for k, doc_id in enumerate(ids)}
-    postings = sorted((place[row["doc_id"]], row["place"], row["n"]) for row in occurrences.join(F.broadcast(table), "term").select("doc_id", "place", "n").collect()) if terms else []
+    postings = np.zeros((0, 3), np.int64)
+    if terms:
+        found = occurrences.join(F.broadcast(table), "term").select("doc_id", "place", "n").toArrow()
+        postings = np.stack([found.column(c).to_numpy() for c in ("doc_id", "place", "n")], axis=1)
+        postings[:, 0] = np.searchsorted(np.array(ids, np.int64), postings[:, 0])
+        postings = postings[np.lexsort(postings.T[::-1])]
     model = Examples(ids, toxic, class_weight, [(term, float(np.log(1 + len(rows) / df))) for term, df in terms], postings, neighbours)
     if n0 and n1:
         shared = spark.sparkContext.broadcast(model)
@@ -252,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least_associa
             return pa.array([shared.value.votes(text, i)[0] for i, text in zip(own.to_pylist(), texts.to_pylist(), strict=True)], pa.float64())
 
         judged = examples.select("doc_id", "toxic", left_out("doc_id", "text").alias("votes")).collect()
+        shared.destroy()
         judged.sort(key=lambda row: (row["votes"], row["doc_id"]))
         model.calibrate(np.array([row["votes"] for row in judged]), np.array([float(row["toxic"]) for row in judged]))
     return model
