@@ -50,11 +50,14 @@ def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
     first = np.full(top + 1, len(parts), np.int32)
     first[0] = -1
     exact = budget // unit if budget % unit == 0 else None
+    reach = 0
     for k, size in enumerate(sizes):
         size //= unit
         if 0 < size <= top:
-            fresh = (first[: top + 1 - size] < k) & (first[size:] == len(parts))
-            first[size:][fresh] = k
+            # No total beyond what the parts so far add up to can be reached.
+            reach = min(top, reach + size)
+            fresh = (first[: reach + 1 - size] < k) & (first[size : reach + 1] == len(parts))
+            first[size : reach + 1][fresh] = k
             if exact is not None and first[exact] < len(parts):
                 break
     totals = np.flatnonzero(first < len(parts))

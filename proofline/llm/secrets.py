@@ -52,7 +52,7 @@ PLAIN_WORDS = (
 )
 MADE_UP = ("example", "changeme", "your", "xxxx", "placeholder", "dummy", "sample", "insert", "redacted", "hidden", "1234567", "abcdef", "qwerty", "env", "none", "null", "true", "false", "required", "string")
 #: What published kinds of keys begin with.
-PREFIXES = ("sk_live_", "rk_live_", "sk-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "akia", "asia", "aiza", "ya29.", "npm_", "pypi-", "eyj", "hf_", "shpat_", "sg.", "ac", "dop_v1_")
+PREFIXES = ("sk_live_", "rk_live_", "sk-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "akia", "asia", "aiza", "ya29.", "npm_", "pypi-", "eyj", "hf_", "shpat_", "sg.", "dop_v1_")
 #: Parts of paths where secrets are mostly made up.
 PLAIN_PATHS = ("test", "tests", "example", "examples", "fixture", "fixtures", "docs", "sample", "mock")
 #: Pairs of neighbouring letters in the dictionary's words.
