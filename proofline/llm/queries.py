@@ -104,7 +104,47 @@ def _plain_form(text: str) -> str:
 
 _LICENCE_ROWS = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.KNOWN_LICENCES)
 
+#: By measure: quantile of the spread, multiple, side, what a rate counts in; as op2's SQL has them.
+_LIMITS = ", ".join(f"('{name}', {percent}, {times}, {1 if side == 'high' else -1}, {repr(of) if of else 'NULL'})" for name, (side, percent, times, of) in quality.MEASURES.items())
+
 ORACLES = {
+    "op2_quality_rules": rf"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, lang, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+windows AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM t))),
+repeats AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY 1),
+counted AS (SELECT row, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM t LEFT JOIN lines USING (row) LEFT JOIN repeats USING (row)),
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate,
+  1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 100 * word_chars // greatest(n_words, 1) AS word_length FROM counted),
+long AS (UNPIVOT (SELECT row, lang, source, base_failed, symbol_rate, dup_line_rate, repeat_rate, word_length, word_length AS word_length_low, n_words, n_lines FROM measured)
+  ON symbol_rate, dup_line_rate, repeat_rate, word_length, word_length_low, n_words, n_lines INTO NAME measure VALUE v),
+bins AS (SELECT lang, source, measure, v - v % CAST(2 ** greatest(0, length(bin(v)) - 7) AS BIGINT) AS b FROM long WHERE NOT base_failed),
+levels AS (SELECT lang, source, measure, b FROM bins UNION ALL SELECT lang, NULL, measure, b FROM bins UNION ALL SELECT NULL, NULL, measure, b FROM bins),
+summed AS (SELECT lang, source, measure, b, sum(count(*)) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, measure) AS n FROM levels GROUP BY 1, 2, 3, 4),
+q AS (SELECT lang, source, measure, any_value(n) AS n, min(b) FILTER (100 * upto >= 50 * n) AS mid, min(b) FILTER (100 * upto >= 10 * n) AS p10, min(b) FILTER (100 * upto >= 90 * n) AS p90,
+  min(b) FILTER (100 * upto >= 95 * n) AS p95, min(b) FILTER (100 * upto >= 99 * n) AS p99 FROM summed GROUP BY 1, 2, 3),
+used AS (SELECT g.lang, g.source, m.measure, coalesce(o.mid, l.mid, a.mid) AS mid, coalesce(o.p10, l.p10, a.p10) AS p10, coalesce(o.p90, l.p90, a.p90) AS p90, coalesce(o.p95, l.p95, a.p95) AS p95, coalesce(o.p99, l.p99, a.p99) AS p99
+  FROM (SELECT DISTINCT lang, source FROM measured) g CROSS JOIN (SELECT DISTINCT measure FROM long) m
+  LEFT JOIN q o ON o.lang = g.lang AND o.source = g.source AND o.measure = m.measure AND o.n >= {quality.LEAST_GROUP}
+  LEFT JOIN q l ON l.lang = g.lang AND l.source IS NULL AND l.measure = m.measure AND l.n >= {quality.LEAST_GROUP}
+  LEFT JOIN q a ON a.lang IS NULL AND a.source IS NULL AND a.measure = m.measure),
+rules(measure, percent, times, side, counted_in) AS (VALUES {_LIMITS}),
+limits AS (SELECT u.lang, u.source, u.measure, side, trunc(u.mid + side * times * greatest(2 ** greatest(0, length(bin(u.mid)) - 7), CASE WHEN counted_in IS NULL THEN 0 ELSE ceil(1000 / greatest(1, s.mid)) END,
+    abs(CASE percent WHEN 10 THEN u.p10 WHEN 90 THEN u.p90 WHEN 95 THEN u.p95 ELSE u.p99 END - u.mid))) AS stop
+  FROM used u JOIN rules r USING (measure) LEFT JOIN used s ON s.lang = u.lang AND s.source = u.source AND s.measure = r.counted_in),
+beyond AS (SELECT DISTINCT row FROM long JOIN limits USING (lang, source, measure) WHERE side * v > side * stop)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.row IS NULL AS kept FROM measured LEFT JOIN beyond b USING (row)""",
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM t WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id JOIN sized m ON m.doc_id = a.doc_id JOIN sized o ON o.doc_id = b.doc_id GROUP BY 1, 2, m.n, o.n HAVING 100 * count(*) >= 75 * (m.n + o.n - count(*))),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, b.y FROM reach r JOIN edges b ON b.x = r.y),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept FROM t LEFT JOIN sized USING (doc_id) LEFT JOIN low ON x = doc_id""",
     "op4_licence_scan": f"""
 WITH known AS (
   SELECT form, min(licence) AS licence FROM (
