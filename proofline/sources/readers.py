@@ -52,11 +52,11 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     A malformed line, an unknown confidence and an unknown role raise.
     """
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
     except AnalysisException:
         return spark.createDataFrame([], REVIEW)
-    read = lines.select("file", "line", F.from_json("value", REVIEW, {"mode": "FAILFAST"}).alias("r")).select("file", "line", "r.*")
-    return last_wins(checked_reviews(read), "question_id", ["file", "line"]).drop("file", "line")
+    read = lines.select("file", "block", "line", F.from_json("value", REVIEW, {"mode": "FAILFAST"}).alias("r")).select("file", "block", "line", "r.*")
+    return last_wins(checked_reviews(read), "question_id", ["file", "block", "line"]).drop("file", "block", "line")
 
 
 def checked_reviews(reviews: DataFrame) -> DataFrame:
