@@ -39,7 +39,7 @@ _PREFIXES = (3, 4, 5, 6)
 _BLOCK = 64
 _PRIOR_VOTE = 0.1
 #: Words whose terms a worker keeps.
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 50_000
 
 
 def _cut_up(word: str) -> bool:
@@ -276,10 +276,17 @@ def score_toxicity(docs: DataFrame, model: Examples) -> DataFrame:
 
     @F.arrow_udf("struct<score: double, evidence: array<struct<doc_id: long, similarity: double, toxic: int>>>")
     def judged(texts: pa.Array) -> pa.Array:
-        found = [shared.value.score(text.as_py()) for text in texts]
-        near = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in e] for _, e in found]
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array(near, kind)], names=["score", "evidence"])
+        scores, ends, ids, similarities, toxic = [], [0], [], [], []
+        for text in texts:
+            score, near = shared.value.score(text.as_py())
+            scores.append(score)
+            for doc_id, similarity, label in near:
+                ids.append(doc_id)
+                similarities.append(similarity)
+                toxic.append(label)
+            ends.append(len(ids))
+        entries = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(similarities, pa.float64()), pa.array(toxic, pa.int32())], names=["doc_id", "similarity", "toxic"])
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=["score", "evidence"])
 
     found = docs.drop("score", "evidence").withColumn("__judged", judged("text"))
     return found.withColumns({"score": F.col("__judged.score"), "evidence": F.col("__judged.evidence")}).drop("__judged")
@@ -301,5 +308,11 @@ def drop_toxic(docs: DataFrame, model: Examples, threshold: float = 0.3) -> Data
     Defined cases: as in ``score_toxicity``; equal rows go or stay together, and
     an empty table stays empty.
     """
-    scored = score_toxicity(docs.select("text", F.struct(*docs.columns).alias("__row")), model)
-    return scored.where(F.col("score") < threshold).select("__row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(text.as_py())[0] for text in texts], pa.float64())
+
+    rows = docs.select(scored("text").alias("score"), F.struct(*docs.columns).alias("row"))
+    return rows.where(F.col("score") < threshold).select("row.*")
