@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, left_join_hot, sent_if_few
+from .common import HOT_SHARE, checkpointed, left_join_hot, sent_if_few
 from .shingles import shingle_sets
 
 #: 32 bands of 5: a pair of similarity 0.75 shares none with a chance of 2 in 10,000.
@@ -175,8 +175,12 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     not shared, tells how much can be shared at most.
     """
     shingles = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    known = shingles.join(often, "shingle")
+    often = checkpointed(shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    # The shingles that more than one row in HOT_SHARE has, fewer than HOT_SHARE, are broadcast: their rows stay where they are.
+    least = often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0] / HOT_SHARE
+    hot = often.where(F.col("often") > least)
+    cold = shingles.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti").join(often.where(F.col("often") <= least), "shingle")
+    known = cold.unionByName(shingles.join(F.broadcast(hot), "shingle"))
     rare = known.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
     # A shingle of one text alone comes before all these; it takes a place in the prefix and meets nothing.
     length = F.expr(f"n - cast(ceil({percent} * n / 100.0) as int) + 1 - (n - size(common))")
