@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, minhash, mixing, quality, secrets, sharding, token_counts, toxicity, url_rules
+from . import collocations, decontamination, divergence, licences, minhash, mixing, packing, quality, secrets, sharding, token_counts, toxicity, url_rules
 
 #: The rules of op1.
 URL_RULES = [
@@ -19,6 +19,8 @@ URL_RULES = [
 
 #: Where the vocabulary of op5 is, unless the session names another path in spark.proofline.vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the tokenizer of op11 is, unless the session names another path in spark.proofline.tokenizer.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).drop("text")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), spark.conf.get("spark.proofline.tokenizer", TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +105,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_packing": op11_packing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_collocations": op13_collocations,
 }
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
@@ -108,6 +126,40 @@ _LICENCE_ROWS = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for
 _LIMITS = ", ".join(f"('{name}', {percent}, {times}, {1 if side == 'high' else -1}, {repr(of) if of else 'NULL'})" for name, (side, percent, times, of) in quality.MEASURES.items())
 
 ORACLES = {
+    "op12_source_divergence": r"""
+WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+occurring AS (SELECT row, lang, source, unnest(terms) AS term FROM t),
+kept AS (SELECT lang, term FROM occurring GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+every AS (SELECT lang, source, false AS whole FROM t UNION SELECT lang, '', true FROM t),
+filled AS (SELECT g.lang, g.source, g.whole, k.term, CAST(coalesce(CASE WHEN whole THEN w.n ELSE c.n END, 0) AS HUGEINT) AS n FROM every g JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN (SELECT lang, term, sum(n) AS n FROM counts GROUP BY 1, 2) w ON w.lang = g.lang AND w.term = k.term),
+parts AS (SELECT *, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang, source, whole) + v) AS p FROM filled JOIN sizes USING (lang)),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM (SELECT * FROM every WHERE NOT whole) a JOIN (SELECT * FROM every WHERE NOT whole) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM parts x JOIN parts y ON x.lang = y.lang AND x.term = y.term AND NOT x.whole AND NOT y.whole GROUP BY 1, 2, 3) d
+    ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT x.lang, x.source, 'term', x.term, CAST((x.p - y.p) * (x.p - y.p) // y.p AS BIGINT) FROM parts x JOIN parts y ON x.lang = y.lang AND x.term = y.term AND NOT x.whole AND y.whole WHERE x.n > 0 AND x.p > y.p)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows) WHERE part = 'pair' OR rank <= 200""",
+    "op13_collocations": r"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, lang, text FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS text FROM documents)),
+words AS (SELECT piece, lang, unnest(w) AS a, unnest(range(len(w))) AS i FROM (SELECT piece, lang, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM pieces)),
+three AS (SELECT lang, a, lead(a) OVER own AS b, lead(a, 2) OVER own AS c FROM words WINDOW own AS (PARTITION BY piece ORDER BY i)),
+grams AS (SELECT lang, 1 AS size, a AS phrase FROM three UNION ALL SELECT lang, 2, a || ' ' || b FROM three WHERE b IS NOT NULL UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM three WHERE c IS NOT NULL),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS n FROM grams GROUP BY 1, 2, 3),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : size], ' ') AS rp FROM candidates, (VALUES (1), (2)) c(k) WHERE k < size),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1),
+longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidates WHERE size = 3) GROUP BY 1, 2),
+ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, phrase) AS rank FROM lowest w LEFT JOIN longer o ON o.lang = w.lang AND o.part = w.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * w.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, t.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals t USING (lang) WHERE rank <= 2000""",
     "op2_quality_rules": rf"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, lang, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
