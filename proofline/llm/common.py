@@ -78,6 +78,16 @@ def lower_az(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*(quoted(name).alias(name) for name in df.columns))
+
+
 def tagged(column: Column) -> Column:
     """A string key that is never null and keeps null apart from every value."""
     return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("."), column.cast("string")))

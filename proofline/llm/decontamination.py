@@ -13,7 +13,7 @@ from string import ascii_letters, ascii_lowercase, digits
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_az, sent_if_few
+from .common import checkpointed, lower_az, sent_if_few, whole_row
 
 
 
@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_limit:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The rows as structs beside what they are joined on, so that no column of theirs can clash."""
-    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.struct(*docs.columns).alias("row")).alias("d")
+    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), whole_row(docs).alias("row")).alias("d")
 
 
 _SAME_TEXT = "d.doc_id <=> h.doc_id and d.md5 <=> h.text_md5"

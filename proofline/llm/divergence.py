@@ -95,7 +95,7 @@ def block_divergences(sources: pd.DataFrame, cells: pd.DataFrame, best: int) ->
     names, totals = sources["source"].tolist(), (sources["words"] + sources["kept"]).to_numpy(np.int64)
     kept, lang_words = int(sources["kept"].iloc[0]), int(sources["lang_words"].iloc[0])
     pairs = np.zeros((len(names), len(names)), np.int64)
-    tops = []
+    tops: list[tuple[str, str, str, int]] = []
     if len(cells):
         terms = sorted(cells["term"].unique().tolist(), key=str.encode)
         column = cells["term"].map({term: k for k, term in enumerate(terms)}).to_numpy(np.int64)
@@ -132,10 +132,9 @@ def block_divergences(sources: pd.DataFrame, cells: pd.DataFrame, best: int) ->
         for a in filled.tolist():
             mine = np.flatnonzero((row == a) & (p > q))
             mine = mine[np.lexsort((column[mine], -value[mine]))][:best]
-            tops.append(pd.DataFrame({"source": names[a], "part": "term", "item": [terms[k] for k in column[mine]], "value": value[mine]}))
-    a, b = np.nonzero(~np.eye(len(names), dtype=bool))
-    found = pd.DataFrame({"source": [names[k] for k in a], "part": "pair", "item": [names[k] for k in b], "value": pairs[a, b]})
-    return pd.concat([found, *tops], ignore_index=True)
+            tops += [(names[a], "term", terms[k], v) for k, v in zip(column[mine].tolist(), value[mine].tolist(), strict=True)]
+    rows = [(names[a], "pair", names[b], int(pairs[a, b])) for a in range(len(names)) for b in range(len(names)) if a != b] + tops
+    return pd.DataFrame({name: pd.Series([row[k] for row in rows], dtype=kind) for k, (name, kind) in enumerate({"source": object, "part": object, "item": object, "value": np.int64}.items())})
 
 
 def _utf8(column: pd.Series) -> pd.Series:
@@ -173,7 +172,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, best: int = 200, ter
 
     def judged(key: tuple, sources: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         found = block_divergences(sources, cells, best)
-        found.insert(0, "lang", key[0])
+        found.insert(0, "lang", pd.Series([key[0]] * len(found), dtype=object))
         return found
 
     by_block = asked.groupBy("lang", "block").cogroup(dealt.groupBy("lang", "block")).applyInPandas(judged, "lang string, source string, part string, item string, value long")

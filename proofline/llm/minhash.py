@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, checkpointed, left_join_hot, sent_if_few
+from .common import HOT_SHARE, checkpointed, left_join_hot, sent_if_few, whole_row
 from .shingles import shingle_sets
 
 #: 32 bands of 5: a pair of similarity 0.75 shares none with a chance of 2 in 10,000.
@@ -268,7 +268,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     gone = checkpointed(left_join_hot(grouped, by_node, ["node"]).where("first.doc_id <> doc_id or first.md5 <> md5").select("doc_id", "md5").distinct())
     repeated = checkpointed(rows.where("doc_id is not null").groupBy("doc_id", "md5").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "md5"))
     same = F.expr("d.doc_id <=> k.doc_id and d.md5 <=> k.md5")
-    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), F.struct(*docs.columns).alias("row")).alias("d").join(sent_if_few(gone).alias("k"), same, "left_anti").alias("d")
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), whole_row(docs).alias("row")).alias("d").join(sent_if_few(gone).alias("k"), same, "left_anti").alias("d")
     if not repeated.isEmpty():
         # Only texts of rows that repeat are moved.
         single, several = (left.join(sent_if_few(repeated).alias("k"), same, how) for how in ("left_anti", "left_semi"))

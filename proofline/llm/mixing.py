@@ -1,10 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length within each source.  A source's target
-is met by whole repeats of all its documents plus a remaining budget.  That
-budget takes the same share of all lengths first; what rounding leaves, less
-than the longest document, and some short documents are fitted by a
-bounded-knapsack programme over all lengths.  Which documents of a length are
+is met by whole repeats of all its documents plus a remaining budget, which a
+bounded-knapsack programme meets as nearly as any selection can.  Among the
+nearest ones it prefers the same share of all lengths: that share is taken
+first, and the programme fits what rounding leaves and some short documents;
+only where that misses does it run over the counts of all lengths.  Which documents of a length are
 taken is decided by a seeded order, found from bucket counts so that a frequent
 length is never ranked as a whole.
 """
@@ -34,8 +35,9 @@ def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
     Counts are split into powers of two, so that each part is taken whole or
     not at all.  For each total the programme keeps the first part with which it
     can be reached, which is all that is needed to trace it back; it ends as soon
-    as the budget itself can be reached.  Totals beyond twice the budget are
-    worse than none and are left out.
+    as the budget itself can be reached.  Some selection is less than the longest
+    length below the budget, or all of ``spare`` is; so totals that far above it
+    are left out.
     """
     parts = []
     for length, count in spare:
@@ -46,8 +48,8 @@ def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
             step *= 2
     sizes = [length * count for length, count in parts]
     unit = math.gcd(*sizes) or 1
-    top = 2 * budget // unit
-    first = np.full(top + 1, len(parts), np.int32)
+    top = max(0, min(2 * budget, budget + max((length for length, _ in parts), default=0))) // unit
+    first = np.full(top + 1, len(parts), np.int16 if len(parts) < 32_767 else np.int32)
     first[0] = -1
     exact = budget // unit if budget % unit == 0 else None
     reach = 0
@@ -70,28 +72,74 @@ def knapsack(budget: int, spare: Sequence[tuple[int, int]]) -> dict[int, int]:
     return taken
 
 
-def fit_budget(lengths: Sequence[tuple[int, int]], budget: int) -> dict[int, int]:
-    """Documents to take by length from (length, count) so that their total meets ``budget``."""
-    total = sum(length * count for length, count in lengths)
-    if budget <= 0 or not total:
-        return {}
+def _total(taken: dict[int, int]) -> int:
+    return sum(length * n for length, n in taken.items())
+
+
+def _shared(counts: Sequence[tuple[int, int]], budget: int) -> dict[int, int]:
+    """The same share of every length, then the knapsack for what is left over and one document of each of the shortest lengths."""
+    total = sum(length * count for length, count in counts)
     # Every length gets its share; what a share has too few words for goes on to the next length.
     taken, due = {}, 0
-    for length, count in sorted(lengths):
+    for length, count in counts:
         due += length * count * budget
-        taken[length] = min(count, due // (length * total)) if length else 0
+        taken[length] = min(count, due // (length * total))
         due -= taken[length] * length * total
-    left = budget - sum(length * n for length, n in taken.items())
-    spare = {length: count - taken[length] for length, count in lengths if length > 0}
-    for length in sorted(x for x in spare if taken[x] > 0)[:FREE_LENGTHS]:
+    spare = {length: count - taken[length] for length, count in counts}
+    for length in [length for length, _ in counts if taken[length] > 0][:FREE_LENGTHS]:
         taken[length] -= 1
         spare[length] += 1
-        left += length
-    for length, n in knapsack(left, [(length, n) for length, n in sorted(spare.items()) if n > 0]).items():
+    for length, n in knapsack(budget - _total(taken), [(length, n) for length, n in spare.items() if n > 0]).items():
         taken[length] += n
     return taken
 
 
+def _nearest(counts: Sequence[tuple[int, int]], budget: int) -> dict[int, int]:
+    """The selection whose total is nearest to ``budget``, whatever the counts.
+
+    Lengths are taken whole, shortest first, until the budget is used up.  A
+    best selection differs from that one by at most twice the longest length and
+    one document, and by so many more as the longest length has words where the
+    budget itself can't be met (the proximity of whole and fractional solutions of
+    one equation); so only that many documents of each length are up for choice.
+    """
+    reach = 3 * counts[-1][0] + 2
+    left, certain, open_ = budget, {}, []
+    for length, count in counts:
+        n = min(count, left // length)
+        left -= n * length
+        certain[length] = max(0, n - reach)
+        open_.append((length, min(count, n + reach) - certain[length]))
+    for length, n in knapsack(budget - _total(certain), open_).items():
+        certain[length] += n
+    return certain
+
+
+def fit_budget(lengths: Sequence[tuple[int, int]], budget: int) -> dict[int, int]:
+    """Documents to take by length from (length, count) so that their total is as near to ``budget`` as any selection's.
+
+    All lengths have the same share where such a selection is among the nearest
+    that can be (as it is wherever lengths are many); else the knapsack
+    runs over the counts themselves.
+
+    Defined cases: nothing is taken for a budget of 0 or less, of empty texts, or
+    where all are empty; everything is taken for a budget of their total or more;
+    of two totals as near the smaller one counts.
+    """
+    counts = sorted((length, count) for length, count in lengths if length > 0 and count > 0)
+    everything = dict(counts)
+    if budget <= 0 or not counts:
+        return {}
+    if budget >= _total(everything):
+        return everything
+    unit = math.gcd(*everything)
+    taken = _shared(counts, budget)
+    # No total is nearer than the nearest multiple of what all lengths are multiples of.
+    if abs(_total(taken) - budget) > min(budget % unit, -budget % unit):
+        taken = _nearest(counts, budget)
+    return taken
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """(key, source_size, target) from (key, source, source_size).
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, whole_row
 
 _WORD = re.compile(r"\w+")
 #: Longer words count as their pieces of so many characters.
@@ -314,5 +314,5 @@ def drop_toxic(docs: DataFrame, model: Examples, threshold: float = 0.3) -> Data
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([shared.value.score(text.as_py())[0] for text in texts], pa.float64())
 
-    rows = docs.select(scored("text").alias("score"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(scored("text").alias("score"), whole_row(docs).alias("row"))
     return rows.where(F.col("score") < threshold).select("row.*")
