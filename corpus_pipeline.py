@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm import decontamination, minhash, mixing, sharding, toxicity
-from proofline.llm.common import written
+from proofline.llm.common import whole_row, written
 
 
 def _beside(docs: DataFrame) -> DataFrame:
     """What the operators read, and the whole row as a struct: no column of ``docs`` can clash with theirs."""
-    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    return docs.select("doc_id", "text", "source", whole_row(docs).alias("__row"))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the shard (0 to 39) and slot that hold them; columns of these two names are replaced, others may have any names."""
     placed = sharding.shard_rows(_beside(docs))
-    return placed.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+    return placed.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")), "shard", "slot")
 
 
 STAGES = [
