@@ -100,6 +100,16 @@ def support_reply(reply: Column, n: Column) -> Column:
 
 
 def union_indices(indices: Column, n: Column) -> Column:
-    """The distinct whole numbers of a text array that lie within 0 and n - 1, in order."""
-    numbers = F.transform(indices, lambda x: F.try_to_number(x, F.lit("S999999")).cast("int"))
+    """The distinct whole numbers of a text array that lie within 0 and n - 1, in order.
+
+    Numbers may be written in any form: a fraction is cut off, true and false
+    are 1 and 0; what is no number is left out.
+    """
+
+    def whole(x: Column) -> Column:
+        value = F.when(F.lower(x) == "true", 1.0).when(F.lower(x) == "false", 0.0).otherwise(x.try_cast("double"))
+        # Beyond what a place can be there is nothing to cut off.
+        return F.when(F.abs(value) < 2.0**31, value.cast("int"))
+
+    numbers = F.transform(indices, whole)
     return F.array_distinct(F.filter(numbers, lambda i: i.isNotNull() & (i >= 0) & (i < n)))

@@ -2,45 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The published constants of Okapi BM25 and reciprocal rank fusion.
-K1, B, RRF = 1.2, 0.75, 60
+from ..sources.providers import PairScorer, score_pairs
+from ..sources.sinks import kept
+from . import keywords
+
+#: Fixed value: the published constant of reciprocal rank fusion.
+RRF = 60
 #: So many queries are broadcast at once.
 BLOCK = 512
-_TERM = r"[\p{L}\p{N}]+"
-
-
-def _terms(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best ``docs`` (doc_id, text) for each of ``queries`` (query_id, text).
 
     Scores are rounded to 6 digits before they are ranked; ties go by doc_id.
-    Texts are split once, and only the words that a query has leave the scan.
+    The texts are split once, into an index of the queries' terms only; over an
+    index that is kept, use ``keywords.search_index``.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(_terms("text"))).alias("term"))
-    words = docs.select("doc_id", F.explode(F.array(_terms("text"))).alias("words"))
-    terms = asked.select("term").distinct()
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(F.lower("text"), F.lit(_TERM))).alias("mean_size"))
-    found = words.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    tf = found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    # Each query's terms with their weight, and the one row of totals, are as many as the queries' words.
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", "term", "mean_size", idf.alias("idf"))
-    scored = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
-    return top_k(scored, k)
+    only = kept(keywords.asked_terms(queries).select("term").distinct(), "question_terms")
+    return keywords.search_index(queries, keywords.build_index(docs, only), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -131,6 +118,24 @@ def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
     return top_k(every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 6).alias("score")), k)
 
 
+def rescored(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int, make: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rescore, rank): the ``k`` best of the fused ``hits`` (query_id, doc_id, score, rank), in the order of a second look at their texts.
+
+    ``queries`` has (query_id, text), ``rows`` (doc_id, text) and perhaps
+    section_path, whose entries are the text's keywords.  Pairs go to the scorer in Arrow
+    batches; those that it can't score follow in their earlier order.  Without a
+    scorer ``rescore`` is null and the order is as it was.
+    """
+    if make is None:
+        return hits.where(F.col("rank") <= k).select("query_id", "doc_id", "score", F.lit(None).cast("double").alias("rescore"), "rank")
+    keywords_ = F.coalesce("section_path", F.array().cast("array<string>")) if "section_path" in rows.columns else F.array().cast("array<string>")
+    texts = rows.select("doc_id", "text", keywords_.alias("keywords"))
+    pairs = hits.select("query_id", "doc_id", "score", "rank").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(texts, "doc_id")
+    scored = score_pairs(pairs, make).drop("query_text", "text", "keywords")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rescore"), "rank", "doc_id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rescore", "rank")
+
+
 def dual_context(chunk_hits: DataFrame, sentence_hits: DataFrame) -> DataFrame:
     """(query_id, chunk_id, source, place): chunk hits in their rank, then the parents of sentence hits by id.
 

@@ -113,7 +113,9 @@ def packaged(items: DataFrame) -> Retrieval:
         "query_id", (F.col("pos") + 1).alias("place"), "chunk_id", "document_id", F.lit(1).alias("page"), section.alias("section_path"), "text",
         F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("token_count"), nested.alias("sentences"), F.lit("chunk_search").alias("source"), F.lit(None).cast("double").alias("score"),
     )
-    candidates = R.nested_sentences(context).withColumn("score", F.lit(None).cast("double")).select(*CANDIDATES)
+    # Answers and citations read both several times; texts are split once.
+    context = kept(context, "context")
+    candidates = kept(R.nested_sentences(context).withColumn("score", F.lit(None).cast("double")).select(*CANDIDATES), "candidates")
     queries = items.select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
     stats = queries.select("query_id").join(_counted(context, "chunk_search_hits"), "query_id", "left").join(_counted(candidates, "sentence_search_hits"), "query_id", "left").withColumn("parent_chunks_added", F.lit(0))
     return Retrieval(queries, "dual", context, candidates, stats.fillna(0))

@@ -10,14 +10,16 @@ and gold (fulfilled) parts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flow_queries
 from .functions import replies, sets
 from .functions import text as T
-from .operators import chunking, citation, gates, metrics, retrieval
-from .sources import providers, readers
+from .operators import cells, chunking, citation, gates, keywords, metrics, retrieval
+from .sources import providers, readers, sinks
 
 #: The threshold that suits these vectors; every vector whose id is divisible by ``QUERY_STEP`` asks.
 TAU, QUERY_STEP = 0.3, 20
@@ -281,6 +283,46 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword ranking over an index of all terms that is written to the shared folder and loaded again."""
+    documents = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{sinks.shared_folder(documents)}/keywords-{uuid.uuid4().hex}"
+    keywords.build_index(documents).save(folder)
+    found = keywords.search_index(_questions(spark, sf_dir), keywords.KeywordIndex.load(spark, folder), 10)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate form of ``vector_topk``: every vector is indexed, every one whose id is divisible by 20 asks."""
+    queries, found = _queries_and_candidates(spark, sf_dir)
+    index = cells.build_cells(found.select(F.col("vec_id").alias("doc_id"), "embedding"))
+    hits = cells.cell_search(queries.select(F.col("vec_id").alias("query_id"), "embedding"), index, 20, apart=True)
+    return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def keyword_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty documents of each question by keywords, the best five of them by the words they share with it."""
+    questions, documents = _questions(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("section_path"))
+    hits = retrieval.bm25(questions, documents, 20)
+    found = retrieval.rescored(hits, questions, documents, 5, providers.OverlapScorer)
+    return found.select("query_id", "doc_id", "score", F.round("rescore", 6).alias("rescore"), F.col("rank").cast("long").alias("rank"))
+
+
+class _Failing(providers.HashingEmbedder):
+    """A stand-in that fails for any batch with a text of an odd number of words over 400."""
+
+    def embed(self, texts):
+        if any(len(words := x.split()) > 400 and len(words) % 2 for x in texts):
+            raise ConnectionError("no vector")
+        return super().embed(texts)
+
+
+def embedding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a model fails on: texts fail one by one, never with their batch."""
+    found = providers.embed_column(_t(spark, sf_dir, "documents").select("doc_id", "text"), _Failing, errors=True)
+    return found.select("doc_id", F.col("embedding").isNotNull().alias("embedded"), F.col("embed_error").alias("error"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ranked = vector_topk(spark, sf_dir)
     chunk_hits = ranked.where("rank <= 5").select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
@@ -389,7 +431,7 @@ QUERIES = {
         align_topk_tau, parameter_sweep, similarity_range, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
         faithfulness_sentence, faithfulness_report, faithfulness_micro, stability, citation_frequency, stable_anchors, pairwise_jaccard, per_position_jaccard, stability_histogram,
         stability_describe, worst_item, markdown_pivot, sentence_split, sentence_offsets, breadcrumbs, chunk_pack, unique_sentences, adjacent_overlap, corpus_stats, span_difficulty, span_sample,
-        bm25_topk, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
+        bm25_topk, bm25_stored_index, keyword_rescored, vector_topk_cells, embedding_failures, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
         last_write_wins, seeded_sample, token_estimates, passage_scores,
     )
 }
@@ -435,6 +477,16 @@ WITH o AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey) FILTER (l_return
 s AS (SELECT l_orderkey, len(p) AS n_pred, len(g) AS n_gold, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(p) END AS pr,
       CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE len(list_intersect(p, g)) / len(g) END AS re FROM o)"""
 
+_BM25 = r"""
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS size FROM words), tot AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS w FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), tot),
+scored AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+
 ORACLES: dict[str, str] = {
     "align_topk_tau": f"{_COSINES}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sims WHERE score >= {TAU}) SELECT query_id AS sentence_no, doc_id AS sid, greatest(0, least(1, score))::DOUBLE AS confidence, r AS rank FROM kept WHERE r <= 3",
     "parameter_sweep": f"""{_COSINES}, params AS (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS tau), ks AS (SELECT unnest([1, 2, 3, 5])::BIGINT AS top_k),
@@ -482,15 +534,14 @@ t AS (SELECT doc_id, n, array_to_string(run, ' ') AS text FROM (SELECT c.doc_id,
   LEFT JOIN c c3 ON c3.doc_id = c.doc_id AND c3.chunk_no = c.chunk_no AND c3.sentence_no = c.sentence_no + 2) WHERE len(run) = n)
 SELECT doc_id, CASE WHEN n = 3 THEN 'hard' WHEN n = 2 THEN 'medium' WHEN regexp_matches(text, '[0-9]') OR length(text) < 120 THEN 'easy' ELSE 'medium' END AS difficulty,
   count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY 1, 2""",
-    "bm25_topk": r"""
-WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
-words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-sizes AS (SELECT doc_id, len(w) AS size FROM words), tot AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM sizes),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-w AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size)) AS w FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), tot),
-scored AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2)
-SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""",
+    "bm25_topk": f"{_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "bm25_stored_index": f"{_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "keyword_rescored": rf"""{_BM25},
+asked AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS a FROM benchmark),
+pairs AS (SELECT r.*, len(list_intersect(a, regexp_split_to_array(lower(coalesce(text, '') || ' ' || coalesce(source, '')), '\s+'))) / len(a)::DOUBLE AS rescore FROM ranked r JOIN asked USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 20)
+SELECT query_id, doc_id, score, round(rescore, 6) AS rescore, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rescore DESC, rank, doc_id) AS place FROM pairs) WHERE place <= 5""",
+    "embedding_failures": r"""SELECT doc_id, NOT (n > 400 AND n % 2 = 1) AS embedded, CASE WHEN n > 400 AND n % 2 = 1 THEN 'ConnectionError: no vector' END AS error
+FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n FROM documents)""",
     "dual_context": f"""{_COSINES}, c AS (SELECT query_id, doc_id AS chunk_id, rank FROM top WHERE rank <= 5), p AS (SELECT DISTINCT query_id, doc_id - doc_id % 2 AS chunk_id FROM top WHERE rank > 3),
 j AS (SELECT coalesce(c.query_id, p.query_id) AS query_id, coalesce(c.chunk_id, p.chunk_id) AS chunk_id, rank, CASE WHEN rank IS NULL THEN 'sentence_parent' WHEN p.chunk_id IS NOT NULL THEN 'both' ELSE 'chunk_search' END AS source FROM c FULL JOIN p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id)
 SELECT query_id, chunk_id, source, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, chunk_id) AS place FROM j""",

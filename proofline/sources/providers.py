@@ -10,6 +10,7 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -17,6 +18,24 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+class PairScorer(Protocol):
+    """Scores texts against queries; ``keywords`` are what else is known of a text, such as its section."""
+
+    def score(self, pairs: Sequence[tuple[str, str, Sequence[str]]]) -> list[float]: ...
+
+
+class OverlapScorer:
+    """The share of a query's distinct words that a text or its keywords have: deterministic, for tests and offline use."""
+
+    def score(self, pairs: Sequence[tuple[str, str, Sequence[str]]]) -> list[float]:
+        found = []
+        for query, text, keywords in pairs:
+            asked = set((query or "").lower().split())
+            met = asked & set(" ".join([text or "", *(x or "" for x in keywords or ())]).lower().split())
+            found.append(len(met) / len(asked) if asked else 0.0)
+        return found
+
+
 class Completion(NamedTuple):
     """A reply with what a service says about it."""
 
@@ -60,23 +79,64 @@ class HashingEmbedder:
         return (rows / np.where(norms < 1e-12, 1, norms)).tolist()
 
 
-def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "text", batch: int = 64) -> DataFrame:
+def score_pairs(rows: DataFrame, make: Callable[[], PairScorer], batch: int = 64) -> DataFrame:
+    """``rows`` (query_text, text, keywords, ...) with ``rescore``; ``make`` builds the scorer once for each task, which gets ``batch`` pairs at a time.
+
+    A batch that fails is halved until the pair that fails is alone; it has no
+    score then, and no row is lost.
+    """
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = make()
+        for part in batches:
+            pairs = list(zip(*(part.column(c).to_pylist() for c in ("query_text", "text", "keywords")), strict=True))
+            found = [value for at in range(0, len(pairs), batch) for value, _ in _halved(pairs[at : at + batch], scorer.score)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "rescore"])
+
+    return rows.mapInArrow(scored, T.StructType([*rows.schema, T.StructField("rescore", T.DoubleType())]))
+
+
+def _halved(items: list, ask: Callable[[list], list], retries: int = 1) -> list[tuple[object, str | None]]:
+    """(answer, error) of each item: a batch that fails is asked again as its halves, a single item so many times more."""
+    if not items:
+        return []
+    for left in reversed(range(retries + 1 if len(items) == 1 else 1)):
+        try:
+            answers = ask(items)
+            if len(answers) != len(items):
+                raise ValueError(f"{len(answers)} answers to {len(items)} texts")
+            return [(answer, None) for answer in answers]
+        except Exception as failure:  # any failure of a model is a row's outcome
+            if len(items) == 1 and not left:
+                return [(None, f"{type(failure).__name__}: {failure}")]
+    half = len(items) // 2
+    return _halved(items[:half], ask, retries) + _halved(items[half:], ask, retries)
+
+
+def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "text", batch: int = 64, errors: bool = False) -> DataFrame:
     """``rows`` with ``embedding``; ``make`` builds the model once for each task, which gets ``batch`` texts at a time.
 
-    Rows that have an ``embedding`` column keep it: what was embedded before is not asked for again.
+    A batch that fails is halved until the text that fails is alone and has
+    failed again.  With ``errors`` such a row has no embedding and its
+    ``embed_error``; without, its error is raised.  Rows that have an ``embedding`` column keep it: what was embedded before is not asked for again.
     """
     if "embedding" in rows.columns:
-        return rows
+        return rows.withColumn("embed_error", F.lit(None).cast("string")) if errors and "embed_error" not in rows.columns else rows
 
     def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 piece = part.slice(at, batch)
-                vectors = pa.array(model.embed([x or "" for x in piece.column(column).to_pylist()]), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*piece.columns, vectors], names=[*piece.schema.names, "embedding"])
-
-    return rows.mapInArrow(embedded, T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+                found = _halved([x or "" for x in piece.column(column).to_pylist()], model.embed)
+                if not errors and any(error for _, error in found):
+                    raise RuntimeError(next(error for _, error in found if error))
+                vectors = [pa.array([vector for vector, _ in found], pa.list_(pa.float64()))] + [pa.array([error for _, error in found], pa.string())] * errors
+                yield pa.RecordBatch.from_arrays([*piece.columns, *vectors], names=[*piece.schema.names, *added])
+
+    added = ["embedding"] + ["embed_error"] * errors
+    fields = [T.StructField("embedding", T.ArrayType(T.DoubleType()))] + [T.StructField("embed_error", T.StringType())] * errors
+    return rows.mapInArrow(embedded, T.StructType([*rows.schema, *fields]))
 
 
 _COMPLETED = [("reply", T.StringType(), pa.string()), ("error", T.StringType(), pa.string()), ("prompt_tokens", T.LongType(), pa.int64()), ("completion_tokens", T.LongType(), pa.int64()), ("finish_reason", T.StringType(), pa.string()), ("latency_ms", T.DoubleType(), pa.float64())]

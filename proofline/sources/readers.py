@@ -33,8 +33,8 @@ def read_ground_truth(spark: SparkSession, path: str, only_passing: bool = False
 
 
 def read_layout(spark: SparkSession, root: str, document_ids: list[str] | None = None) -> DataFrame:
-    """(doc_id, para_no, role, content, page) from ``root``/<document>/layout.json; directories without the file are passed over."""
-    files = spark.read.schema(LAYOUT).option("multiLine", True).json(f"{root}/*/layout.json").withColumn("doc_id", F.regexp_extract(F.input_file_name(), r"([^/]+)/layout\.json$", 1))
+    """(doc_id, para_no, role, content, page) from ``root``/<document>/layout.json; directories without the file are passed over, a malformed file raises."""
+    files = spark.read.schema(LAYOUT).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/layout.json").withColumn("doc_id", F.regexp_extract(F.input_file_name(), r"([^/]+)/layout\.json$", 1))
     if document_ids is not None:
         files = files.where(F.col("doc_id").isin(document_ids))
     page = F.coalesce(F.get("p.boundingRegions", F.lit(0))["pageNumber"], F.lit(1))

@@ -53,11 +53,11 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("overwrite").json(path)
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written as Parquet to a fresh folder below the checkpoint folder that the session names and read again: what they cost, and what models replied, is fixed.
+def shared_folder(rows: DataFrame) -> str:
+    """The checkpoint folder that the session names.
 
-    Where no folder is named, local sessions use a temporary one; a cluster's
-    must be shared, so there that is an error.
+    Where none is named, local sessions use a temporary one; a cluster's must be
+    shared, so there that is an error.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -65,7 +65,12 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="proofline-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as Parquet to a fresh folder below the shared folder and read again: what they cost, and what models replied, is fixed."""
+    path = f"{shared_folder(rows)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
