@@ -26,8 +26,12 @@ from .common import checkpointed
 #: Piece separators: . , ; : ! ? and line feed to carriage return.
 _ENDS = table_of(lambda byte: byte in b".,;:!?\x0a\x0b\x0c\x0d")
 _WORD_BYTES = table_of(lambda byte: byte not in b" \t") & ~_ENDS
+#: A bucket for so many bytes of text, within these numbers of buckets (as powers of two); the largest bitmap has 16 MB.
+_BYTES_PER_BUCKET, _LEAST_BITS, _MOST_BITS = 16, 20, 27
+#: Bytes of text that are looked at together: several arrays hold a number for each word of them.
+_CHUNK_BYTES = 1 << 20
 #: Bucket counts that a task gathers before it hands them on.
-_HELD_BUCKETS = 2_000_000
+_HELD_BUCKETS = 1_000_000
 #: Rows of the last ranking that one task sorts, about.
 _ROWS_PER_RANKING = 50_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -131,7 +135,7 @@ def _pass(length: int, last: bool, bits: int, shorter: Bits | None, full: Bits |
             langs = batch.column("lang").dictionary_encode()
             for number, lang in enumerate(langs.dictionary.to_pylist()):
                 data, offsets = buffer_of(batch.column("text").filter(pa.array(langs.indices.to_numpy() == number)))
-                for _, begin, bounds in chunks(data, offsets, _ENDS):
+                for _, begin, bounds in chunks(data, offsets, _ENDS, _CHUNK_BYTES):
                     part = data[begin : begin + int(bounds[-1])]
                     words = words_of(part, bounds, _WORD_BYTES)
                     if not len(words.code):
@@ -165,13 +169,19 @@ def _pass(length: int, last: bool, bits: int, shorter: Bits | None, full: Bits |
     return counted
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, bucket_bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, bucket_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of all phrases of 1 to ``longest`` words that occur ``least`` times, (lang, n) of all words).
 
     ``docs`` has (lang, text), neither null.  ``2 ** bucket_bits`` buckets are
-    a broadcast bitmap of an eighth as many bytes; more of them prune more on
-    larger inputs, the result does not depend on them.
+    a broadcast bitmap of an eighth as many bytes.  Their number grows with the
+    texts, up to a bound, so that about as many of them are empty at every size;
+    the result does not depend on it.
+
+    Defined cases: as in ``collocations``.
     """
+    if bucket_bits is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bucket_bits = min(_MOST_BITS, max(_LEAST_BITS, (size // _BYTES_PER_BUCKET).bit_length()))
     shorter = full = totals = None
     found = []
     for length in range(1, longest + 1):
@@ -188,7 +198,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, bucket_
     return every, totals
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, best: int = 2000, bucket_bits: int = 24) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, best: int = 2000, bucket_bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to ``longest`` words.
 
     ``docs`` has (text, lang) and any further columns, which are not read.  ``a``
