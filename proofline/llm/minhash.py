@@ -131,26 +131,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node of its component.
 
-    Large-star and small-star steps alternate until the links no longer
-    change; each ends in a checkpoint.  All links then point at a root.  The
-    number of rounds grows with the logarithm of the links; more than
-    ``max_rounds`` raise RuntimeError.
+    Large-star and small-star steps alternate until every link points at a
+    root: no node has two links upwards, and none is pointed at that points
+    elsewhere.  Each round ends in a checkpoint.  The number of rounds grows
+    with the logarithm of the links; more than ``max_rounds`` raise RuntimeError.
     """
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
-    before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
-        larger = both.where("u > v").join(lowest, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        ends = edges.select(F.explode(F.array(F.struct("v", F.col("u").alias("m")), F.struct(F.col("u").alias("v"), F.col("u").alias("m")))).alias("e"))
+        lowest = ends.groupBy(F.col("e.v").alias("u")).agg(F.min("e.m").alias("m"))
+        larger = edges.join(lowest, "u").select("v", F.col("m").alias("u"))
         lowest = larger.groupBy("v").agg(F.min("u").alias("m"))
-        rest = larger.join(lowest, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = checkpointed(rest.unionByName(lowest.select("v", F.col("m").alias("u"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        pulled = larger.join(lowest, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
+        edges = checkpointed(pulled.select("e.v", "e.u").where("u <> v").distinct())
+        sides = edges.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s"))
+        if sides.groupBy("s.node").agg(F.sum("s.up").alias("up"), F.max("s.down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
             break
-        before = now
     else:
-        raise RuntimeError(f"links still changed after {max_rounds} rounds")
+        raise RuntimeError(f"links did not come to their roots in {max_rounds} rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
@@ -224,8 +222,8 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     busy = checkpointed(bands.join(shared, "key"))
-    central = busy.groupBy("node").agg(F.sum("mates").alias("mates"))
-    members = nodes.select("node", "first").join(central.select("node"), "node", "left_semi").select("first.doc_id").distinct()
+    central = checkpointed(busy.groupBy("node").agg(F.sum("mates").alias("mates")))
+    members = checkpointed(nodes.select("node", "first").join(central.select("node"), "node", "left_semi").select("first.doc_id"))
     # Few ids go to where the texts are; many are worth moving the texts.
     texts = docs.select("doc_id", "text").join(sent_if_few(members, BROADCAST_IDS), "doc_id", "left_semi")
     sets = checkpointed(texts.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]))
