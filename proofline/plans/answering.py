@@ -104,8 +104,10 @@ def cite(generations: DataFrame, found: Retrieval, tau: float = C.TAU, top_k: in
     """Citations by each answer's own strategy: inline tags, or cosine alignment with the candidate pool.
 
     ``pool`` (query_id, sentence_id, embedding) and ``vectors`` (KEY, sentence_no,
-    embedding) may bring embeddings along, else ``make`` embeds the texts.
-    Failed generations have an answer and no sentences.
+    embedding) may bring embeddings along, else ``make`` embeds the texts; where
+    it fails on a sentence of an aligned answer, or on a candidate of its
+    question, that answer has its error and no citations.  Failed generations
+    have an answer and no sentences.
     """
     known = F.col("strategy").isin(*STRATEGIES)
     checked = generations.withColumn("strategy", F.when(known, F.col("strategy")).otherwise(F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce("strategy", F.lit("none"))))))
@@ -127,8 +129,18 @@ def cite(generations: DataFrame, found: Retrieval, tau: float = C.TAU, top_k: in
     report = tagged.select(*KEY).join(counted, KEY, "left").withColumns({"n_tags": F.coalesce("n_tags", F.lit(0)), "n_valid": F.coalesce("n_valid", F.lit(0)), "hallucinated": F.coalesce("hallucinated", none)})
 
     asked = sentences.where(F.col("strategy") == ALIGNED)
-    said = embed_column(asked, make) if vectors is None else asked.join(vectors, [*KEY, "sentence_no"])
-    found_in = embed_column(candidate_pool(found), make) if pool is None else pool
+    said = kept(embed_column(asked, make, errors=True), "said") if vectors is None else asked.join(vectors, [*KEY, "sentence_no"])
+    found_in = kept(embed_column(candidate_pool(found), make, errors=True), "pool") if pool is None else pool
+    failures = said.where("embed_error is not null").select(*KEY, "embed_error") if vectors is None else None
+    if pool is None:
+        of_pool = found_in.where("embed_error is not null").groupBy("query_id").agg(F.min("embed_error").alias("embed_error"))
+        of_pool = asked.select(*KEY).distinct().join(of_pool, "query_id").select(*KEY, "embed_error")
+        failures = of_pool if failures is None else failures.unionByName(of_pool)
+    if failures is not None:
+        failures = kept(failures.groupBy(*KEY).agg(F.min("embed_error").alias("embed_error")), "failures")
+        answers = answers.join(failures, KEY, "left").withColumn("error", F.coalesce("error", "embed_error")).drop("embed_error")
+        said = said.join(failures.select(*KEY), KEY, "left_anti")
+    said, found_in = said.drop("embed_error"), found_in.drop("embed_error")
     aligned = C.align_within(said, found_in, KEY, tau, top_k).join(sentence_meta(found), ["query_id", "sentence_id"])
     aligned = aligned.withColumnRenamed("rank", "place").withColumn("source", F.lit("aligner"))
     columns = [*KEY, "sentence_no", "place", "sentence_id", "chunk_id", "document_id", "page", "section_path", "confidence", "source"]

@@ -12,7 +12,8 @@ from ..functions import sets as S
 from ..operators import citation as C
 from ..operators import metrics
 from ..operators import retrieval as R
-from ..sources.providers import ChatModel, Embedder, HashingEmbedder
+from ..sources.providers import ChatModel, Embedder, HashingEmbedder, embed_column
+from ..sources.sinks import kept
 from .answering import KEY, STRATEGIES, Cited, cite, generate
 from .judging import Judged
 from .retrieving import Retrieval, packaged, retrieve
@@ -65,11 +66,15 @@ def evaluate_items(
 
     ``items`` has (question_id, question, difficulty, gold_citations) and may
     have ``retrieve_error``: such items are not retrieved, and all their scores
-    are 0.  An item without gold has a recall of 1.
+    are 0; so it is where the question's embedding fails.  An item without gold
+    has a recall of 1.
     """
     failed = F.col("retrieve_error") if "retrieve_error" in items.columns else F.lit(None).cast("string")
     base = items.select(F.col("question_id").alias("query_id"), "question", "difficulty", S.gold_ids(F.col("gold_citations")).alias("gold"), failed.alias("retrieve_error"))
-    found = retrieve(base.where("retrieve_error is null").select("query_id", F.col("question").alias("text")), chunks, sentences, mode, k_sentences, k_chunks, embedder)
+    asked = kept(embed_column(base.where("retrieve_error is null").select("query_id", F.col("question").alias("text")), embedder, errors=True), "asked")
+    lost = asked.where("embed_error is not null").select("query_id", "embed_error")
+    base = base.join(lost, "query_id", "left").withColumn("retrieve_error", F.coalesce("retrieve_error", "embed_error")).drop("embed_error")
+    found = retrieve(asked.where("embed_error is null").drop("embed_error"), chunks, sentences, mode, k_sentences, k_chunks, embedder)
     cited = cite(generate(found, make, model, strategies), found, tau, top_k, embedder)
     pool = R.reachable(found.candidates.select("query_id", F.col("sentence_id").alias("sid")), R.nested_sentences(found.context).select("query_id", F.col("sentence_id").alias("sid")))
     gold = base.select("query_id", F.explode("gold").alias("sid"))

@@ -122,9 +122,14 @@ def packaged(items: DataFrame) -> Retrieval:
 
 
 def stored(found: Retrieval, folder: str, live: bool = False) -> Retrieval:
-    """``found`` from ``folder``, where it is written if it is not there yet or ``live`` is asked for; so models and searches run once."""
+    """``found`` from ``folder``, where it is written if it is not there yet or ``live`` is asked for; so models and searches run once.
+
+    Each set of questions and each mode has a folder of its own below it; after
+    a change of the index ask for ``live``.
+    """
     spark = found.queries.sparkSession
-    parts = {}
+    n, digest = found.queries.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct("query_id", "text"))).cast("decimal(38,0)"))).first()
+    folder, parts = f"{folder}/{found.mode}-{n}-{digest or 0}", {}
     for name in ("queries", "context", "candidates", "stats"):
         path, rows = f"{folder}/{name}", getattr(found, name)
         if live:

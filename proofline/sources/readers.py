@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,27 @@ def read_chunks(spark: SparkSession, path: str, document_ids: list[str] | None =
     return rows if document_ids is None else rows.where(F.col("document_id").isin(document_ids))
 
 
+#: What lines of files are ordered by: names, then the parts that a file is read in, then the lines of a part.
+IN_ORDER = ("file", "path", "block", "line")
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, *IN_ORDER) of the lines that are not blank; their order is that of the files, however these are split."""
+    meta = {"file": "file_name", "path": "file_path", "block": "file_block_start"}
+    lines = spark.read.text(path).select("value", *(F.col(f"_metadata.{name}").alias(c) for c, name in meta.items()), F.monotonically_increasing_id().alias("line"))
+    return lines.where("trim(value) <> ''")
+
+
+def first_lines(rows: DataFrame, limit: int | None) -> DataFrame:
+    """``rows`` (*IN_ORDER, ...), or the first ``limit`` of them, without what they are ordered by."""
+    return (rows.orderBy(*IN_ORDER).limit(limit) if limit else rows).drop(*IN_ORDER)
+
+
 def read_ground_truth(spark: SparkSession, path: str, only_passing: bool = False, limit: int | None = None) -> DataFrame:
-    """Ground-truth items; ``only_passing`` leaves those that both verdicts are true for, ``limit`` the first ones by question_id; a malformed line raises."""
-    items = spark.read.schema(GROUND_TRUTH).option("mode", "FAILFAST").json(path)
-    items = items.where("judge_well_formed and judge_supported") if only_passing else items
-    return items.orderBy("question_id").limit(limit) if limit else items
+    """Ground-truth items; ``only_passing`` leaves those that both verdicts are true for, ``limit`` the first of these in the files; a malformed line raises."""
+    items = ordered_lines(spark, path).select(*IN_ORDER, F.from_json("value", GROUND_TRUTH, {"mode": "FAILFAST"}).alias("r"))
+    items = items.select(*IN_ORDER, "r.*")
+    return first_lines(items.where("judge_well_formed and judge_supported") if only_passing else items, limit)
 
 
 def read_layout(spark: SparkSession, root: str, document_ids: list[str] | None = None) -> DataFrame:
@@ -52,11 +70,11 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     A malformed line, an unknown confidence and an unknown role raise.
     """
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
+        lines = ordered_lines(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], REVIEW)
-    read = lines.select("file", "block", "line", F.from_json("value", REVIEW, {"mode": "FAILFAST"}).alias("r")).select("file", "block", "line", "r.*")
-    return last_wins(checked_reviews(read), "question_id", ["file", "block", "line"]).drop("file", "block", "line")
+    read = lines.select(*IN_ORDER, F.from_json("value", REVIEW, {"mode": "FAILFAST"}).alias("r")).select(*IN_ORDER, "r.*")
+    return last_wins(checked_reviews(read), "question_id", list(IN_ORDER)).drop(*IN_ORDER)
 
 
 def checked_reviews(reviews: DataFrame) -> DataFrame:
@@ -94,13 +112,12 @@ def _ids(text: Column) -> Column:
 
 
 def read_hagrid(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(item_id, question, answer, passages, gold) of quote-attributed answers; see ``hagrid_items``."""
-    items = hagrid_items(spark.read.text(path).where("trim(value) <> ''"))
-    return items.orderBy("item_id").limit(limit) if limit else items
+    """(item_id, question, answer, passages, gold) of quote-attributed answers, perhaps the first ``limit`` items of the files; see ``hagrid_items``."""
+    return first_lines(hagrid_items(ordered_lines(spark, path), IN_ORDER), limit)
 
 
-def hagrid_items(lines: DataFrame) -> DataFrame:
-    """Items from lines of JSON (``value``).
+def hagrid_items(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Items from lines of JSON (``value``), with the columns ``carry`` of their lines.
 
     Alternative keys are taken in turn; a passage without an id has its place
     among the passages with a text; gold is the union of the answers' and their
@@ -118,25 +135,24 @@ def hagrid_items(lines: DataFrame) -> DataFrame:
     inner = lambda a: F.flatten(F.transform(sentences(a), lambda s: F.flatten(F.array(*(_ids(c) for c in _json(s, "$.attributable_quotes", "$.supporting_quotes"))))))
     gold = F.array_distinct(F.flatten(F.transform(answers, lambda a: F.concat(own(a), inner(a)))))
     said = F.get(F.filter(F.transform(answers, lambda a: F.coalesce(*_json(a, "$.answer", "$.text"))), lambda t: F.trim(t) != ""), F.lit(0))
-    items = lines.select(F.coalesce(*_json(v, "$.query_id", "$.id", "$.qid")).alias("item_id"), first_of(*_json(v, "$.query", "$.question")).alias("question"), said.alias("answer"), passages.alias("passages"), gold.alias("gold"))
+    items = lines.select(*carry, F.coalesce(*_json(v, "$.query_id", "$.id", "$.qid")).alias("item_id"), first_of(*_json(v, "$.query", "$.question")).alias("question"), said.alias("answer"), passages.alias("passages"), gold.alias("gold"))
     restricted = items.withColumn("gold", F.array_intersect("gold", F.transform("passages", lambda p: p["passage_id"])))
     return restricted.where("question is not null and size(passages) > 0 and size(gold) > 0")
 
 
 def read_alce(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(item_id, question, answer, passages, gold); see ``alce_items``."""
-    items = alce_items(spark.read.text(path).where("trim(value) <> ''"))
-    return items.orderBy("item_id").limit(limit) if limit else items
+    """(item_id, question, answer, passages, gold), perhaps of the first ``limit`` items of the files; see ``alce_items``."""
+    return first_lines(alce_items(ordered_lines(spark, path), IN_ORDER), limit)
 
 
-def alce_items(lines: DataFrame) -> DataFrame:
-    """Items whose citations are places, from 0, among the documents with a text; places outside are left out, and so are items without gold."""
+def alce_items(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Items, with the columns ``carry`` of their lines, whose citations are places, from 0, among the documents with a text; places outside are left out, and so are items without gold."""
     v = F.col("value")
     raw = F.from_json(F.get_json_object(v, "$.docs"), "array<string>")
     text = lambda x: F.coalesce(*(F.nullif(c, F.lit("")) for c in _json(x, "$.text", "$.snippet")))
     full = F.filter(raw, lambda x: text(x).isNotNull())
     passages = F.transform(full, lambda x, i: F.struct(F.coalesce(first_of(*_json(x, "$.id", "$.docid")), i.cast("string")).alias("passage_id"), text(x).alias("text")))
     places = F.from_json(F.coalesce(*_json(v, "$.citations", "$.gold_citations")), "array<int>")
-    items = lines.select(F.coalesce(*_json(v, "$.id", "$.question_id")).alias("item_id"), first_of(*_json(v, "$.question", "$.query")).alias("question"), F.get_json_object(v, "$.answer").alias("answer"), passages.alias("passages"), places.alias("places"))
+    items = lines.select(*carry, F.coalesce(*_json(v, "$.id", "$.question_id")).alias("item_id"), first_of(*_json(v, "$.question", "$.query")).alias("question"), F.get_json_object(v, "$.answer").alias("answer"), passages.alias("passages"), places.alias("places"))
     gold = F.array_distinct(F.transform(F.filter("places", lambda i: (i >= 0) & (i < F.size("passages"))), lambda i: F.get("passages", i)["passage_id"]))
     return items.withColumn("gold", F.coalesce(gold, F.array().cast("array<string>"))).drop("places").where("question is not null and size(passages) > 0 and size(gold) > 0")
