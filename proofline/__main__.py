@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import chunking, metrics, retrieval
 from .plans import authoring, evaluation, gating, indexing, retrieving
-from .sources import providers, readers, sinks
+from .sources import providers, readers, sinks, tables
 
 
 def named(place: str) -> Callable:
@@ -24,7 +24,7 @@ def named(place: str) -> Callable:
 
 
 def _index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/sentences")
+    return tables.read_table(spark, f"{path}/chunks"), tables.read_table(spark, f"{path}/sentences")
 
 
 def _report(out: str, found: evaluation.Evaluation, items: DataFrame, args: argparse.Namespace) -> str:
@@ -49,7 +49,7 @@ def index(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def author(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     chunks = readers.read_chunks(spark, args.path).withColumns({"doc_id": F.col("document_id"), "chunk_no": F.regexp_extract("chunk_id", r"c(\d+)$", 1).cast("int")})
-    spans = chunking.sample_spans(authoring.chunk_spans(chunks), chunking.quotas(args.n), seed=args.seed).withColumn("document_id", F.col("doc_id"))
+    spans = chunking.greedy_spans(authoring.chunk_spans(chunks), chunking.quotas(args.n), seed=args.seed).withColumn("document_id", F.col("doc_id"))
     found = authoring.author_items(spans, named(args.model), providers.Roles(args.answer_name, args.name, args.judge_name))
     sinks.write_run(args.out, found.counts.agg(F.to_json(F.collect_list(F.struct("*"))).alias("difficulty_counts")), items=found.items, failures=found.failures)
     return found.counts
@@ -77,12 +77,14 @@ def benchmark(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def compare(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Both layouts at the same k, without a longer list for the fusion."""
+    """Both layouts at the same k, without a longer list for the fusion, and how long a question took in each."""
     queries = providers.embed_column(spark.read.json(args.path).select("query_id", "text"), named(args.embedder))
     chunks, sentences = _index(spark, args.index)
-    hits = retrieving.search(queries, chunks, "chunk_id", args.k, args.k)
-    parents = retrieving.search(queries, sentences, "sentence_id", args.k, args.k).join(sentences.select("sentence_id", "chunk_id"), "sentence_id")
-    return retrieval.agreement_summary(retrieval.layout_agreement(hits, parents))
+    queries = sinks.kept(queries, "queries")
+    hits, of_chunks = retrieval.timed(queries, lambda block: retrieving.search(block, chunks, "chunk_id", args.k, args.k), args.batch)
+    found, of_sentences = retrieval.timed(queries, lambda block: retrieving.search(block, sentences, "sentence_id", args.k, args.k), args.batch)
+    parents = found.join(sentences.select("sentence_id", "chunk_id"), "sentence_id")
+    return retrieval.agreement_summary(retrieval.layout_agreement(hits, parents), {"chunks": of_chunks, "sentences": of_sentences})
 
 
 def review(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -101,7 +103,7 @@ def parser() -> argparse.ArgumentParser:
             "out": {"required": True}, "index": {"required": True}, "model": {"required": True}, "reviews": {"required": run is review}, "only": {"nargs": "*"}, "recreate": {"action": "store_true"},
             "include_failing": {"action": "store_true"}, "embedder": {"default": "proofline.sources.providers:HashingEmbedder"}, "mode": {"choices": retrieving.MODES, "default": "dual"},
             "form": {"choices": ("hagrid", "alce"), "default": "hagrid"}, "target": {"type": int, "default": 400}, "overlap": {"type": int, "default": 40}, "n": {"type": int}, "k": {"type": int, "default": 10},
-            "limit": {"type": int}, "seed": {"type": int, "default": 7}, "tau": {"type": float, "default": 0.75}, "top_k": {"type": int, "default": 3}, "name": {"default": "model"},
+            "limit": {"type": int}, "batch": {"type": int, "default": retrieval.BLOCK}, "seed": {"type": int, "default": 7}, "tau": {"type": float, "default": 0.75}, "top_k": {"type": int, "default": 3}, "name": {"default": "model"},
             "answer_name": {"default": "answer"}, "judge_name": {"default": "judge"},
         }
         for option in options:
@@ -115,7 +117,7 @@ def parser() -> argparse.ArgumentParser:
     command(gate, "out", "model", "name", "index", "embedder")
     command(evaluate, *scored, "index", "mode", "reviews", "include_failing")
     command(benchmark, *scored, "form")
-    command(compare, "index", "k", "embedder")
+    command(compare, "index", "k", "batch", "embedder")
     command(review, "reviews", "include_failing", "n", "seed")
     return top
 

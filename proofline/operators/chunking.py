@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.sinks import kept
 
 #: Layout roles that are no content.
 NOISE_ROLES = ("pageHeader", "pageFooter", "pageNumber", "footnote")
@@ -200,3 +202,41 @@ def sample_spans(rows: DataFrame, quotas: dict[str, int], per_chunk: int = 1, se
         taken = chosen if taken is None else taken.unionByName(chosen)
         given = taken.select("doc_id", "chunk_no")
     return taken.drop("turn")
+
+
+def greedy_spans(rows: DataFrame, quotas: dict[str, int], per_chunk: int = 1, seed: int = 7) -> DataFrame:
+    """The spans that a walk over the chunks takes, ``quotas`` of each difficulty at most.
+
+    ``rows`` has (doc_id, chunk_no, first, n, difficulty) and any others.  Chunks
+    come in the order of a seeded hash, and so do a chunk's spans; a span is taken
+    if its difficulty still has room and its chunk gave fewer than ``per_chunk``.
+
+    The walk reads the next chunks that offer what is still open, as many as
+    there is room for.  Each gives a span unless a difficulty fills up
+    meanwhile, so there are no more readings than difficulties, and what comes
+    to the driver is bounded by quotas times difficulties times ``per_chunk``
+    whatever the table's size.  A repeated row is taken once and comes back as
+    often as it is there.
+    """
+    hashed = lambda *columns: F.md5(F.concat_ws(":", F.lit(str(seed)), *columns))
+    offer = rows.where(F.col("difficulty").isin(*quotas)).select(hashed("doc_id", "chunk_no").alias("chunk"), hashed("doc_id", "chunk_no", "first", "n").alias("turn"), "doc_id", "chunk_no", "first", "n", "difficulty").distinct()
+    # No more than ``per_chunk`` of a difficulty can be taken of a chunk.
+    place = F.row_number().over(Window.partitionBy("chunk", "difficulty").orderBy("turn", "first", "n"))
+    offer = kept(offer.withColumn("k", place).where(F.col("k") <= per_chunk).drop("k"), "offered_spans")
+    room, taken, after = dict(quotas), [], ""
+    while any(left > 0 for left in room.values()):
+        ahead = offer.where(F.col("difficulty").isin([name for name, left in room.items() if left > 0]) & (F.col("chunk") > after))
+        chunks = ahead.select("chunk").distinct().orderBy("chunk").limit(sum(left for left in room.values() if left > 0))
+        found = sorted(ahead.join(F.broadcast(chunks), "chunk", "left_semi").collect(), key=lambda r: (r["chunk"], r["turn"], r["first"], r["n"]))
+        if not found:
+            break
+        given = Counter()
+        for row in found:
+            if given[row["chunk"]] < per_chunk and room[row["difficulty"]] > 0:
+                given[row["chunk"]] += 1
+                room[row["difficulty"]] -= 1
+                taken.append((row["doc_id"], row["chunk_no"], row["first"], row["n"]))
+        after = found[-1]["chunk"]
+    key = ["doc_id", "chunk_no", "first", "n"]
+    picked = rows.sparkSession.createDataFrame(taken, rows.select(*key).schema)
+    return rows.where(F.col("difficulty").isin(*quotas)).join(F.broadcast(picked), key, "left_semi")

@@ -13,6 +13,8 @@ others bring.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +38,9 @@ _SLACK = 1e-5
 #: So many distinct question terms are broadcast.
 _SENT_TERMS = 200_000
 _TERM = r"[\p{L}\p{N}]+"
+_WORD = "[\\p{L}\\p{N}]+(?:['\u2019][\\p{L}\\p{N}]+)*"
+#: The English stop words of the public search library whose analyser the index names.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
 def plain_terms(text: Column) -> Column:
@@ -43,6 +48,25 @@ def plain_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
+def stemmed(word: Column) -> Column:
+    """A word in lower case without an English plural's ending: -ies becomes -y, -es and -s lose the s.
+
+    Words of under four letters, and those on -us, -ss, -aes, -ees and -oes, stay
+    as they are, and so do those on -aies and -eies.
+    """
+    ends = lambda *endings: reduce(or_, (F.endswith(word, F.lit(e)) for e in endings))
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    keeps = (F.length(word) < 4) | ~ends("s") | ends("us", "ss", "aes", "ees", "oes", "aies", "eies")
+    return F.when(keeps, word).when(ends("ies"), F.concat(cut(3), F.lit("y"))).otherwise(cut(1))
+
+
+def english_terms(text: Column) -> Column:
+    """Words in lower case, apostrophes within them kept, without possessive endings and ``STOP_WORDS``, as ``stemmed`` leaves them."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    owned = F.transform(words, lambda w: F.when(F.endswith(w, F.lit("'s")) | F.endswith(w, F.lit("\u2019s")), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w))
+    return F.transform(F.filter(owned, lambda w: ~w.isin(*STOP_WORDS)), stemmed)
+
+
 class KeywordIndex(NamedTuple):
     """``lists``: (shard, term, n, most, postings: array<struct<doc_id, part>>); ``terms``: (term, df); ``totals``: (n_docs, mean_size, shards), one row."""
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,15 +20,17 @@ from . import keywords
 RRF = 60
 #: So many queries are broadcast at once.
 BLOCK = 512
-def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, analyse: Callable[[Column], Column] = keywords.plain_terms) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best ``docs`` (doc_id, text) for each of ``queries`` (query_id, text).
 
     Scores are rounded to 6 digits before they are ranked; ties go by doc_id.
-    The texts are split once, into an index of the queries' terms only; over an
-    index that is kept, use ``keywords.search_index``.
+    The texts are split once, by ``analyse``, into an index of the queries' terms
+    only; over an index that is kept, use ``keywords.search_index``.
     """
-    only = kept(keywords.asked_terms(queries).select("term").distinct(), "question_terms")
-    return keywords.search_index(queries, keywords.build_index(docs, only), k)
+    only = kept(keywords.asked_terms(queries, analyse).select("term").distinct(), "question_terms")
+    return keywords.search_index(queries, keywords.build_index(docs, only, analyse), k, analyse)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -99,15 +102,16 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, apart: bool =
     return found
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = keywords.plain_terms) -> DataFrame:
     """(query_id, doc_id, score, rank): keyword and vector rankings of the same ``docs`` fused.
 
     ``queries`` has (query_id, text, embedding), ``docs`` (doc_id, text,
     embedding).  Both rankings are ``deep`` long, four times ``k`` and 20 at
-    least if nothing is said.
+    least if nothing is said; ``analyse`` splits texts and questions for the
+    keywords.
     """
     deep = max(4 * k, 20) if deep is None else deep
-    return fuse([bm25(queries, docs, deep), vector_search(queries, docs, deep)], k)
+    return fuse([bm25(queries, docs, deep, analyse), vector_search(queries, docs, deep)], k)
 
 
 def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
@@ -191,9 +195,27 @@ def layout_agreement(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg((F.count("hit") / F.greatest(F.lit(1), F.count("*"))).alias("agreement"))
 
 
-def agreement_summary(agreement: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
-    """(n, mean_agreement, min_agreement), and of ``latencies`` (latency_ms) the median and the maximum."""
-    means = agreement.agg(F.count("*").alias("n"), F.avg("agreement").alias("mean_agreement"), F.min("agreement").alias("min_agreement"))
-    if latencies is None:
-        return means
-    return means.crossJoin(latencies.agg(F.median("latency_ms").alias("median_ms"), F.max("latency_ms").alias("max_ms")))
+def timed(queries: DataFrame, search: Callable[[DataFrame], DataFrame], size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What ``search`` finds for ``queries`` (query_id, ...), a block of about ``size`` after the other, and (batch, n_queries, latency_ms): a block's time over its queries.
+
+    A block's hits are written before its clock stops.  Blocks without a query
+    are left out; without any query there are no latencies and no hits.
+    """
+    spark, found, took = queries.sparkSession, None, []
+    for at, block in enumerate(in_blocks(queries, "query_id", size)):
+        n = block.count()
+        if n or found is None:
+            began = time.perf_counter()
+            hits = kept(search(block), "timed_hits")
+            ms = (time.perf_counter() - began) * 1000
+            took += [(at, n, ms / n)] if n else []
+            found = hits if found is None else found.unionByName(hits)
+    return found, spark.createDataFrame(took, "batch int, n_queries long, latency_ms double")
+
+
+def agreement_summary(agreement: DataFrame, latencies: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(n, mean_agreement, min_agreement), and of each layout's ``latencies`` (latency_ms) the median and the maximum, as NAME_median_ms and NAME_max_ms."""
+    summary = agreement.agg(F.count("*").alias("n"), F.avg("agreement").alias("mean_agreement"), F.min("agreement").alias("min_agreement"))
+    for name, rows in (latencies or {}).items():
+        summary = summary.crossJoin(rows.agg(F.median("latency_ms").alias(f"{name}_median_ms"), F.max("latency_ms").alias(f"{name}_max_ms")))
+    return summary

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
-from ..sources import readers, sinks
+from ..sources import readers, tables
 from ..sources.providers import Embedder, embed_column
 
 
@@ -46,8 +46,8 @@ def build_index(chunks: DataFrame, path: str, make: Callable[[], Embedder], recr
     Rows take the place of those with the same id, unless all is recreated.
     Fewer rows than expected raise.
     """
-    n_chunks = sinks.write_index(embed_column(chunks, make), f"{path}/chunks", "chunk_id", recreate)
-    n_sentences = sinks.write_index(embed_column(sentence_rows(chunks), make), f"{path}/sentences", "sentence_id", recreate)
+    n_chunks = tables.write_table(embed_column(chunks, make), f"{path}/chunks", "chunk_id", recreate)
+    n_sentences = tables.write_table(embed_column(sentence_rows(chunks), make), f"{path}/sentences", "sentence_id", recreate)
     return n_chunks, n_sentences
 
 

@@ -19,7 +19,7 @@ from . import flow_queries
 from .functions import replies, sets
 from .functions import text as T
 from .operators import cells, chunking, citation, gates, keywords, metrics, retrieval
-from .sources import providers, readers, sinks
+from .sources import providers, readers, sinks, tables
 
 #: The threshold that suits these vectors; every vector whose id is divisible by ``QUERY_STEP`` asks.
 TAU, QUERY_STEP = 0.3, 20
@@ -276,6 +276,29 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword ranking by stems, without stop words and possessive endings."""
+    found = retrieval.bm25(_questions(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id", "text"), 10, keywords.english_terms)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of all documents; then labels take the place of the labelled ones and pages are added; read back from the shared folder."""
+    documents = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("content"))
+    labels = _t(spark, sf_dir, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("quality").cast("long").alias("n"), F.lit("label").alias("content"))
+    pages = _t(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.length("html").cast("long").alias("n"), F.md5("html").alias("content"))
+    path = f"{sinks.shared_folder(documents)}/upserted-{uuid.uuid4().hex}"
+    for rows in (documents, labels, pages):
+        tables.write_table(rows, path, "id")
+    return tables.read_table(spark, path)
+
+
+def greedy_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred spans by the walk over chunks, which is the operator's own limit."""
+    found = chunking.greedy_spans(_spans(spark, sf_dir).select("doc_id", "chunk_no", "first", "n", "difficulty"), chunking.quotas(100))
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_no", "first", "n")), "difficulty")
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector rankings of the documents, fused; the vectors are hashed words."""
     embedded = lambda rows: providers.embed_column(rows, providers.HashingEmbedder)
@@ -431,7 +454,7 @@ QUERIES = {
         align_topk_tau, parameter_sweep, similarity_range, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
         faithfulness_sentence, faithfulness_report, faithfulness_micro, stability, citation_frequency, stable_anchors, pairwise_jaccard, per_position_jaccard, stability_histogram,
         stability_describe, worst_item, markdown_pivot, sentence_split, sentence_offsets, breadcrumbs, chunk_pack, unique_sentences, adjacent_overlap, corpus_stats, span_difficulty, span_sample,
-        bm25_topk, bm25_stored_index, keyword_rescored, vector_topk_cells, embedding_failures, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
+        bm25_topk, bm25_stored_index, bm25_english, table_upsert, greedy_sample, keyword_rescored, vector_topk_cells, embedding_failures, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
         last_write_wins, seeded_sample, token_estimates, passage_scores,
     )
 }
@@ -487,6 +510,13 @@ w AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 scored AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
+_PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_ENGLISH = r"""list_transform(list_filter(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'),
+  lambda w: CASE WHEN ends_with(w, '''s') OR ends_with(w, '’s') THEN left(w, length(w) - 2) ELSE w END), lambda w: w NOT IN (<STOP>)),
+  lambda w: CASE WHEN length(w) < 4 OR NOT ends_with(w, 's') OR regexp_matches(w, '(us|ss|aes|ees|oes|aies|eies)$') THEN w WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' ELSE left(w, length(w) - 1) END)""".replace(
+    "<STOP>", ", ".join(f"'{w}'" for w in keywords.STOP_WORDS)
+)
+
 ORACLES: dict[str, str] = {
     "align_topk_tau": f"{_COSINES}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sims WHERE score >= {TAU}) SELECT query_id AS sentence_no, doc_id AS sid, greatest(0, least(1, score))::DOUBLE AS confidence, r AS rank FROM kept WHERE r <= 3",
     "parameter_sweep": f"""{_COSINES}, params AS (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS tau), ks AS (SELECT unnest([1, 2, 3, 5])::BIGINT AS top_k),
@@ -535,6 +565,9 @@ t AS (SELECT doc_id, n, array_to_string(run, ' ') AS text FROM (SELECT c.doc_id,
 SELECT doc_id, CASE WHEN n = 3 THEN 'hard' WHEN n = 2 THEN 'medium' WHEN regexp_matches(text, '[0-9]') OR length(text) < 120 THEN 'easy' ELSE 'medium' END AS difficulty,
   count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY 1, 2""",
     "bm25_topk": f"{_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "bm25_english": f"{_BM25.replace(_PLAIN, _ENGLISH)} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "table_upsert": """WITH d AS (SELECT 'd' || doc_id AS id, length(text) AS n, md5(text) AS content, doc_id FROM documents)
+SELECT id, n, content FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'd' || doc_id, quality::BIGINT, 'label' FROM labels UNION ALL SELECT 'p' || page_id, length(html), md5(html) FROM pages""",
     "bm25_stored_index": f"{_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
     "keyword_rescored": rf"""{_BM25},
 asked AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS a FROM benchmark),
@@ -592,6 +625,14 @@ e AS (SELECT * FROM o WHERE difficulty = 'easy' ORDER BY turn, doc_id, chunk_no,
 d AS (SELECT * FROM o WHERE difficulty = 'medium' AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM e) ORDER BY turn, doc_id, chunk_no, first, n LIMIT 35),
 h AS (SELECT * FROM o WHERE difficulty = 'hard' AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM e) AND (doc_id, chunk_no) NOT IN (SELECT (doc_id, chunk_no) FROM d) ORDER BY turn, doc_id, chunk_no, first, n LIMIT 25)
 SELECT doc_id, chunk_no, first, n, difficulty FROM (SELECT * FROM e UNION ALL SELECT * FROM d UNION ALL SELECT * FROM h)""",
+    "greedy_sample": f"""{_RAW_SENTENCES.replace("WITH", "WITH RECURSIVE", 1)}, c AS (SELECT *, sentence_no // 10 AS chunk_no, least(3, count(*) OVER (PARTITION BY doc_id, sentence_no // 10 ORDER BY sentence_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS m FROM s),
+r AS (SELECT doc_id, chunk_no, sentence_no AS first, n, CASE WHEN n = 3 THEN 'hard' WHEN n = 2 THEN 'medium' WHEN regexp_matches(text, '[0-9]') OR length(text) < 120 THEN 'easy' ELSE 'medium' END AS difficulty,
+  md5(concat_ws(':', '7', doc_id, chunk_no)) AS chunk, md5(concat_ws(':', '7', doc_id, chunk_no, sentence_no, n)) AS turn FROM c, (SELECT unnest([1, 2, 3])::BIGINT AS n) WHERE n <= m),
+l AS MATERIALIZED (SELECT row_number() OVER (ORDER BY chunk) AS i, doc_id, chunk_no, list({{'first': first, 'n': n, 'd': difficulty}} ORDER BY turn, first, n) AS offers FROM r GROUP BY chunk, doc_id, chunk_no),
+walk AS (SELECT 0::BIGINT AS i, 40 AS e, 35 AS m, 25 AS h, NULL::STRUCT("first" BIGINT, n BIGINT, d VARCHAR) AS pick UNION ALL
+  SELECT i, e - coalesce((pick.d = 'easy')::INT, 0), m - coalesce((pick.d = 'medium')::INT, 0), h - coalesce((pick.d = 'hard')::INT, 0), pick FROM (
+    SELECT l.i, e, m, h, list_filter(l.offers, lambda o: CASE o.d WHEN 'easy' THEN e WHEN 'medium' THEN m ELSE h END > 0)[1] AS pick FROM walk w JOIN l ON l.i = w.i + 1 WHERE e + m + h > 0))
+SELECT doc_id, chunk_no, pick.first AS first, pick.n AS n, pick.d AS difficulty FROM walk JOIN l USING (i) WHERE pick IS NOT NULL""",
 }
 
 QUERIES |= flow_queries.QUERIES

@@ -1,4 +1,4 @@
-"""Writers of chunk and sentence tables, reviews and runs."""
+"""Writers of reviews, runs and what is kept."""
 
 from __future__ import annotations
 
@@ -6,45 +6,10 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_index(rows: DataFrame, path: str, key: str, recreate: bool = False) -> int:
-    """Write ``rows`` as the table at ``path``, or put them in place of those with the same ``key``; returns how many were written.
-
-    A key that ``rows`` has twice raises, and so does a table that then has
-    another number of rows than it should.
-    """
-    spark = rows.sparkSession
-    n, distinct = rows.agg(F.count("*"), F.countDistinct(key)).first()
-    if n != distinct:
-        raise ValueError(f"{n - distinct} rows repeat another one's {key}")
-    try:
-        existing = None if recreate else spark.read.parquet(path)
-    except AnalysisException:  # there is no table yet
-        existing = None
-    if existing is None:
-        rows.write.mode("overwrite").parquet(path)
-        expected = n
-    else:
-        # Spark cannot overwrite what it reads: the new table stands beside the old one until it is whole.
-        merged = upsert(rows, existing, key)
-        fresh = f"{path}.next"
-        merged.write.mode("overwrite").parquet(fresh)
-        expected = spark.read.parquet(fresh).count()
-        spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
-    if spark.read.parquet(path).count() != expected:
-        raise RuntimeError(f"{path} has another number of rows than the {expected} that were written")
-    return n
-
-
-def upsert(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """``existing`` with the rows of ``rows`` in place of those with the same key."""
-    return existing.join(rows.select(key), key, "left_anti").unionByName(rows)
-
-
 def append_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("append").json(path)
 

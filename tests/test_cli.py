@@ -28,5 +28,6 @@ def test_from_layouts_to_an_evaluation(spark, tmp_path, capsys):
     (tmp_path / "bench.jsonl").write_text(json.dumps({"query_id": "q", "query": "why", "quotes": [{"idx": 1, "text": "So it is."}], "answers": [{"answer": "x", "attributable": [1]}]}))
     cli.main(["benchmark", p("bench.jsonl"), "--out", p("bench"), "--model", quoting])
     cli.main(["review", gated, "--reviews", p("none"), "--include-failing", "--n", "1"])
-    assert "inline_prompted" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "inline_prompted" in said and "sentences_median_ms" in said
     spark.conf.unset("spark.sql.codegen.wholeStage")

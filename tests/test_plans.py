@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofline.functions import replies
 from proofline.operators import chunking, citation, metrics, retrieval
 from proofline.plans import answering, authoring, evaluation, gating, indexing, judging, replicas, retrieving
-from proofline.sources import providers, readers, sinks
+from proofline.sources import providers, readers, sinks, tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import this module
 
@@ -300,10 +300,10 @@ def test_layouts_become_chunks_and_indexes(spark, tmp_path):
     index = str(tmp_path / "index")
     n = indexing.build_index(chunks, index, providers.HashingEmbedder)
     assert n == (chunks.count(), 1 + 5) and indexing.build_index(chunks.limit(1), index, providers.HashingEmbedder)[0] == 1
-    assert spark.read.parquet(f"{index}/chunks").count() == n[0]
-    assert tuple(indexing.round_trip(chunks, spark.read.parquet(f"{index}/chunks"), "chunk_id").first()) == (n[0], n[0])
+    assert tables.read_table(spark, f"{index}/chunks").count() == n[0]
+    assert tuple(indexing.round_trip(chunks, tables.read_table(spark, f"{index}/chunks"), "chunk_id").first()) == (n[0], n[0])
     with pytest.raises(ValueError, match="repeat"):
-        sinks.write_index(chunks.unionByName(chunks), index, "chunk_id")
+        tables.write_table(chunks.unionByName(chunks), index, "chunk_id")
     assert retrieval.fetch_chunks(spark.createDataFrame([(six.chunk_id,), ("none",), (six.chunk_id,)], "chunk_id string"), chunks).count() == 1
     only = readers.read_layout(spark, str(tmp_path / "parsed"), ["a"])
     assert {r.doc_id for r in only.collect()} == {"a"}
@@ -361,8 +361,8 @@ def test_binaries_and_exports(spark, tmp_path):
     children = spark.createDataFrame([("q", "b"), ("q", "a")], "id string, s string")
     documents = {r.id: json.loads(r.document) for r in sinks.nested(parents, children, "id", "parts").collect()}
     assert documents["q"] == {"id": "q", "n": 1, "parts": [{"s": "a"}, {"s": "b"}]}
-    summary = retrieval.agreement_summary(spark.createDataFrame([(0.5,), (1.0,)], "agreement double"), spark.createDataFrame([(1.0,), (9.0,), (2.0,)], "latency_ms double")).first()
-    assert (summary.mean_agreement, summary.min_agreement, summary.median_ms, summary.max_ms) == (0.75, 0.5, 2.0, 9.0)
+    summary = retrieval.agreement_summary(spark.createDataFrame([(0.5,), (1.0,)], "agreement double"), {"chunks": spark.createDataFrame([(1.0,), (9.0,), (2.0,)], "latency_ms double")}).first()
+    assert (summary.mean_agreement, summary.min_agreement, summary.chunks_median_ms, summary.chunks_max_ms) == (0.75, 0.5, 2.0, 9.0)
     assert {r.by: r.coverage for r in metrics.coverage(spark.createDataFrame([("a", 0), ("a", 2)], "by string, n_citations int"), ["by"]).collect()} == {"a": 0.5}
 
 
