@@ -13,11 +13,15 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, metrics, retrieval
+from .operators import chunking, keywords, metrics, retrieval
 from .plans import authoring, evaluation, gating, indexing, retrieving
 from .sources import providers, readers, sinks, tables
 
 
+#: How texts are split for keywords.
+ANALYSERS = {"plain": keywords.plain_terms, "english": keywords.english_terms}
+
+
 def named(place: str) -> Callable:
     module, _, name = place.partition(":")
     return getattr(import_module(module), name)
@@ -81,8 +85,8 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     queries = providers.embed_column(spark.read.json(args.path).select("query_id", "text"), named(args.embedder))
     chunks, sentences = _index(spark, args.index)
     queries = sinks.kept(queries, "queries")
-    hits, of_chunks = retrieval.timed(queries, lambda block: retrieving.search(block, chunks, "chunk_id", args.k, args.k), args.batch)
-    found, of_sentences = retrieval.timed(queries, lambda block: retrieving.search(block, sentences, "sentence_id", args.k, args.k), args.batch)
+    hits, of_chunks = retrieval.timed(queries, lambda block: retrieving.search(block, chunks, "chunk_id", args.k, args.k, ANALYSERS[args.terms]), args.batch)
+    found, of_sentences = retrieval.timed(queries, lambda block: retrieving.search(block, sentences, "sentence_id", args.k, args.k, ANALYSERS[args.terms]), args.batch)
     parents = found.join(sentences.select("sentence_id", "chunk_id"), "sentence_id")
     return retrieval.agreement_summary(retrieval.layout_agreement(hits, parents), {"chunks": of_chunks, "sentences": of_sentences})
 
@@ -103,7 +107,7 @@ def parser() -> argparse.ArgumentParser:
             "out": {"required": True}, "index": {"required": True}, "model": {"required": True}, "reviews": {"required": run is review}, "only": {"nargs": "*"}, "recreate": {"action": "store_true"},
             "include_failing": {"action": "store_true"}, "embedder": {"default": "proofline.sources.providers:HashingEmbedder"}, "mode": {"choices": retrieving.MODES, "default": "dual"},
             "form": {"choices": ("hagrid", "alce"), "default": "hagrid"}, "target": {"type": int, "default": 400}, "overlap": {"type": int, "default": 40}, "n": {"type": int}, "k": {"type": int, "default": 10},
-            "limit": {"type": int}, "batch": {"type": int, "default": retrieval.BLOCK}, "seed": {"type": int, "default": 7}, "tau": {"type": float, "default": 0.75}, "top_k": {"type": int, "default": 3}, "name": {"default": "model"},
+            "limit": {"type": int}, "terms": {"choices": tuple(ANALYSERS), "default": "plain"}, "batch": {"type": int, "default": retrieval.BLOCK}, "seed": {"type": int, "default": 7}, "tau": {"type": float, "default": 0.75}, "top_k": {"type": int, "default": 3}, "name": {"default": "model"},
             "answer_name": {"default": "answer"}, "judge_name": {"default": "judge"},
         }
         for option in options:
@@ -117,7 +121,7 @@ def parser() -> argparse.ArgumentParser:
     command(gate, "out", "model", "name", "index", "embedder")
     command(evaluate, *scored, "index", "mode", "reviews", "include_failing")
     command(benchmark, *scored, "form")
-    command(compare, "index", "k", "batch", "embedder")
+    command(compare, "index", "k", "batch", "terms", "embedder")
     command(review, "reviews", "include_failing", "n", "seed")
     return top
 

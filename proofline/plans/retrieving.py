@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import retrieval as R
 from ..operators.chunking import with_sentences
+from ..operators.keywords import plain_terms
 from ..sources.providers import Embedder, HashingEmbedder, embed_column
 from ..sources.sinks import kept
 
@@ -38,22 +39,23 @@ class Retrieval:
     stats: DataFrame
 
 
-def search(queries: DataFrame, rows: DataFrame, key: str, k: int, deep: int | None = None) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, key: str, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = plain_terms) -> DataFrame:
     """The ``k`` best ``rows`` (``key``, text, embedding, ...) of each query by keywords and vectors fused: (query_id, ``key``, score, rank)."""
-    return R.hybrid_search(queries, rows.select(F.col(key).alias("doc_id"), "text", "embedding"), k, deep).withColumnRenamed("doc_id", key)
+    return R.hybrid_search(queries, rows.select(F.col(key).alias("doc_id"), "text", "embedding"), k, deep, analyse).withColumnRenamed("doc_id", key)
 
 
 def _counted(rows: DataFrame, name: str, test: str = "true") -> DataFrame:
     return rows.where(test).groupBy("query_id").agg(F.count("*").alias(name))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, sentences: DataFrame, mode: str = "dual", k_sentences: int = 20, k_chunks: int = 5, make: Callable[[], Embedder] = HashingEmbedder) -> Retrieval:
+def retrieve(queries: DataFrame, chunks: DataFrame, sentences: DataFrame, mode: str = "dual", k_sentences: int = 20, k_chunks: int = 5, make: Callable[[], Embedder] = HashingEmbedder, analyse: Callable[[Column], Column] = plain_terms) -> Retrieval:
     """Context and candidates of every query.
 
     ``queries`` has (query_id, text), ``chunks`` (chunk_id, document_id, page,
     section_path, text, token_count, sentences), ``sentences`` (sentence_id,
     chunk_id, document_id, page, section_path, text); what has no column
-    ``embedding`` is embedded by ``make``.
+    ``embedding`` is embedded by ``make``; ``analyse`` splits texts and questions
+    for the keywords, ``keywords.english_terms`` does so for English.
 
     ``chunks``: the chunk hits, and the sentences within them as candidates,
     repeats kept.  ``sentences``: the sentence hits as candidates and no
@@ -68,9 +70,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sentences: DataFrame, mode:
     known = R.filled(chunks).select(*(c for c in CONTEXT if c in chunks.columns))
     chunk_hits = sentence_hits = None
     if mode != "sentences":
-        chunk_hits = kept(search(asked, embed_column(chunks, make), "chunk_id", k_chunks), "chunk_hits")
+        chunk_hits = kept(search(asked, embed_column(chunks, make), "chunk_id", k_chunks, analyse=analyse), "chunk_hits")
     if mode != "chunks":
-        found = search(asked, embed_column(sentences, make), "sentence_id", k_sentences)
+        found = search(asked, embed_column(sentences, make), "sentence_id", k_sentences, analyse=analyse)
         sentence_hits = kept(found.join(R.filled(sentences).select("sentence_id", "chunk_id", "document_id", "page", "section_path", "text"), "sentence_id").select(*CANDIDATES), "sentence_hits")
     if mode == "dual":
         places = R.dual_context(chunk_hits, sentence_hits).join(chunk_hits.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")

@@ -24,7 +24,7 @@ def test_from_layouts_to_an_evaluation(spark, tmp_path, capsys):
     assert spark.read.json(str(folder / "items")).count() == 2 * spark.read.json(gated).count()
     assert "inline_prompted" in spark.read.json(str(folder / "manifest")).first().strategies
     (tmp_path / "q.jsonl").write_text(json.dumps({"query_id": "q", "text": "green pears"}))
-    cli.main(["compare", p("q.jsonl"), "--index", p("index"), "--k", "1"])
+    cli.main(["compare", p("q.jsonl"), "--index", p("index"), "--k", "1", "--terms", "english"])
     (tmp_path / "bench.jsonl").write_text(json.dumps({"query_id": "q", "query": "why", "quotes": [{"idx": 1, "text": "So it is."}], "answers": [{"answer": "x", "attributable": [1]}]}))
     cli.main(["benchmark", p("bench.jsonl"), "--out", p("bench"), "--model", quoting])
     cli.main(["review", gated, "--reviews", p("none"), "--include-failing", "--n", "1"])
