@@ -102,6 +102,45 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, apart: bool =
     return found
 
 
+def similarity_extent(queries: DataFrame, vectors: DataFrame, apart: bool = False, size: int = BLOCK) -> DataFrame:
+    """(n, low, high, mean): one row on the cosines, rounded to 6 digits, of all ``queries`` (query_id, embedding) with all ``vectors`` (doc_id, embedding).
+
+    Blocks of about ``size`` queries go to the tasks, which hand on one row for
+    each batch of vectors; no pair is ever a row.  With ``apart`` a query and the vector of its own id are no pair.
+    Vectors of another length than the queries' and null ones are left out;
+    a zero vector has 0 with all; without a pair ``n`` is 0 and the rest null.
+    """
+    named, parts = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), None
+    for block in in_blocks(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "query_id", size):
+        rows = block.collect()  # a block is bounded by ``size``
+        if not rows:
+            continue
+        ids, q = np.array([row["query_id"] for row in rows], object), np.array([row["embedding"] for row in rows], np.float64).reshape(len(rows), -1)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        found = named.mapInArrow(_extent(ids, q / np.where(norm < 1e-12, 1, norm), apart), "n long, low double, high double, total double")
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        parts = queries.sparkSession.createDataFrame([], "n long, low double, high double, total double")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
+def _extent(ids: np.ndarray, q: np.ndarray, apart: bool):
+    """A pass over batches of vectors that sums up their cosines with the queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), q.shape[1]), False))
+            v = np.asarray(full.column("embedding").flatten(), np.float64).reshape(-1, q.shape[1])
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            scores = np.round(q @ (v / np.where(norm < 1e-12, 1, norm)).T, 6) + 0.0
+            if apart:
+                scores = scores[ids[:, None] != np.array(full.column("doc_id").to_pylist(), object)[None, :]]
+            if scores.size:
+                yield pa.RecordBatch.from_pydict({"n": [scores.size], "low": [float(scores.min())], "high": [float(scores.max())], "total": [float(scores.sum())]})
+
+    return search
+
+
 def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = keywords.plain_terms) -> DataFrame:
     """(query_id, doc_id, score, rank): keyword and vector rankings of the same ``docs`` fused.
 

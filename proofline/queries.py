@@ -62,6 +62,13 @@ def similarity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
+def similarity_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range and mean of all similarities, not of the best ones only."""
+    queries, found = _queries_and_candidates(spark, sf_dir)
+    extent = retrieval.similarity_extent(queries.select(F.col("vec_id").alias("query_id"), "embedding"), found.select(F.col("vec_id").alias("doc_id"), "embedding"), apart=True)
+    return extent.select("n", "low", "high", F.round("mean", 6).alias("mean"))
+
+
 def retrieval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, corpus = _queries_and_candidates(spark, sf_dir)
     queries = q.select(F.col("vec_id").alias("query_id"), "embedding")
@@ -451,7 +458,7 @@ def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        align_topk_tau, parameter_sweep, similarity_range, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
+        align_topk_tau, parameter_sweep, similarity_range, similarity_extent, retrieval_recall_at_k, vector_topk, prf_by_order, macro_by_strategy, slice_by_difficulty, reviewer_slice, review_confidences, review_flags,
         faithfulness_sentence, faithfulness_report, faithfulness_micro, stability, citation_frequency, stable_anchors, pairwise_jaccard, per_position_jaccard, stability_histogram,
         stability_describe, worst_item, markdown_pivot, sentence_split, sentence_offsets, breadcrumbs, chunk_pack, unique_sentences, adjacent_overlap, corpus_stats, span_difficulty, span_sample,
         bm25_topk, bm25_stored_index, bm25_english, table_upsert, greedy_sample, keyword_rescored, vector_topk_cells, embedding_failures, hybrid_rrf, dual_context, layout_agreement, inline_parse, inline_report, source_lookup_priority, span_text, union_candidates, union_merge, judge_array_parse, gate_counts,
@@ -528,6 +535,7 @@ FROM params CROSS JOIN ks LEFT JOIN c USING (tau, top_k)""",
 SELECT q.vec_id AS query_id, count(g.doc_id) AS n_gold, CASE WHEN count(g.doc_id) = 0 THEN 1.0 ELSE round(count(t.doc_id) / count(g.doc_id), 6) END::DOUBLE AS recall
 FROM v q LEFT JOIN gold g ON g.query_id = q.vec_id LEFT JOIN top t ON t.query_id = g.query_id AND t.doc_id = g.doc_id WHERE q.vec_id % {QUERY_STEP} = 0 GROUP BY 1""",
     "similarity_range": f"{_COSINES} SELECT min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM top",
+    "similarity_extent": f"{_COSINES} SELECT count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM sims",
     "vector_topk": f"{_COSINES} SELECT query_id, doc_id, score, rank FROM top",
     "prf_by_order": f'{_PRF} SELECT l_orderkey, n_pred, n_gold, round(pr, 6)::DOUBLE AS "precision", round(re, 6)::DOUBLE AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6)::DOUBLE AS f1 FROM s',
     "macro_by_strategy": f"SELECT strategy, count(*) AS n, {_MEANS}, round(avg(stability), 6) AS stability FROM ({_ITEM_EVAL}) GROUP BY 1",

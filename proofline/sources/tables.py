@@ -57,7 +57,7 @@ def write_table(rows: DataFrame, path: str, key: str, recreate: bool = False, ro
     or that is null, other columns than the table's, and another number of
     written rows than there should be raise, and the table stays as it was.
     Columns may have any names but ``__bucket``.  One writer at a time: of two
-    at once one raises.  Folders of earlier commits are left to readers.
+    at once the later to commit raises, or both do.  Folders of earlier commits are left to readers.
     """
     spark = rows.sparkSession
     n, distinct = rows.select(key).agg(F.count("*"), F.countDistinct(key)).first()

@@ -1,4 +1,4 @@
-"""Tables with a key, the walk over chunks, timed searches and English terms."""
+"""Tables with a key, the walk over chunks, timed searches, all similarities and English terms."""
 
 import random
 from collections import Counter
@@ -113,3 +113,15 @@ def test_english_terms(spark):
     questions = spark.createDataFrame([(1, "the dog's body"), (2, "the of")], "query_id long, text string")
     found = retrieval.bm25(questions, docs, 5, keywords.english_terms).collect()
     assert [(r.query_id, r.doc_id) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (1, 2)]
+
+
+def test_all_similarities(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0])], "doc_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0]), (9, None)], "query_id long, embedding array<double>")
+    every = [1, 0, -1, 0, 0.6, 0.8, -0.6, 0]
+    for size in (1, 512):
+        found = retrieval.similarity_extent(queries, vectors, size=size).first()
+        assert (found.n, found.low, found.high, round(found["mean"], 9)) == (8, -1.0, 1.0, round(sum(every) / 8, 9))
+    found = retrieval.similarity_extent(queries, vectors, apart=True).first()
+    assert (found.n, found.low, found.high) == (6, -1.0, 0.6)
+    assert tuple(retrieval.similarity_extent(queries.where("false"), vectors).first()) == (0, None, None, None) == tuple(retrieval.similarity_extent(queries, vectors.where("false")).first())
