@@ -147,9 +147,10 @@ def cell_search(queries: DataFrame, index: CellIndex, k: int, apart: bool = Fals
                 yield pa.RecordBatch.from_pydict({"query_id": [h[0] for h in hits], "doc_id": [h[1] for h in hits], "score": [h[2] for h in hits]})
 
         read = index.vectors.where(F.col("cell").isin(list(by_cell)))
-        best = top_k(read.mapInArrow(near, schema), k)
+        best = read.mapInArrow(near, schema)
         found = best if found is None else found.unionByName(best)
-    return found if found is not None else queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    # One ranking over all blocks: a task holds one sort, not one for each block.
+    return top_k(found, k) if found is not None else queries.sparkSession.createDataFrame([], f"{schema}, rank int")
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:

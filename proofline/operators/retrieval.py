@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.providers import PairScorer, score_pairs
+from ..sources.providers import Embedder, HashingEmbedder, PairScorer, embed_column, score_pairs
 from ..sources.sinks import kept
 from . import keywords
 
@@ -95,11 +95,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, apart: bool =
         q = np.array([row["embedding"] for row in rows], np.float64).reshape(len(rows), -1)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         search = _nearest([row["query_id"] for row in rows], q / np.where(norm < 1e-12, 1, norm), k, apart)
-        best = top_k(named.mapInArrow(search, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), k)
+        best = named.mapInArrow(search, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
         found = best if found is None else found.unionByName(best)
     if found is None:
         return queries.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double, rank int")
-    return found
+    # One ranking over all blocks: a task holds one sort, not one for each block.
+    return top_k(found, k)
 
 
 def similarity_extent(queries: DataFrame, vectors: DataFrame, apart: bool = False, size: int = BLOCK) -> DataFrame:
@@ -141,16 +142,18 @@ def _extent(ids: np.ndarray, q: np.ndarray, apart: bool):
     return search
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = keywords.plain_terms) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = keywords.plain_terms, make: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
     """(query_id, doc_id, score, rank): keyword and vector rankings of the same ``docs`` fused.
 
-    ``queries`` has (query_id, text, embedding), ``docs`` (doc_id, text,
-    embedding).  Both rankings are ``deep`` long, four times ``k`` and 20 at
-    least if nothing is said; ``analyse`` splits texts and questions for the
-    keywords.
+    ``queries`` has (query_id, text, embedding), ``docs`` (doc_id, text) and
+    perhaps embedding; without it ``make`` embeds the texts, on their way to the
+    vector search alone.  Both rankings are ``deep`` long, four times ``k`` and
+    20 at least if nothing is said; ``analyse`` splits texts and questions for
+    the keywords.
     """
     deep = max(4 * k, 20) if deep is None else deep
-    return fuse([bm25(queries, docs, deep, analyse), vector_search(queries, docs, deep)], k)
+    vectors = embed_column(docs.select("doc_id", *(c for c in ("text", "embedding") if c in docs.columns)), make).select("doc_id", "embedding")
+    return fuse([bm25(queries, docs.select("doc_id", "text"), deep, analyse), vector_search(queries, vectors, deep)], k)
 
 
 def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
@@ -227,6 +230,32 @@ def recall_at_k(gold: DataFrame, pool: DataFrame, queries: DataFrame) -> DataFra
     return joined.select("query_id", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce(F.col("n_hit") / F.col("n_gold"), F.lit(1.0)).alias("recall"))
 
 
+def recall_of_class(queries: DataFrame, rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, n_gold, recall): as ``recall_at_k``, where a query's gold are all ``rows`` (sid, label) of its own label but itself.
+
+    ``queries`` has (query_id, label).  Gold is counted by label and met with the
+    pool only, so no pair of a query and a gold id that was not found is ever a
+    row.  An id under several labels counts once.
+    """
+    asked, members = queries.select("query_id", "label").distinct(), rows.select("sid", "label").distinct()
+    itself = F.col("query_id") == F.col("sid")
+    sizes = members.groupBy("label").agg(F.count("*").alias("n"))
+    own = asked.join(members, itself & (asked["label"] == members["label"])).select("query_id", asked["label"]).withColumn("own", F.lit(1))
+    n_gold = asked.join(sizes, "label").join(own, ["query_id", "label"], "left").groupBy("query_id").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("n_gold"))
+    # What several labels of one query count twice: only ids under several labels can be.
+    several = lambda rows, key: rows.where("label is not null").groupBy(key).agg(F.collect_set("label").alias("labels")).where("size(labels) > 1").select(key, F.explode("labels").alias("label"))
+    met_often = several(asked, "query_id").join(several(members, "sid"), "label").where(~itself).groupBy("query_id", "sid").agg((F.count("*") - 1).alias("more"))
+    twice = met_often.groupBy("query_id").agg(F.sum("more").alias("twice"))
+    met = pool.select("query_id", "sid").distinct().where(~itself).join(asked, "query_id").join(members, ["sid", "label"])
+    hits = met.groupBy("query_id").agg(F.countDistinct("sid").alias("n_hit"))
+    joined = queries.select("query_id").distinct()
+    for counted in (n_gold, twice, hits):
+        joined = joined.join(counted, "query_id", "left")
+    none = F.lit(0)
+    joined = joined.select("query_id", (F.coalesce("n_gold", none) - F.coalesce("twice", none)).alias("n_gold"), F.coalesce("n_hit", none).alias("n_hit"))
+    return joined.select("query_id", "n_gold", F.when(F.col("n_gold") > 0, F.col("n_hit") / F.col("n_gold")).otherwise(1.0).alias("recall"))
+
+
 def layout_agreement(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """(query_id, agreement): share of the sentence layout's parent chunks that the chunk layout found too."""
     found = chunks.select("query_id", "chunk_id").distinct().withColumn("hit", F.lit(1))
