@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ NOISE_ROLES = ("pageHeader", "pageFooter", "pageNumber", "footnote")
 _SENTENCE = re.compile(T.SENTENCE)
 #: What is trimmed from sentences.
 _SPACE = " \t\n\x0b\f\r"
+#: So many rows of a batch are taken apart at once.
+_ROWS = 64
 
 
 def sentence_spans(text: str | None) -> list[dict]:
@@ -36,15 +39,33 @@ def sentence_spans(text: str | None) -> list[dict]:
 
 def with_sentences(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with ``sentences``: array<struct<text, char_start, char_end>> of its text; every text is split within its row."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
 
     @F.arrow_udf("array<struct<text: string, char_start: int, char_end: int>>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([sentence_spans(text.as_py()) for text in texts], kind)
+        return _sliced(_split, texts)
 
     return docs.withColumn("sentences", split(column))
 
 
+def _sliced(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """What ``work`` makes of the columns, a few rows at a time: of a batch only Arrow's own memory is held whole."""
+    parts = [work(*(column.slice(at, _ROWS) for column in columns)) for at in range(0, max(1, len(columns[0])), _ROWS)]
+    return pa.concat_arrays(parts)
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    found, starts, ends = [], [], [0]
+    for text in texts.to_pylist():
+        for match in _SENTENCE.finditer(text or ""):
+            raw = match[0]
+            if sentence := raw.strip(_SPACE):
+                found.append(sentence)
+                starts.append(match.start() + len(raw) - len(raw.lstrip(_SPACE)))
+        ends.append(len(found))
+    stops = [start + len(sentence) for start, sentence in zip(starts, found, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["text", "char_start", "char_end"]))
+
+
 def split_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, text, char_start, char_end) of ``docs`` (doc_id, text).
 
@@ -109,8 +130,7 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
 
     @F.arrow_udf("array<struct<first: int, last: int>>")
     def packed(tokens: pa.Array, sections: pa.Array) -> pa.Array:
-        found = [[{"first": a, "last": b} for a, b in pack(t, s, target_tokens, overlap_tokens)] for t, s in zip(tokens.to_pylist(), sections.to_pylist(), strict=True)]
-        return pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+        return _sliced(_packed(target_tokens, overlap_tokens), tokens, sections)
 
     page = F.col("page").cast("int") if "page" in sentences.columns else F.lit(None).cast("int")
     path = F.col("section_path") if "section_path" in sentences.columns else F.array().cast("array<string>")
@@ -131,6 +151,16 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
     return built.withColumn("token_count", tokens(F.col("text")))
 
 
+def _packed(target: int, overlap: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    def lists(tokens: pa.Array, sections: pa.Array) -> pa.Array:
+        found = [pack(t, s, target, overlap) for t, s in zip(tokens.to_pylist(), sections.to_pylist(), strict=True)]
+        firsts, lasts = (pa.array([pair[k] for pairs in found for pair in pairs], pa.int32()) for k in (0, 1))
+        ends = list(accumulate((len(pairs) for pairs in found), initial=0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([firsts, lasts], names=["first", "last"]))
+
+    return lists
+
+
 def chunk_sentences(chunks: DataFrame) -> DataFrame:
     """A row for each sentence in each chunk: (chunk_id, doc_id, chunk_no, sentence_id, sentence_no, text, page, section_path, char_start, char_end)."""
     return chunks.select("chunk_id", "doc_id", "chunk_no", F.explode("sentences").alias("s")).select("chunk_id", "doc_id", "chunk_no", "s.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: So many rows of vectors, and of replies, are handed on at once.
+_HANDED_ROWS, _ASKED_ROWS = 1024, 128
+
+
 class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
@@ -64,6 +69,11 @@ class Roles(NamedTuple):
         return self
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 class HashingEmbedder:
     """Words hashed into a vector of length 1: deterministic, and alike for texts with common words."""
 
@@ -71,10 +81,10 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        rows = np.zeros((len(texts), self.dimensions), np.float64)
-        for row, text in zip(rows, texts, strict=True):
-            for word in (text or "").lower().split():
-                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions] += 1
+        words = [(text or "").lower().split() for text in texts]
+        place = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        bins = np.fromiter((_hash(word) % self.dimensions for w in words for word in w), np.int64, len(place))
+        rows = np.bincount(place * self.dimensions + bins, minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions).astype(np.float64)
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         return (rows / np.where(norms < 1e-12, 1, norms)).tolist()
 
@@ -113,6 +123,14 @@ def _halved(items: list, ask: Callable[[list], list], retries: int = 1) -> list[
     return _halved(items[:half], ask, retries) + _halved(items[half:], ask, retries)
 
 
+def _vectors(found: list) -> pa.Array:
+    """Vectors as a column; those of one length go through one matrix, which is many times faster."""
+    if len({None if vector is None else len(vector) for vector in found} | {None}) == 2 and None not in found:
+        matrix = np.array(found, np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
+    return pa.array(found, pa.list_(pa.float64()))
+
+
 def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "text", batch: int = 64, errors: bool = False) -> DataFrame:
     """``rows`` with ``embedding``; ``make`` builds the model once for each task, which gets ``batch`` texts at a time.
 
@@ -126,13 +144,17 @@ def embed_column(rows: DataFrame, make: Callable[[], Embedder], column: str = "t
     def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for part in batches:
-            for at in range(0, part.num_rows, batch):
-                piece = part.slice(at, batch)
-                found = _halved([x or "" for x in piece.column(column).to_pylist()], model.embed)
-                if not errors and any(error for _, error in found):
-                    raise RuntimeError(next(error for _, error in found if error))
-                vectors = [pa.array([vector for vector, _ in found], pa.list_(pa.float64()))] + [pa.array([error for _, error in found], pa.string())] * errors
-                yield pa.RecordBatch.from_arrays([*piece.columns, *vectors], names=[*piece.schema.names, *added])
+            for start in range(0, part.num_rows, _HANDED_ROWS):
+                piece = part.slice(start, _HANDED_ROWS)
+                vectors, failures = [], []
+                for at in range(0, piece.num_rows, batch):
+                    found = _halved([x or "" for x in piece.column(column).slice(at, batch).to_pylist()], model.embed)
+                    if not errors and any(error for _, error in found):
+                        raise RuntimeError(next(error for _, error in found if error))
+                    vectors.append(_vectors([vector for vector, _ in found]))
+                    failures += [error for _, error in found]
+                more = [pa.concat_arrays(vectors)] + [pa.array(failures, pa.string())] * errors
+                yield pa.RecordBatch.from_arrays([*piece.columns, *more], names=[*piece.schema.names, *added])
 
     added = ["embedding"] + ["embed_error"] * errors
     fields = [T.StructField("embedding", T.ArrayType(T.DoubleType()))] + [T.StructField("embed_error", T.StringType())] * errors
@@ -152,7 +174,7 @@ def complete_column(rows: DataFrame, make: Callable[[], ChatModel], column: str
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for part in batches:
+        for part in (batch.slice(at, _ASKED_ROWS) for batch in batches for at in range(0, batch.num_rows, _ASKED_ROWS)):
             given = zip(part.column(column).to_pylist(), *(part.column(c).to_pylist() for c in options), strict=True)
             found = []
             for prompt, *values in given:
