@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import replies
 from ..functions import text as T
 from ..operators import chunking
 from ..sources.providers import ChatModel, Roles, complete_column
-from ..sources.sinks import kept
+from ..sources.sinks import kept, numbered
 
 DIFFICULTIES = ("easy", "medium", "hard")
 INSTRUCTION = 'Write one question of the given difficulty that the source answers, and the answer. Reply with JSON: {"question": "...", "gold_answer": "...", "rationale": "..."}.'
@@ -44,11 +43,10 @@ def author_items(spans: DataFrame, make: Callable[[], ChatModel], roles: Roles)
     question or answer are failures; they leave a gap in the numbers.
     """
     roles.checked()
-    number = F.row_number().over(Window.orderBy("chunk_id", F.get("sentence_ids", F.lit(0)), F.size("sentence_ids"))) - 1
+    ordered = numbered(spans, "seq", "chunk_id", F.get("sentence_ids", F.lit(0)), F.size("sentence_ids"))
     head = F.concat_ws(", ", F.col("document_id").cast("string"), F.concat(F.lit("p"), F.col("page").cast("string")), T.section_label(F.col("section_path")))
     prompt = F.concat(F.lit(INSTRUCTION), F.lit("\n\nDifficulty: "), "difficulty", F.lit("\nSource ("), head, F.lit("): "), "text")
-    # Numbers are given to the sampled spans only, as many as the quotas allow.
-    asked = kept(complete_column(spans.withColumns({"seq": number, "prompt": prompt}), make), "authored")
+    asked = kept(complete_column(ordered.withColumn("prompt", prompt), make), "authored")
     read = asked.withColumn("a", replies.author_reply("reply")).withColumn("failure", F.coalesce("error", F.col("a.error")))
     written = chunking.with_sentences(read.where("failure is null").withColumn("gold_answer", F.col("a.gold_answer")), "gold_answer")
     items = written.select(

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def append_reviews(reviews: DataFrame, path: str) -> None:
@@ -40,6 +41,21 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows`` with ``name``: their place, from 0, in ``order`` over the whole table; written as ``kept``.
+
+    Rows are dealt by range of the order; each task numbers its own, and the
+    tasks' sizes say where each begins, so no task sees all.
+    """
+    dealt = kept(rows, name).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    placed, task = kept(dealt, name), F.shiftright(name, 33)  # a task's number stands above its rows' places
+    sizes = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select("task", before.alias("before"))
+    at = placed.withColumn("task", task).join(F.broadcast(begins), "task")
+    return at.withColumn(name, F.col("before") + F.col(name) - F.shiftleft("task", 33)).select(*rows.columns, name)
+
+
 def run_id() -> str:
     """The time, in UTC, as a name."""
     return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
