@@ -19,6 +19,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,8 +37,8 @@ DOCS_PER_SHARD, FIRST_SHARDS = 4096, 16
 _SENT_QUERIES = 4000
 #: Scores are rounded to 6 digits; what may still round up to a bound is not left out.
 _SLACK = 1e-5
-#: So many distinct question terms are broadcast.
-_SENT_TERMS = 200_000
+#: So many distinct question terms are broadcast; rows whose terms are counted at once.
+_SENT_TERMS, _COUNTED_ROWS = 200_000, 512
 _TERM = r"[\p{L}\p{N}]+"
 _WORD = "[\\p{L}\\p{N}]+(?:['\u2019][\\p{L}\\p{N}]+)*"
 #: The English stop words of the public search library whose analyser the index names.
@@ -89,26 +91,79 @@ class KeywordIndex(NamedTuple):
 def build_index(docs: DataFrame, only: DataFrame | None = None, analyse: Callable[[Column], Column] = plain_terms, docs_per_shard: int = DOCS_PER_SHARD) -> KeywordIndex:
     """The index of ``docs`` (doc_id, text): of all terms, or of ``only`` these (term).
 
-    Texts are split once.  A null text has no terms but counts as a document; a
-    document without an id counts but is not found.
+    Texts are split once, and their terms counted within the row; what is
+    shuffled is a row for each document, dealt to its shard, which one task turns
+    into lists.  A null text has no terms but counts as a document; a document
+    without an id counts but is not found.
     """
     words = docs.select("doc_id", F.coalesce(analyse(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    # A row without a term stands for the document itself.
-    found = words.select("doc_id", F.size("words").alias("size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))
+    sent, many = None, False
     if only is not None:
-        asked = only.select("term", F.lit(True).alias("asked"))
-        few = asked.limit(_SENT_TERMS + 1).count() <= _SENT_TERMS
-        found = found.join(F.broadcast(asked) if few else asked, "term", "left").where("asked or term is null").drop("asked")
-    counts = kept(found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf")), "term_counts")
-    totals = counts.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("size") * F.col("tf")) / F.sum("tf"), F.lit(0.0)).alias("mean_size"))
+        asked = [row["term"] for row in only.select("term").distinct().limit(_SENT_TERMS + 1).collect()]  # bounded by ``_SENT_TERMS``
+        many = len(asked) > _SENT_TERMS
+        sent = None if many else docs.sparkSession.sparkContext.broadcast(frozenset(asked))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    counts = kept(words.mapInArrow(_counted(sent), f"doc_id {id_type}, size int, terms array<string>, tfs array<int>"), "term_counts")
+    totals = counts.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("size") / F.count("*"), F.lit(0.0)).alias("mean_size"))
     totals = kept(totals.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / docs_per_shard)).cast("int")), "totals")
     known = totals.first()
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(float(known["mean_size"] or 1))))
-    postings = counts.where("term is not null and doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(known["shards"])).cast("int").alias("shard"), "term", "doc_id", part.alias("part"))
-    lists = kept(postings.groupBy("shard", "term").agg(F.count("*").alias("n"), F.max("part").alias("most"), F.collect_list(F.struct("doc_id", "part")).alias("postings")), "lists")
+    rows = counts.where("doc_id is not null and size(terms) > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(known["shards"])).cast("int"))
+    lists = rows.groupBy("shard").applyInArrow(_listed(float(known["mean_size"] or 1)), f"shard int, term string, n long, most double, postings array<struct<doc_id: {id_type}, part: double>>")
+    if many:
+        lists = lists.join(only.select("term"), "term", "left_semi").select(*lists.columns)
+    lists = kept(lists, "lists")
     return KeywordIndex(lists, kept(lists.groupBy("term").agg(F.sum("n").alias("df")), "terms"), totals)
 
 
+def _counted(sent: Broadcast | None):
+    """A pass over (doc_id, words) that counts each document's terms within its row, of those that are ``sent``, or of all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _COUNTED_ROWS):
+                piece = batch.slice(at, _COUNTED_ROWS)
+                lists = piece.column("words")
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+                coded = lists.flatten().dictionary_encode()
+                row, code = np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy(zero_copy_only=False)
+                if sent is not None:
+                    use = np.array([word in sent.value for word in coded.dictionary.to_pylist()], bool)[code]
+                    row, code = row[use], code[use]
+                pair, tf = np.unique(row * max(1, len(coded.dictionary)) + code, return_counts=True)
+                row, code = np.divmod(pair, max(1, len(coded.dictionary)))
+                ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+                terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(code, pa.int64())))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["doc_id", "size", "terms", "tfs"])
+
+    return count
+
+
+def _listed(mean_size: float):
+    """From a shard's documents (shard, doc_id, size, terms, tfs) to its lists; rows of one id and size are one document."""
+
+    def lists(table: pa.Table) -> pa.Table:
+        ids = pa.concat_arrays(table.column("doc_id").chunks).dictionary_encode()
+        terms, tfs = (pa.concat_arrays(table.column(c).chunks) for c in ("terms", "tfs"))
+        row = np.repeat(np.arange(len(ids)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        coded = terms.flatten().dictionary_encode()
+        doc, size = ids.indices.to_numpy(zero_copy_only=False)[row], table.column("size").to_numpy()[row]
+        code, tf = coded.indices.to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((size, doc, code))
+        code, doc, size, tf = code[order], doc[order], size[order], tf[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(doc) != 0) | (np.diff(size) != 0)]))
+        code, doc, size, tf = code[first], doc[first], size[first], np.add.reduceat(tf, first)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_size))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(code) != 0]))
+        ends = np.append(start, len(code))
+        postings = pa.StructArray.from_arrays([ids.dictionary.take(pa.array(doc, pa.int64())), pa.array(part)], names=["doc_id", "part"])
+        return pa.table({
+            "shard": pa.array(np.full(len(start), table.column("shard")[0].as_py()), pa.int32()), "term": coded.dictionary.take(pa.array(code[start], pa.int64())), "n": pa.array(np.diff(ends), pa.int64()),
+            "most": pa.array(np.maximum.reduceat(part, start)), "postings": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings),
+        })
+
+    return lists
+
+
 def asked_terms(queries: DataFrame, analyse: Callable[[Column], Column] = plain_terms) -> DataFrame:
     """(query_id, term): the distinct terms of ``queries`` (query_id, text)."""
     return queries.select("query_id", F.explode(analyse(F.col("text"))).alias("term")).distinct()
@@ -178,7 +233,12 @@ def search_index(queries: DataFrame, index: KeywordIndex, k: int, analyse: Calla
         def shard(table: pa.Table) -> pa.Table:
             postings = table.column("postings").combine_chunks()
             every = postings.flatten()
-            ids, place = np.unique(np.array(every.field("doc_id").to_pylist(), object), return_inverse=True)
+            coded = every.field("doc_id").dictionary_encode()
+            names = np.array(coded.dictionary.to_pylist(), object)
+            order = np.argsort(names, kind="stable")
+            turn = np.empty(len(order), np.int64)
+            turn[order] = np.arange(len(order))
+            ids, place = names[order], turn[coded.indices.to_numpy(zero_copy_only=False)]
             parts, ends = every.field("part").to_numpy(), np.cumsum([0, *postings.value_lengths().to_pylist()])
             known = {term: (place[a:b], parts[a:b], most) for term, most, a, b in zip(table.column("term").to_pylist(), table.column("most").to_pylist(), ends[:-1], ends[1:], strict=True)}
             found = list(_best_of_shard(questions.value, known, ids, k))

@@ -22,10 +22,14 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.col("doc_id").cast("string").alias("document_id"), "page", "section_path", "text", "token_count", F.transform("sentences", sentence).alias("sentences"))
 
 
-def sentence_rows(chunks: DataFrame) -> DataFrame:
-    """(sentence_id, chunk_id, document_id, page, section_path, text): each sentence once, in its first chunk; page and section fall back to the chunk's."""
+def sentence_rows(chunks: DataFrame, overlap: bool = True) -> DataFrame:
+    """(sentence_id, chunk_id, document_id, page, section_path, text): each sentence once, in its first chunk; page and section fall back to the chunk's.
+
+    Without ``overlap`` no sentence is in two chunks, and none is shuffled to find out.
+    """
     rows = chunks.select("chunk_id", F.col("page").alias("chunk_page"), F.col("section_path").alias("chunk_path"), F.explode("sentences").alias("s"))
-    first = rows.groupBy("s.sentence_id").agg(F.min_by(F.struct("chunk_id", "chunk_page", "chunk_path", "s"), "chunk_id").alias("r"))
+    r = F.struct("chunk_id", "chunk_page", "chunk_path", "s")
+    first = rows.groupBy("s.sentence_id").agg(F.min_by(r, "chunk_id").alias("r")) if overlap else rows.select("s.sentence_id", r.alias("r"))
     page = F.when(F.coalesce("r.s.page", F.lit(0)) != 0, F.col("r.s.page")).otherwise(F.coalesce("r.chunk_page", F.lit(0)))
     path = F.when(F.size(F.coalesce("r.s.section_path", F.array().cast("array<string>"))) > 0, F.col("r.s.section_path")).otherwise(F.col("r.chunk_path"))
     return first.select("sentence_id", "r.chunk_id", F.col("r.s.document_id").alias("document_id"), page.alias("page"), path.alias("section_path"), F.col("r.s.text").alias("text"))

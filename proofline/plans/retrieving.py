@@ -39,9 +39,10 @@ class Retrieval:
     stats: DataFrame
 
 
-def search(queries: DataFrame, rows: DataFrame, key: str, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = plain_terms) -> DataFrame:
-    """The ``k`` best ``rows`` (``key``, text, embedding, ...) of each query by keywords and vectors fused: (query_id, ``key``, score, rank)."""
-    return R.hybrid_search(queries, rows.select(F.col(key).alias("doc_id"), "text", "embedding"), k, deep, analyse).withColumnRenamed("doc_id", key)
+def search(queries: DataFrame, rows: DataFrame, key: str, k: int, deep: int | None = None, analyse: Callable[[Column], Column] = plain_terms, make: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
+    """The ``k`` best ``rows`` (``key``, text and perhaps embedding, else by ``make``) of each query by keywords and vectors fused: (query_id, ``key``, score, rank)."""
+    found = R.hybrid_search(queries, rows.select(F.col(key).alias("doc_id"), *(c for c in ("text", "embedding") if c in rows.columns)), k, deep, analyse, make)
+    return found.withColumnRenamed("doc_id", key)
 
 
 def _counted(rows: DataFrame, name: str, test: str = "true") -> DataFrame:
@@ -70,12 +71,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sentences: DataFrame, mode:
     known = R.filled(chunks).select(*(c for c in CONTEXT if c in chunks.columns))
     chunk_hits = sentence_hits = None
     if mode != "sentences":
-        chunk_hits = kept(search(asked, embed_column(chunks, make), "chunk_id", k_chunks, analyse=analyse), "chunk_hits")
+        chunk_hits = kept(search(asked, chunks, "chunk_id", k_chunks, analyse=analyse, make=make), "chunk_hits")
     if mode != "chunks":
-        found = search(asked, embed_column(sentences, make), "sentence_id", k_sentences, analyse=analyse)
+        # Hits are written first, so that their size is known and the whole table is not shuffled to meet them.
+        found = kept(search(asked, sentences, "sentence_id", k_sentences, analyse=analyse, make=make), "found")
         sentence_hits = kept(found.join(R.filled(sentences).select("sentence_id", "chunk_id", "document_id", "page", "section_path", "text"), "sentence_id").select(*CANDIDATES), "sentence_hits")
     if mode == "dual":
         places = R.dual_context(chunk_hits, sentence_hits).join(chunk_hits.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+        places = kept(places, "places")
         # Missing parents leave no gap between the places.
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
         context = places.join(known, "chunk_id").withColumn("place", place).select(*CONTEXT)
