@@ -96,8 +96,18 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def first_of(*columns: Column) -> Column:
-    """The first value that is neither null, empty nor 0, as text."""
-    return F.coalesce(*(F.nullif(F.nullif(c, F.lit("")), F.lit("0")) for c in columns))
+    """The first value that is neither null, empty nor 0, as text; each column is worked out once."""
+    return F.get(F.filter(F.array(*columns), lambda c: (c != "") & (c != "0")), F.lit(0))
+
+
+def _first_text(*columns: Column) -> Column:
+    """The first value that is neither null nor empty; each column is worked out once."""
+    return F.get(F.filter(F.array(*columns), lambda c: c != ""), F.lit(0))
+
+
+def _worked_out(lines: DataFrame, carry: Sequence[str], **columns: Column) -> DataFrame:
+    """``lines`` with ``carry`` and ``columns``: conditions on these find them worked out, while a select's would be read out of the JSON again for each mention."""
+    return lines.select(*carry, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def _json(line: Column, *paths: str) -> list[Column]:
@@ -111,6 +121,12 @@ def _ids(text: Column) -> Column:
     return F.filter(F.transform(entries, one), lambda x: x.isNotNull())
 
 
+def _passages(raw: Column, ids: Sequence[str], texts: Sequence[str]) -> Column:
+    """array<struct<passage_id, text>> of those entries of ``raw`` that have a text; one without an id has its place among them."""
+    read = F.transform(raw, lambda x: F.struct(first_of(*_json(x, *ids)).alias("id"), _first_text(*_json(x, *texts)).alias("text")))
+    return F.transform(F.filter(read, lambda p: p["text"].isNotNull()), lambda p, i: F.struct(F.coalesce(p["id"], i.cast("string")).alias("passage_id"), p["text"].alias("text")))
+
+
 def read_hagrid(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(item_id, question, answer, passages, gold) of quote-attributed answers, perhaps the first ``limit`` items of the files; see ``hagrid_items``."""
     return first_lines(hagrid_items(ordered_lines(spark, path), IN_ORDER), limit)
@@ -126,16 +142,14 @@ def hagrid_items(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """
     v = F.col("value")
     raw = F.from_json(F.coalesce(*_json(v, "$.quotes", "$.passages")), "array<string>")
-    text = lambda x: F.coalesce(*(F.nullif(c, F.lit("")) for c in _json(x, "$.text", "$.quote")))
-    full = F.filter(raw, lambda x: text(x).isNotNull())
-    passages = F.transform(full, lambda x, i: F.struct(F.coalesce(first_of(*_json(x, "$.idx", "$.id", "$.quote_id")), i.cast("string")).alias("passage_id"), text(x).alias("text")))
+    passages = _passages(raw, ("$.idx", "$.id", "$.quote_id"), ("$.text", "$.quote"))
     answers = F.coalesce(F.from_json(F.get_json_object(v, "$.answers"), "array<string>"), F.array().cast("array<string>"))
     own = lambda a: F.flatten(F.array(*(_ids(c) for c in _json(a, "$.attributable", "$.quotes_used", "$.supporting_quotes"))))
     sentences = lambda a: F.coalesce(F.from_json(F.get_json_object(a, "$.sentences"), "array<string>"), F.array().cast("array<string>"))
     inner = lambda a: F.flatten(F.transform(sentences(a), lambda s: F.flatten(F.array(*(_ids(c) for c in _json(s, "$.attributable_quotes", "$.supporting_quotes"))))))
     gold = F.array_distinct(F.flatten(F.transform(answers, lambda a: F.concat(own(a), inner(a)))))
     said = F.get(F.filter(F.transform(answers, lambda a: F.coalesce(*_json(a, "$.answer", "$.text"))), lambda t: F.trim(t) != ""), F.lit(0))
-    items = lines.select(*carry, F.coalesce(*_json(v, "$.query_id", "$.id", "$.qid")).alias("item_id"), first_of(*_json(v, "$.query", "$.question")).alias("question"), said.alias("answer"), passages.alias("passages"), gold.alias("gold"))
+    items = _worked_out(lines, carry, item_id=F.coalesce(*_json(v, "$.query_id", "$.id", "$.qid")), question=first_of(*_json(v, "$.query", "$.question")), answer=said, passages=passages, gold=gold)
     restricted = items.withColumn("gold", F.array_intersect("gold", F.transform("passages", lambda p: p["passage_id"])))
     return restricted.where("question is not null and size(passages) > 0 and size(gold) > 0")
 
@@ -149,10 +163,8 @@ def alce_items(lines: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Items, with the columns ``carry`` of their lines, whose citations are places, from 0, among the documents with a text; places outside are left out, and so are items without gold."""
     v = F.col("value")
     raw = F.from_json(F.get_json_object(v, "$.docs"), "array<string>")
-    text = lambda x: F.coalesce(*(F.nullif(c, F.lit("")) for c in _json(x, "$.text", "$.snippet")))
-    full = F.filter(raw, lambda x: text(x).isNotNull())
-    passages = F.transform(full, lambda x, i: F.struct(F.coalesce(first_of(*_json(x, "$.id", "$.docid")), i.cast("string")).alias("passage_id"), text(x).alias("text")))
+    passages = _passages(raw, ("$.id", "$.docid"), ("$.text", "$.snippet"))
     places = F.from_json(F.coalesce(*_json(v, "$.citations", "$.gold_citations")), "array<int>")
-    items = lines.select(*carry, F.coalesce(*_json(v, "$.id", "$.question_id")).alias("item_id"), first_of(*_json(v, "$.question", "$.query")).alias("question"), F.get_json_object(v, "$.answer").alias("answer"), passages.alias("passages"), places.alias("places"))
+    items = _worked_out(lines, carry, item_id=F.coalesce(*_json(v, "$.id", "$.question_id")), question=first_of(*_json(v, "$.question", "$.query")), answer=F.get_json_object(v, "$.answer"), passages=passages, places=places)
     gold = F.array_distinct(F.transform(F.filter("places", lambda i: (i >= 0) & (i < F.size("passages"))), lambda i: F.get("passages", i)["passage_id"]))
     return items.withColumn("gold", F.coalesce(gold, F.array().cast("array<string>"))).drop("places").where("question is not null and size(passages) > 0 and size(gold) > 0")

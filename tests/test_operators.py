@@ -131,6 +131,13 @@ def test_benchmark_lines(spark):
     assert readers.alce_items(alce).first().gold == ["d1", "1"]
 
 
+def test_conditions_on_benchmark_items_do_not_read_their_lines_again(spark):
+    lines = spark.range(3).select(F.format_string('{"id": "%d", "question": "?", "quotes": [], "docs": []}', "id").alias("value"))
+    for items in (readers.hagrid_items(lines), readers.alce_items(lines)):
+        plan = items.select("item_id")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("get_json_object" in row for row in plan.splitlines() if "Filter" in row)
+
+
 def test_runs_and_reviews_come_back(spark, tmp_path):
     rows = spark.createDataFrame([("q", "r", "other", "low", ["x"], "n1", "2024-01-01"), ("q", "r", "other", "high", ["x"], "n2", "2024-01-02")], readers.REVIEW)
     sinks.write_reviews(rows, str(tmp_path / "reviews"))
