@@ -163,7 +163,9 @@ def _packed(target: int, overlap: int) -> Callable[[pa.Array, pa.Array], pa.Arra
 
 def chunk_sentences(chunks: DataFrame) -> DataFrame:
     """A row for each sentence in each chunk: (chunk_id, doc_id, chunk_no, sentence_id, sentence_no, text, page, section_path, char_start, char_end)."""
-    return chunks.select("chunk_id", "doc_id", "chunk_no", F.explode("sentences").alias("s")).select("chunk_id", "doc_id", "chunk_no", "s.*")
+    # Without "outer" a test of the list goes before the rows are taken out of it, which builds the list again for each mention of its parts.
+    rows = chunks.select("chunk_id", "doc_id", "chunk_no", F.posexplode_outer("sentences").alias("pos", "s"))
+    return rows.where("pos is not null").select("chunk_id", "doc_id", "chunk_no", "s.*")
 
 
 def chunk_layout(paragraphs: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40) -> DataFrame:

@@ -49,6 +49,16 @@ def test_chunk_offsets_cut_sentences_out_of_the_chunk(spark):
     assert all(r.overlaps for r in chunking.adjacent_overlap(members).collect())
 
 
+def test_chunks_lists_are_built_once_when_they_are_taken_apart(spark):
+    docs = spark.createDataFrame([(1, "Aa bb. Cc dd.")], "doc_id long, text string")
+    members = chunking.chunk_sentences(chunking.pack_chunks(chunking.split_sentences(docs).withColumn("section", F.lit("x"))))
+    for rows in (members, chunking.unique_sentences(members)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("transform(" in row for row in plan.splitlines() if "Filter" in row)
+    lists = spark.createDataFrame([("a", 1, 0, []), ("b", 1, 1, None), ("c", 1, 2, [("x",), None])], "chunk_id string, doc_id long, chunk_no int, sentences array<struct<sentence_id: string>>")
+    assert [(r.chunk_id, r.sentence_id) for r in chunking.chunk_sentences(lists).collect()] == [("c", "x"), ("c", None)]
+
+
 def test_spans_and_their_sample(spark):
     s = spark.createDataFrame([(1, 0, k, f"s{k}.") for k in range(5)], "doc_id long, chunk_no int, sentence_no int, text string")
     found = chunking.spans(s)
