@@ -52,7 +52,7 @@ def test_chunk_offsets_cut_sentences_out_of_the_chunk(spark):
 def test_chunks_lists_are_built_once_when_they_are_taken_apart(spark):
     docs = spark.createDataFrame([(1, "Aa bb. Cc dd.")], "doc_id long, text string")
     members = chunking.chunk_sentences(chunking.pack_chunks(chunking.split_sentences(docs).withColumn("section", F.lit("x"))))
-    for rows in (members, chunking.unique_sentences(members)):
+    for rows in (members, chunking.unique_sentences(members), chunking.adjacent_overlap(members)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert not any("transform(" in row for row in plan.splitlines() if "Filter" in row)
     lists = spark.createDataFrame([("a", 1, 0, []), ("b", 1, 1, None), ("c", 1, 2, [("x",), None])], "chunk_id string, doc_id long, chunk_no int, sentences array<struct<sentence_id: string>>")
