@@ -53,7 +53,9 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector scaled to length 1, in double; a zero vector as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm < 1e-12, 1.0).otherwise(norm))
+    # The norm goes through a list of one, else it would be summed up again for each element.
+    scaled = F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n < 1e-12, 1.0).otherwise(n)))
+    return F.get(scaled, F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
