@@ -184,6 +184,13 @@ def test_a_text_in_several_parts_counts_once(spark, monkeypatch):
     assert tally == {("a", "one"): [50, 1], ("a", "two"): [50, 1], ("b", "one"): [1, 1]}
 
 
+def test_the_counts_of_a_languages_term_leave_a_chunk_as_one_row():
+    rows = {"lang": ["en", "de", "en", "en", "de"], "source": ["a", "a", "b", "a", "c"], "text": ["two one", "one", "one ONE", "one", "1 2"]}
+    found = [row for part in divergence._gathered(iter([pa.RecordBatch.from_pydict(rows)])) for row in part.to_pylist()]
+    tally = {(r["lang"], r["term"]): sorted((c["source"], c["n"], c["docs"]) for c in r["cells"]) for r in found}
+    assert len(found) == 3 and tally == {("en", "one"): [("a", 2, 2), ("b", 2, 1)], ("en", "two"): [("a", 1, 1)], ("de", "one"): [("a", 1, 1)]}
+
+
 # 13
 def collocations_by_hand(rows, least, longest=3, best=2000):
     counts, totals = Counter(), Counter()
