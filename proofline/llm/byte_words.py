@@ -2,8 +2,8 @@
 
 The texts of a batch stand one after another in one buffer of bytes.  A lookup
 table says of every byte whether it belongs to a word; where that changes, words
-begin and end.  Equal slices are grouped by a 64-bit hash and then compared byte
-by byte, so a word is an exact number and no string is made of its repeats.
+begin and end.  Arrow's dictionary gives equal slices one number, so a word is an
+exact number, no string is made of its repeats and each value is hashed once.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ import xxhash
 
 #: Bytes of text that are looked at together.
 CHUNK_BYTES = 1 << 22
-#: Bytes that are compared at once.
-_COMPARED = 1 << 20
 
 #: ASCII capitals to small letters, every other byte to itself.
 SMALL = np.arange(256, dtype=np.uint8)
@@ -73,35 +71,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, most: int
         text = last
 
 
-def group_slices(raw: bytes, start: np.ndarray, end: np.ndarray, hashed: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(number of each slice's value, the distinct values, their hashes): slices of one hash are compared byte by byte with its first one."""
-    if not len(start):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.uint64)
-    hashes = np.fromiter((hashed(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
-    distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-    size = end - start
-    other = size != size[first][code]
-    data, totals = np.frombuffer(raw, np.uint8), np.cumsum(size)
-    at = 0
-    while at < len(start):
-        upto = max(at + 1, int(np.searchsorted(totals, totals[at] + _COMPARED)))
-        own, n = start[at:upto], size[at:upto]
-        n = np.where(other[at:upto], 0, n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        unlike = data[np.repeat(own, n) + within] != data[np.repeat(start[first][code[at:upto]], n) + within]
-        other[at + np.unique(np.repeat(np.arange(len(n)), n)[unlike])] = True
-        at = upto
-    values = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    if other.any():  # two values with one hash: the later ones get numbers of their own
-        places = {}
-        for k in np.flatnonzero(other).tolist():
-            value = raw[start[k] : end[k]]
-            if value not in places:
-                places[value] = len(values)
-                values.append(value)
-                distinct = np.append(distinct, hashes[k])
-            code[k] = places[value]
-    return code, values, distinct
+def group_slices(data: np.ndarray, size: np.ndarray, hashed: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each slice's value, the distinct values, their hashes) of slices of such sizes, one right behind the other."""
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    _, ends, raw = found.dictionary.buffers()
+    ends, raw = np.frombuffer(ends, np.int64)[: len(found.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+    values = [raw[a:b] for a, b in zip(ends, ends[1:])]
+    return found.indices.to_numpy().astype(np.int64), values, np.fromiter(map(hashed, values), np.uint64, len(values))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, **how) -> Words:
@@ -114,5 +91,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, **how) ->
     begin[seams] = inside[seams]
     last[seams - 1] = inside[seams - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    code, distinct, hashes = group_slices(data.tobytes(), start, end, **how)
-    return Words(np.searchsorted(offsets, start, "right") - 1, code, start, end, distinct, hashes)
+    code, distinct, hashes = group_slices(data[inside], end - start, **how)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return Words(text, code, start, end, distinct, hashes)

@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_words import buffer_of, chunks, table_of, words_of
+from .byte_words import Words, buffer_of, chunks, table_of, words_of
 from .common import checkpointed
 
 #: Piece separators: . , ; : ! ? and line feed to carriage return.
@@ -30,8 +31,10 @@ _WORD_BYTES = table_of(lambda byte: byte not in b" \t") & ~_ENDS
 _BYTES_PER_BUCKET, _LEAST_BITS, _MOST_BITS = 16, 20, 27
 #: Bytes of text that are looked at together: several arrays hold a number for each word of them.
 _CHUNK_BYTES = 1 << 20
-#: Bucket counts that a task gathers before it hands them on.
-_HELD_BUCKETS = 1_000_000
+#: Bytes of a batch that are copied at once, about: a language's texts among them stand together.
+_COPIED_BYTES = 1 << 23
+#: Occurrences by bucket, and bytes of counted phrases, that a task gathers before it hands them on.
+_HELD_BUCKETS, _HELD_BYTES = 1_000_000, 1 << 22
 #: Rows of the last ranking that one task sorts, about.
 _ROWS_PER_RANKING = 50_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -48,12 +51,18 @@ def _lang_hash(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
 
 
-def phrase_hash(lang: str, words: list[bytes]) -> int:
-    """The hash that passes give the phrase."""
-    found = np.array([_lang_hash(lang)])
-    for word in words:
-        found = _mixed(found, np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
-    return int(found[0])
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """The hashes that passes give the phrases; each word of a batch is hashed once."""
+    names = langs.dictionary_encode()
+    found = np.array([_lang_hash(lang) for lang in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+    data, offsets = buffer_of(phrases)
+    words = words_of(data, offsets, _WORD_BYTES)
+    after, n_words = words.hashes[words.code], np.bincount(words.text, minlength=len(phrases))
+    first = np.cumsum(n_words) - n_words
+    for k in range(max(n_words, default=0)):
+        on = np.flatnonzero(n_words > k)
+        found[on] = _mixed(found[on], after[first[on] + k])
+    return found
 
 
 class Bits:
@@ -80,8 +89,8 @@ def _frequent_bits(found: DataFrame, bits: int) -> Bits:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [phrase_hash(lang, phrase.encode().split(b" ")) & (2**bits - 1) for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64())], ["bucket"])
+            hashes = phrase_hashes(*batch.columns) & np.uint64(2**bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64))], ["bucket"])
 
     return _bitmap(found.select("lang", "phrase").mapInArrow(hashed, "bucket long"), bits)
 
@@ -90,29 +99,51 @@ class _Buckets:
     """Occurrences by bucket of a task, handed on now and then."""
 
     def __init__(self, bits: int):
-        self._mask, self._held, self._size = np.uint64(2**bits - 1), [], 0
+        self._mask, self._type, self._held, self._size = np.uint64(2**bits - 1), np.uint32 if bits <= 32 else np.uint64, [], 0
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self._held.append(np.unique(hashes & self._mask, return_counts=True))
-        self._size += len(self._held[-1][0])
+        self._held.append((hashes & self._mask).astype(self._type))
+        self._size += len(hashes)
         if self._size > _HELD_BUCKETS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        held = np.concatenate([np.zeros(0, self._type), *self._held])
+        self._held, self._size = [], 0
+        held.sort()
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])[: len(held)])
+        bucket, n = held[first], np.diff(np.append(first, len(held)))
+        for k in range(0, len(bucket), 50_000):
+            part = pa.array(bucket[k : k + 50_000].astype(np.int64))
+            yield _rows(pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.string()), part, n[k : k + 50_000])
+
+
+class _Phrases:
+    """Exact counts of a task's phrases, handed on now and then; null is all words of a language."""
+
+    def __init__(self):
+        self._held, self._size = [], 0
+
+    def add(self, lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self._held.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases, pa.array(n, pa.int64())], ["lang", "phrase", "n"]))
+        self._size += self._held[-1].nbytes
+        if self._size > _HELD_BYTES:
             self._merge()
-            if self._size > _HELD_BUCKETS // 2:
+            if self._size > _HELD_BYTES // 2:
                 yield from self.rest()
 
     def _merge(self) -> None:
         if self._held:
-            bucket, at = np.unique(np.concatenate([b for b, _ in self._held]), return_inverse=True)
-            n = np.zeros(len(bucket), np.int64)
-            np.add.at(n, at, np.concatenate([n for _, n in self._held]))
-            self._held, self._size = [(bucket, n)], len(bucket)
+            summed = pa.Table.from_batches(self._held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            self._held = summed.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches()
+            self._size = summed.nbytes
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        for bucket, n in self._held:
-            for k in range(0, len(bucket), 50_000):
-                part = pa.array(bucket[k : k + 50_000].astype(np.int64))
-                yield _rows(pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.string()), part, n[k : k + 50_000])
+        for batch in self._held:
+            for k in range(0, len(batch), 50_000):
+                lang, phrase, n = batch.slice(k, 50_000).columns
+                yield _rows(lang, phrase, pa.nulls(len(n), pa.int64()), n)
         self._held, self._size = [], 0
 
 
@@ -123,6 +154,26 @@ def _rows(lang: pa.Array, phrase: pa.Array, bucket: pa.Array, n: Iterable[int])
     return pa.RecordBatch.from_arrays([lang, phrase, bucket, pa.array(n, pa.int64())], names=["lang", "phrase", "bucket", "n"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_rows = max(1, len(batch) * _COPIED_BYTES // max(1, batch.nbytes))
+        yield from (batch.slice(at, n_rows) for at in range(0, len(batch), n_rows))
+
+
+def _counts(words: Words, at: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct phrases of ``length`` words that begin at the words ``at``, and how often each does."""
+    code, most = words.code[at], len(words.distinct)
+    for n in range(1, length):
+        if most > 2**62 // len(words.distinct):
+            found, code = np.unique(code, return_inverse=True)
+            most = len(found)
+        code, most = code * len(words.distinct) + words.code[at + n], most * len(words.distinct)
+    _, first, times = np.unique(code, return_index=True, return_counts=True)
+    names, own = pa.array(words.distinct, pa.string()), at[first]
+    parts = [names.take(pa.array(words.code[own + n])) for n in range(length)]
+    return pc.binary_join_element_wise(*parts, " "), times
+
+
 def _pass(length: int, last: bool, bits: int, shorter: Bits | None, full: Bits | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Exact counts of the phrases of ``length`` words that can be frequent, and, but for the last pass, bucket counts of those one word longer.
 
@@ -130,8 +181,8 @@ def _pass(length: int, last: bool, bits: int, shorter: Bits | None, full: Bits |
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(bits)
-        for batch in batches:
+        buckets, phrases = _Buckets(bits), _Phrases()
+        for batch in _parts(batches):
             langs = batch.column("lang").dictionary_encode()
             for number, lang in enumerate(langs.dictionary.to_pylist()):
                 data, offsets = buffer_of(batch.column("text").filter(pa.array(langs.indices.to_numpy() == number)))
@@ -144,26 +195,22 @@ def _pass(length: int, last: bool, bits: int, shorter: Bits | None, full: Bits |
                     piece = np.cumsum(_ENDS[part])[words.start] + words.text * (len(part) + 1)
                     # By first word: the hashes of phrases of so many words, up to ``length``.
                     after = words.hashes[words.code]
-                    parts, made = None, _mixed(np.full(len(after), _lang_hash(lang)), after)
+                    parts, made = None, _mixed(np.full(len(words.hashes), _lang_hash(lang)), words.hashes)[words.code]
                     for n in range(1, length):
                         parts, made = made, _mixed(made[:-1], after[n:])
                     may = piece[: len(made)] == piece[length - 1 :]
                     if parts is not None:
                         frequent = shorter(parts)
-                        may &= frequent[:-1] & frequent[1:] & full(made)
-                    at = np.flatnonzero(may)
-                    code = words.code[at]
-                    for n in range(1, length):
-                        code = np.unique(code, return_inverse=True)[1] * len(words.distinct) + words.code[at + n]
-                    _, first, times = np.unique(code, return_index=True, return_counts=True)
-                    found = words.code[at[first][:, None] + np.arange(length)]
-                    phrases = pa.array([b" ".join([words.distinct[k] for k in row]).decode() for row in found.tolist()], pa.string())
-                    yield _rows(pa.array([lang] * len(phrases), pa.string()), phrases, pa.nulls(len(phrases), pa.int64()), times)
+                        at = np.flatnonzero(may & frequent[:-1] & frequent[1:])
+                        may = np.zeros(len(made), bool)
+                        may[at[full(made[at])]] = True
+                    yield from phrases.add(lang, *_counts(words, np.flatnonzero(may), length))
                     if length == 1:
-                        yield _rows(pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), [len(words.code)])
+                        yield from phrases.add(lang, pa.nulls(1, pa.string()), [len(words.code)])
                     if not last:
                         on = may[:-1] & may[1:] & (piece[: len(made) - 1] == piece[length:])
                         yield from buckets.add(_mixed(made[:-1], after[length:])[on])
+        yield from phrases.rest()
         yield from buckets.rest()
 
     return counted

@@ -226,6 +226,27 @@ def test_collocations_are_those_of_brute_force(spark, least, longest, bits):
     assert sorted(map(tuple, collocations.collocations(docs, least=least, longest=longest, best=5, bucket_bits=bits).collect())) == collocations_by_hand(rows, least, longest, best=5)
 
 
+def test_a_passes_words_are_hashed_once_a_chunk_and_leave_a_task_once():
+    texts, seen = ["One two. two\tone"] * 50 + [None, "", "Three three three"], []
+    data, offsets = byte_words.buffer_of(pa.array(texts))
+    words = byte_words.words_of(data, offsets, collocations._WORD_BYTES, hashed=lambda value: seen.append(value) or len(seen))
+    assert sorted(seen) == sorted(words.distinct) == [b"one", b"three", b"two"]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})] * 3
+    found = [tuple(row.values()) for part in collocations._pass(1, False, 20, None, None)(iter(batches)) for row in part.to_pylist()]
+    exact = sorted((phrase or "", n) for _, phrase, bucket, n in found if bucket is None)
+    assert exact == [("", 609), ("one", 300), ("three", 9), ("two", 300)]
+    assert sorted(n for *_, bucket, n in found if bucket is not None) == [6, 150, 150]
+
+
+def test_phrases_are_hashed_alike_in_passes_and_apart():
+    texts = ["new York é 日本", "york"]
+    hashes = collocations.phrase_hashes(pa.array(["en", "de"]), pa.array([t.lower() for t in texts])).tolist()
+    single = [collocations.phrase_hashes(pa.array([x]), pa.array([t.lower()]))[0] for x, t in zip(["en", "de"], texts, strict=True)]
+    parts = list(collocations._pass(1, False, 64, None, None)(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["new york"]})])))
+    pair = int(collocations.phrase_hashes(pa.array(["en"]), pa.array(["new york"]))[0])
+    assert hashes == single and [row["bucket"] % 2**64 for part in parts for row in part.to_pylist() if row["bucket"] is not None] == [pair]
+
+
 def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], FIRST)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None, None, 0)], FIRST)).count() == 0
