@@ -8,6 +8,7 @@ from collections.abc import Callable
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,8 +74,9 @@ def split_sentences(docs: DataFrame) -> DataFrame:
     cut exactly the sentence out of the text; numbers have no gaps.  Null and
     blank texts have none.
     """
-    rows = with_sentences(docs.select("doc_id", "text")).select("doc_id", F.posexplode("sentences").alias("sentence_no", "s"))
-    return rows.select("doc_id", "sentence_no", "s.text", "s.char_start", "s.char_end")
+    # Without "outer" a test of the list goes before the rows are taken out of it, which splits every text once more.
+    rows = with_sentences(docs.select("doc_id", "text")).select("doc_id", F.posexplode_outer("sentences").alias("sentence_no", "s"))
+    return rows.where("sentence_no is not null").select("doc_id", "sentence_no", "s.text", "s.char_start", "s.char_end")
 
 
 def breadcrumbs(paragraphs: DataFrame) -> DataFrame:
@@ -127,17 +129,11 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
     within it, and offsets of the nested sentences are into it.  A document's
     sentences are gathered once; chunks are slices of them.
     """
-
-    @F.arrow_udf("array<struct<first: int, last: int>>")
-    def packed(tokens: pa.Array, sections: pa.Array) -> pa.Array:
-        return _sliced(_packed(target_tokens, overlap_tokens), tokens, sections)
-
     page = F.col("page").cast("int") if "page" in sentences.columns else F.lit(None).cast("int")
     path = F.col("section_path") if "section_path" in sentences.columns else F.array().cast("array<string>")
     row = F.struct("sentence_no", "text", page.alias("page"), path.alias("section_path"), tokens(F.col("text")).alias("n"), F.coalesce("section", F.lit("")).alias("section"))
     lists = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    chunks = lists.select("doc_id", "rows", F.posexplode(packed(F.col("rows.n"), F.col("rows.section"))).alias("chunk_no", "chunk"))
-    own = chunks.select("doc_id", "chunk_no", T.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), F.slice("rows", F.col("chunk.first") + 1, F.col("chunk.last") - F.col("chunk.first") + 1).alias("rows"))
+    own = _cut(lists, F.col("rows"), target_tokens, overlap_tokens).select("doc_id", "chunk_no", T.chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "rows")
     ends = F.aggregate("rows", F.array(F.lit(0)), lambda seen, s: F.concat(seen, F.array(F.element_at(seen, -1) + F.length(s["text"]) + 1)))
     nested = F.transform(
         "rows",
@@ -151,9 +147,39 @@ def pack_chunks(sentences: DataFrame, target_tokens: int = 400, overlap_tokens:
     return built.withColumn("token_count", tokens(F.col("text")))
 
 
+def chunk_numbers(docs: DataFrame, section: Callable[[Column], Column], target_tokens: int = 400, overlap_tokens: int = 40, tokens: Callable[[Column], Column] = T.words) -> DataFrame:
+    """(doc_id, chunk_no, rows): the numbers of the sentences in each chunk of ``pack_chunks``, without its texts.
+
+    ``docs`` has (doc_id, sentences) as ``with_sentences`` gives them; ``section``
+    makes a sentence's section of its number.  A document's sentences stay
+    within its row, and no text is shuffled; rows of one id make one document.
+    """
+    row = lambda s, k: F.struct(k.alias("sentence_no"), tokens(s["text"]).alias("n"), F.coalesce(section(k), F.lit("")).alias("section"))
+    counted = docs.select("doc_id", F.transform("sentences", row).alias("rows"))
+    lists = counted.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+    return _cut(lists, F.col("rows.sentence_no"), target_tokens, overlap_tokens)
+
+
+def _cut(lists: DataFrame, column: Column, target: int, overlap: int) -> DataFrame:
+    """(doc_id, chunk_no, rows): what of ``column``, a list beside each document's ``rows``, belongs to each chunk."""
+
+    @F.arrow_udf("array<struct<first: int, last: int>>")
+    def packed(tokens: pa.Array, sections: pa.Array) -> pa.Array:
+        return _sliced(_packed(target, overlap), tokens, sections)
+
+    # Only ``column`` is repeated for each chunk.
+    needed = lists.select("doc_id", column.alias("rows"), F.col("rows.n").alias("n"), F.col("rows.section").alias("section"))
+    chunks = needed.select("doc_id", "rows", F.posexplode(packed("n", "section")).alias("chunk_no", "chunk"))
+    return chunks.select("doc_id", "chunk_no", F.slice("rows", F.col("chunk.first") + 1, F.col("chunk.last") - F.col("chunk.first") + 1).alias("rows"))
+
+
 def _packed(target: int, overlap: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
     def lists(tokens: pa.Array, sections: pa.Array) -> pa.Array:
-        found = [pack(t, s, target, overlap) for t, s in zip(tokens.to_pylist(), sections.to_pylist(), strict=True)]
+        sizes = tokens.flatten().to_numpy().tolist()
+        # Sections are only compared: numbers do for their names.
+        names = sections.flatten().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).tolist()
+        ends = [0, *accumulate(pc.fill_null(pc.list_value_length(tokens), 0).to_pylist())]
+        found = [pack(sizes[a:b], names[a:b], target, overlap) for a, b in zip(ends, ends[1:])]
         firsts, lasts = (pa.array([pair[k] for pairs in found for pair in pairs], pa.int32()) for k in (0, 1))
         ends = list(accumulate((len(pairs) for pairs in found), initial=0))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([firsts, lasts], names=["first", "last"]))
@@ -170,7 +196,7 @@ def chunk_sentences(chunks: DataFrame) -> DataFrame:
 
 def chunk_layout(paragraphs: DataFrame, target_tokens: int = 400, overlap_tokens: int = 40) -> DataFrame:
     """The chunks of ``pack_chunks`` from ``paragraphs`` (doc_id, para_no, role, content, page): section paths, sentences, packing and nested sentences in one go."""
-    rows = with_sentences(breadcrumbs(paragraphs), "content").select("doc_id", "para_no", "page", "section_path", F.posexplode("sentences").alias("pos", "s"))
+    rows = with_sentences(breadcrumbs(paragraphs), "content").select("doc_id", "para_no", "page", "section_path", F.posexplode_outer("sentences").alias("pos", "s")).where("pos is not null")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_no", "pos")) - 1
     numbered = rows.select("doc_id", number.alias("sentence_no"), "s.text", "page", "section_path", F.to_json("section_path").alias("section"))
     return pack_chunks(numbered, target_tokens, overlap_tokens)
@@ -200,9 +226,13 @@ def spans(sentences: DataFrame, most: int = 3) -> DataFrame:
 
 def adjacent_overlap(members: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, chunk_no, overlaps): whether one of a chunk's last ``n`` sentences is among the next one's first ``n``."""
-    lists = members.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list("sentence_no")).alias("s"))
-    following = F.lead("s").over(Window.partitionBy("doc_id").orderBy("chunk_no"))
-    tail = F.slice("s", F.greatest(F.lit(1), F.size("s") - n + 1), F.lit(n))
+    return lists_overlap(members.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list("sentence_no")).alias("rows")), n)
+
+
+def lists_overlap(lists: DataFrame, n: int = 5) -> DataFrame:
+    """``adjacent_overlap`` of chunks (doc_id, chunk_no, rows) that have their sentences' numbers as a list, in order."""
+    following = F.lead("rows").over(Window.partitionBy("doc_id").orderBy("chunk_no"))
+    tail = F.slice("rows", F.greatest(F.lit(1), F.size("rows") - n + 1), F.lit(n))
     return lists.withColumn("following", following).where("following is not null").select("doc_id", "chunk_no", F.arrays_overlap(tail, F.slice("following", 1, n)).alias("overlaps"))
 
 

@@ -112,3 +112,36 @@ def test_sentences_of_chunks_that_do_not_overlap_are_not_shuffled(spark):
     once = indexing.sentence_rows(chunks, overlap=False)
     assert sorted(map(str, once.collect())) == sorted(map(str, indexing.sentence_rows(chunks).collect()))
     assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _splits(found):
+    return found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_texts_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "Aa bb. Cc dd."), (2, None), (3, " ")], "doc_id long, text string")
+    found = chunking.split_sentences(docs)
+    assert _splits(found) == 1 and [tuple(r)[:3] for r in found.orderBy("sentence_no").collect()] == [(1, 0, "Aa bb."), (1, 1, "Cc dd.")]
+    layout = spark.createDataFrame([(1, 0, None, "Aa bb. Cc.", 1), (1, 1, None, None, 1)], "doc_id long, para_no int, role string, content string, page int")
+    assert _splits(chunking.chunk_layout(layout)) == 2  # the texts, and what of them each chunk has
+
+
+def test_neighbours_numbers_are_those_of_built_chunks_without_their_texts(spark):
+    at = random.Random(5)
+    rows = [(i, " ".join("W" + "x" * at.randrange(9) + " ab" * at.randrange(9) + "." for _ in range(at.randrange(90)))) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (98, None), (99, " ")], "doc_id long, text string")
+    section = lambda k: F.floor(k / 40).cast("string")
+    members = chunking.chunk_sentences(chunking.pack_chunks(chunking.split_sentences(docs).withColumn("section", section(F.col("sentence_no"))), 20, 5))
+    found = chunking.lists_overlap(chunking.chunk_numbers(chunking.with_sentences(docs), section, 20, 5))
+    want = sorted(map(tuple, chunking.adjacent_overlap(members).collect()))
+    assert len(want) > 100 and {True, False} == {r[2] for r in want} and sorted(map(tuple, found.collect())) == want
+    shuffled = [row for row in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in row]
+    assert shuffled and not any("text" in row or "format_string" in row for row in shuffled)
+
+
+def test_packing_reads_lists_as_they_are():
+    tokens, sections = [[4, 4, 4, 4], [], [4, 4, 4], [50], None, [3, 2, 2, 5]], [["a"] * 4, [], ["a", None, "b"], ["a"], None, ["a"] * 4]
+    for part in (slice(0, 6), slice(2, 4)):
+        t, s = (pa.array(x, pa.list_(kind))[part] for x, kind in ((tokens, pa.int32()), (sections, pa.string())))
+        want = [[{"first": a, "last": b} for a, b in chunking.pack(x or [], y or [], 8, 4)] for x, y in zip(tokens[part], sections[part], strict=True)]
+        assert chunking._packed(8, 4)(t, s).to_pylist() == want
